@@ -149,14 +149,15 @@ def choose(fields: DataFrame, rounds: int = 3) -> DataFrame:
     chosen = None
     for _ in range(rounds):
         votes = each.join(weights, ["fid", "cand"]).groupBy("val").agg(F.sum("share").alias("votes"))
-        total = votes.agg(F.coalesce(F.sum("votes"), F.lit(0.0)).alias("total"))
+        votes = cut(votes)
+        total = F.lit(float(votes.agg(F.sum("votes")).first()[0] or 0.0))
         own = each.join(weights, ["fid", "cand"], "left").groupBy("fid", "cand", "val").agg(F.count(F.lit(1)).alias("k"), F.sum(F.coalesce("share", F.lit(0.0))).alias("own"))
         # A field's own votes for a value, over all its parses, are left out.
         mine = own.groupBy("fid", "val").agg(F.sum("own").alias("own"))
-        seen = own.select("fid", "cand", "val", "k").join(mine, ["fid", "val"]).join(votes, "val", "left").crossJoin(F.broadcast(total))
+        seen = own.select("fid", "cand", "val", "k").join(mine, ["fid", "val"]).join(votes, "val", "left")
         rest = F.greatest(F.coalesce("votes", F.lit(0.0)) - F.col("own"), F.lit(0.0))
         char = F.pow(F.lit(2.0), -F.lit(CHAR_BITS) * F.least(F.length("val") + 1, F.lit(150)))
-        bits = -F.log2((rest + PRIOR * char) / (F.col("total") + PRIOR)) + F.greatest(F.length("val") - 149, F.lit(0)) * CHAR_BITS
+        bits = -F.log2((rest + PRIOR * char) / (total + PRIOR)) + F.greatest(F.length("val") - 149, F.lit(0)) * CHAR_BITS
         cost = seen.groupBy("fid", "cand").agg(F.sum(F.col("k") * bits).alias("cost"))
         scored = cands.select("fid", "cand", "bits").join(cost, ["fid", "cand"]).select("fid", "cand", (F.col("bits") + F.col("cost")).alias("cost"))
         best = F.row_number().over(Window.partitionBy("fid").orderBy("cost", "cand"))
