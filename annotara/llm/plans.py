@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotara.llm import packing, tokenizer
+from annotara.llm import packing, spans, tokenizer
 from annotara.session import cut, table
 
 
@@ -25,6 +25,17 @@ def p8_packs(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, table(spark, d, "pack_sizes"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_packs": p8_packs}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of every document that stand in another one too."""
+    return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_share(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every document stands elsewhere too."""
+    docs = table(spark, d, "documents")
+    return spans.shared_share(docs, "doc_id", "text", p9_found(spark, d))
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_packs": p8_packs, "p9_found": p9_found, "p9_share": p9_share}
 
 SQL = {"p7_roundtrip": "select doc_id, coalesce(text, '') as text from documents"}
