@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotara.llm import packing, spans, tokenizer
+from annotara.llm import neighbours, packing, spans, tokenizer
 from annotara.session import cut, table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of words of which one is among the 10 nearest of the other."""
+    return neighbours.pairs(neighbours.neighbours(table(spark, d, "w2v_cache"), "idx", "w2v_weights"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The byte_bpe_50k ids of every document."""
     return tokenizer.encode(table(spark, d, "documents"), "doc_id", "text")
@@ -36,6 +41,6 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(docs, "doc_id", "text", p9_found(spark, d))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_packs": p8_packs, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p5_found": p5_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_packs": p8_packs, "p9_found": p9_found, "p9_share": p9_share}
 
 SQL = {"p7_roundtrip": "select doc_id, coalesce(text, '') as text from documents"}
