@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_STORED: list[tuple[SparkSession, str]] = []
+
+
 def get_session(app: str = "annotara", cores: str = "*", shuffle: int = 8) -> SparkSession:
     """A local session for tests and benches; a cluster brings its own."""
     return (
@@ -48,6 +52,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a written table in the shared folder: cuts lineage like cut(), but
+    columnar and compressed. release() deletes the session's tables."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/annotara-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED.append((spark, path))
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables stored() wrote in this session; call it when their
+    results are no longer read."""
+    for s, path in [x for x in _STORED if x[0] is spark]:
+        p = s._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(s._jsc.hadoopConfiguration()).delete(p, True)
+        _STORED.remove((s, path))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -56,4 +79,4 @@ def testdata(sf: str) -> str:
     return os.path.join(os.environ.get("ANNOTARA_DATA", "/root/testdata"), f"sf{sf}")
 
 
-__all__ = ["F", "checkpoint_dir", "cut", "get_session", "partitions", "table", "testdata"]
+__all__ = ["F", "checkpoint_dir", "cut", "get_session", "partitions", "release", "stored", "table", "testdata"]
