@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotara.llm import neighbours, packing, spans, tokenizer
+from annotara.llm import garbled, neighbours, packing, spans, tokenizer
 from annotara.session import cut, table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and series whose text or summary holds a garbled stretch."""
+    docs = garbled.found(table(spark, d, "documents"), "doc_id", "text").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_key"))
+    geo = garbled.found(table(spark, d, "geo_series"), "row_no", "summary").select(F.lit("geo_series").alias("tbl"), F.col("row_no").alias("row_key"))
+    return docs.unionByName(geo)
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The restored texts of the garbled rows."""
+    docs = garbled.restored(table(spark, d, "documents"), "doc_id", "text").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_key"), "restored")
+    geo = garbled.restored(table(spark, d, "geo_series"), "row_no", "summary").select(F.lit("geo_series").alias("tbl"), F.col("row_no").alias("row_key"), "restored")
+    return docs.unionByName(geo)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of words of which one is among the 10 nearest of the other."""
     return neighbours.pairs(neighbours.neighbours(table(spark, d, "w2v_cache"), "idx", "w2v_weights"))
@@ -41,6 +55,6 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(docs, "doc_id", "text", p9_found(spark, d))
 
 
-QUERIES = {"p5_found": p5_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_packs": p8_packs, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_packs": p8_packs, "p9_found": p9_found, "p9_share": p9_share}
 
 SQL = {"p7_roundtrip": "select doc_id, coalesce(text, '') as text from documents"}
