@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotara.session import cut, partitions
+from annotara.session import partitions, stored
 
 MIN_SPAN, PHRASE = 200, 120
 #: Phrases of an automaton, and code points streamed by one task of a shard.
@@ -163,30 +163,30 @@ def shared_spans(docs: DataFrame, key: str, text: str, span: int = MIN_SPAN, phr
     stands in another document too."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.length("text") >= span)
-    # Exact copies: one representative each, by a 128-bit key of the text.
-    keyed = rows.select("id", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), F.length("text").alias("n"))
-    member = cut(keyed)
-    first = member.groupBy("k1", "k2", "n").agg(F.min("id").alias("tid"), F.count(F.lit(1)).alias("copies"))
-    first = cut(first)
-    texts = rows.join(first.select(F.col("tid").alias("id")), "id", "left_semi").select(F.col("id").alias("tid"), "text")
-    texts = cut(texts)
-    met = cut(texts.mapInArrow(_phrases(span, phrase), "h bigint, tid bigint, pos bigint"))
+    # Exact copies: one representative each, by a 96-bit key of the text.
+    member = stored(rows.select("id", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), F.length("text").alias("n")))
+    first = stored(member.groupBy("k1", "k2", "n").agg(F.min("id").alias("tid"), F.count(F.lit(1)).alias("copies")))
+    own = first.select("tid")
+    met = rows.mapInArrow(_phrases(span, phrase), "h bigint, tid bigint, pos bigint")
+    met = stored(met.join(own, "tid", "left_semi"))
     rec = met.groupBy("h").agg(F.min(F.struct("tid", "pos")).alias("at"), F.max("tid").alias("last")).filter("at.tid < last")
-    rec = cut(rec.select("h", F.col("at.tid").alias("tid"), F.col("at.pos").alias("pos")))
+    rec = stored(rec.select("h", F.col("at.tid").alias("tid"), F.col("at.pos").alias("pos")))
     n = rec.count()
     shards = max(1, ceil(n / SHARD_PHRASES))
     shard = F.pmod(F.col("h"), F.lit(shards)).cast("int").alias("shard")
+    route = stored(met.join(rec.select("h"), "h", "left_semi").groupBy("tid").agg(F.collect_set(shard).alias("shards")))
+    # Only texts that hold a recurring phrase are moved, and once.
+    texts = stored(rows.withColumnRenamed("id", "tid").join(route, "tid").select("tid", "shards", "text"))
     words = rec.join(texts, "tid").select(shard, F.col("h").alias("num"), F.expr(f"substring(text, cast(pos + 1 as int), {phrase})").alias("text"))
-    route = cut(met.join(rec.select("h"), "h", "left_semi").select("tid", shard).distinct())
-    routed = route.join(texts, "tid").select("shard", F.col("tid").alias("num"), "text")
-    load = route.join(first.select("tid", "n"), "tid").agg(F.sum("n")).first()[0] or 0
+    routed = texts.select(F.explode("shards").alias("shard"), F.col("tid").alias("num"), "text")
+    load = texts.agg(F.sum(F.length("text").cast("bigint") * F.size("shards"))).first()[0] or 0
     salts = max(1, ceil(load / shards / TASK_CHARS))
     salted = F.pmod(F.xxhash64("num"), F.lit(salts)).cast("int").alias("salt")
     all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     feed = words.select("shard", all_salts, F.lit(0).alias("kind"), "num", "text").unionByName(routed.select("shard", salted, F.lit(1).alias("kind"), "num", "text"))
     tasks = max(partitions(spark), min(shards * salts, 4096))
     feed = feed.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    windows = cut(feed.mapInArrow(_stream(span, phrase), "hh bigint, tid bigint, pos bigint"))
+    windows = stored(feed.mapInArrow(_stream(span, phrase), "hh bigint, tid bigint, pos bigint"))
     twice = windows.groupBy("hh").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a < b").select("hh")
     hit = windows.join(twice, "hh", "left_semi").select("tid", "pos")
     lone = first.filter("copies = 1").select("tid")
