@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotara.llm import garbled, neighbours, packing, spans, tokenizer
+from annotara.llm import garbled, neighbours, packing, sentences, spans, tokenizer
 from annotara.session import cut, table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence units of every document, with their places."""
+    return sentences.split(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and series whose text or summary holds a garbled stretch."""
     docs = garbled.found(table(spark, d, "documents"), "doc_id", "text").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_key"))
@@ -55,6 +60,6 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(docs, "doc_id", "text", p9_found(spark, d))
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_packs": p8_packs, "p9_found": p9_found, "p9_share": p9_share}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_packs": p8_packs, "p9_found": p9_found, "p9_share": p9_share}
 
 SQL = {"p7_roundtrip": "select doc_id, coalesce(text, '') as text from documents"}
