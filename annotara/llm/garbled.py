@@ -145,16 +145,19 @@ def _decode_utf8(s: str, t: dict[str, int]) -> str | None:
         return None
 
 
+_NOT_ASCII = re.compile("[^\x00-\x7f]+")
 _CLEAN = set("“”‘’«»„…–—•·°±§©®™€£¥№¿¡ ")
 _BOX = re.compile("[─-▟]")
 
 
 def _from_utf8(text: str) -> Iterator[tuple[int, int, str, float]]:
     box = _BOX.search(text)
+    high = sum(map(len, _NOT_ASCII.findall(text)))
     for name, pat in UTF8_RUNS.items():
         if name == "cp866" and not box:
             continue
         t = SINGLE[name]
+        explained = 0
         for m in pat.finditer(text):
             new = _decode_utf8(m[0], t)
             if new is not None:
@@ -162,7 +165,11 @@ def _from_utf8(text: str) -> Iterator[tuple[int, int, str, float]]:
                 before, after = text[a - 1 : a] if a else "", text[b : b + 1]
                 # True stretches are whole: what stands next is not of the same bytes.
                 torn = sum(c in t and c not in _CLEAN for c in (before, after) if c)
-                yield a, b, new, cost(m[0], before, after) - cost(new, before, after) + (m[0][0] == "Â") + 0.3 * (name == "cp1252") - 3.0 * torn
+                drop = cost(m[0], before, after) - cost(new, before, after) + (m[0][0] == "Â") + 0.3 * (name == "cp1252") - 3.0 * torn
+                explained += (b - a) * (drop >= STRONG)
+                yield a, b, new, drop
+        if explained > 0.6 * high:
+            return
 
 
 _CJK = re.compile(r"[぀-ヿ一-鿿가-힣｡-ﾟ㄀-ㄯ　-〿！-～�Α-ω←-◿℃‥…‘’“”・·•→]{3,}")
@@ -298,6 +305,8 @@ def _letters(text: str, wrong: str, meant: str, run: re.Pattern[str]) -> Iterato
         yield a, b, new, cost(m[0], text[max(a - 1, 0) : a], text[b : b + 1]) - cost(new, text[max(a - 1, 0) : a], text[b : b + 1]) - _rank(new)
 
 
+_HIGH = re.compile("[¡-ÿ]")
+_BESIDE = re.compile("[\u0080-ÿ‚„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ]{2}|[\u0080-\u009f]")
 _THAI = re.compile("[ก-๛]")
 
 
@@ -374,12 +383,32 @@ def _cyrillic(text: str) -> Iterator[tuple[int, int, str, float]]:
                     yield m.start() + first, m.start() + last[1], "".join(out), best
 
 
-#: Any of these and a text is gone over.
-_ODD = re.compile("[\u0080-\u009f�─-▟｡-ﾟ]|[À-ÿ]{3}|" + "|".join(p.pattern for p in UTF8_RUNS.values()))
+#: A text with none of these holds no candidate worth its cost: controls and lost
+#: characters, signs that clean text lacks, capitals of two cases in one word,
+#: accented letters beside signs or in a row, and signs inside words.
+_SIGN = "\u0080-\u00bf×÷\u0152-\u0161\u0178\u017d\u017e\u0192\u02c6-\u02dd\u2013-\u2044\u20ac\u2122\u2500-\u25ff"
+_ODD = re.compile(
+    "[\u0080-\u009f\ufffd─-▟｡-ﾟㄅ-ㄯѐ-џЀЂ-Џґ√∫∂∏≠∞¬¦¨¯´¸¤¶†‡ˆ‰‹›˜]|[а-яё][А-ЯЁ]|[А-ЯЁ]{2}|[À-ÿ]{3}|[Ââ][\u00a0-\u00bf€“”»]"
+    f"|[ÃÄÅÎÏÐÑØÙ][{_SIGN}À-ÿ]|[âãäåæçèéïðìíîêëàáĂ-ſ][\u0080-\u00a0¡-¶¸-º¼-¿ŒœŠšŸŽžƒ‚„•™€Ă-ſ]|[À-ÿ][¡-¶¸-º¼-¿][À-ÿ]|[•‚ΓΘ][À-ÿ€-₿]"
+    "|[A-Za-z][ŠŽ‚„•§©®±°ΓΘ╨╤‡£¥ªº“”«»–—…¿¡Ŀ-ſ][a-zà-ÿ]|[а-яёА-Я][©®±°№¡-¶¸-º¼-¿•™€]|[Г-Я][a-z“”‘’–—…]|[A-Za-z][А-яЁё]|[Ͱ-Ͽ]{2}|[A-Za-z]Õ[a-z]|[ОП][Ё-ё]?[╨-▟]"
+)
+#: The inside of runs of ASCII characters: it tells nothing.
+_INSIDE = re.compile("(?<=[\\x00-\\x7f])[\\x00-\\x7f]+(?=[\\x00-\\x7f])")
+_WIDE = re.compile("[぀-ヿ一-鿿가-힣]{3,}")
+_PACKED = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2,}")
+
+
+def suspicious(text: str) -> bool:
+    """A quick look: False only where nothing can be found."""
+    if _ODD.search(_INSIDE.sub(" ", text)):
+        return True
+    wide = " ".join(_WIDE.findall(text))
+    return bool(wide) and any(_PACKED.search(wide.encode(n, "ignore")) for n in DOUBLE)
 
 
 #: Western text read as another one-byte encoding: letters inside words only.
 WESTERN = (("cp1252", "mac_roman"), ("cp1252", "cp850"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("koi8-r", "cp1252"))
+_OUTSIDE = re.compile("(?:(?<=[\\s.,;:?!(])|^)[À-ÿ](?=\\S|\\s)|(?<=[.?!\\w])[À-ÿ](?=[\\s,.;:)]|$)")
 WESTERN_RUNS = {w: re.compile("(?<=[A-Za-z])[" + "".join(re.escape(c) for c in SINGLE[w] if _kind(c)[0] != "l" and c not in "’”“»«…–—") + "]{1,2}(?=[A-Za-z])") for w, _ in WESTERN}
 
 
@@ -392,8 +421,8 @@ def _candidates(text: str) -> list[tuple[int, int, str, float]]:
     out = [(a, b, new, d + 1000.0 * (d >= STRONG)) for a, b, new, d in out]
     if _CJK.search(text):
         out += _from_double(text)
-    if re.search("[\u0080-ÿ‚„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ]{2}|[\u0080-\u009f]", text):
-        high = sum("¡" <= c <= "ÿ" for c in text)
+    if _BESIDE.search(text) and covered < 0.5 * len(_HIGH.findall(text)):
+        high = len(_HIGH.findall(text))
         other = [] if _EAST.search(text) else list(_thai(text))
         if sum(b - a for a, b, _, _ in other) < 0.7 * high and not _THAI.search(text):
             other = (_words(text) if high else []) or list(_pairs(text))
@@ -405,7 +434,14 @@ def _candidates(text: str) -> list[tuple[int, int, str, float]]:
     for wrong, meant in WESTERN:
         run = WESTERN_RUNS[wrong]
         if run.search(text):
-            out += _letters(text, wrong, meant, run)
+            got = list(_letters(text, wrong, meant, run))
+            out += got
+            if wrong == "cp1252" and sum(c[3] >= STRONG for c in got) > 1:
+                # Signs of the same encoding that stand outside words.
+                for m in _OUTSIDE.finditer(text):
+                    new = bytes([SINGLE[wrong][m[0]]]).decode(meant, "replace")
+                    if new in _CLEAN or new.isalpha() and m[0] in "ËåçƒžÌ":
+                        out.append((*m.span(), new, WEAK + 0.01))
     if _WORD.search(text):
         out += _cyrillic(text)
     return out
@@ -427,7 +463,11 @@ def restore(text: str) -> tuple[str, list[tuple[int, int]] | None]:
     end) of what it stands for in text; None where nothing was changed."""
     now = text
     spans: list[tuple[int, int]] | None = None
-    for _ in range(LAYERS):
+    if not suspicious(text):
+        return now, spans
+    for layer in range(LAYERS):
+        if layer and not suspicious(now):
+            break
         cands = _candidates(now)
         if not any(c[3] >= STRONG for c in cands):
             break
@@ -470,7 +510,9 @@ def is_hit(text: str | None) -> bool:
     """Whether a text holds a garbled stretch (no restoring, so less work)."""
     if not text or text.isascii():
         return False
-    return "�" in text or any(c[3] >= STRONG for c in _candidates(text))
+    if "�" in text:
+        return True
+    return suspicious(text) and (any(c[3] >= STRONG for c in _from_utf8(text)) or any(c[3] >= STRONG for c in _candidates(text)))
 
 
 def found(rows: DataFrame, key: str, text: str) -> DataFrame:
