@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 _V = "aeiou"
 
@@ -88,7 +89,7 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def porter_stems(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in it:
         yield s.map(lambda a: None if a is None else [porter(x) for x in a])

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Fixed value: what counts as a token on both engines.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -26,7 +27,7 @@ def ascii_clean(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\x00-\x7F]|\\", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in it:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
@@ -78,12 +79,12 @@ def kept_title(c: Column) -> Column:
 
 def match_pairs(texts: Column, patterns: Column, every: bool = False) -> Column:
     """Whether texts match the patterns pairwise: any of them, or every one."""
-    pairs = F.arrays_zip(texts.alias("t"), patterns.alias("p"))
-    test = lambda x: F.coalesce(F.rlike(x["0"], x["1"]), F.lit(False))
+    pairs = F.zip_with(texts, patterns, lambda t, p: F.struct(t.alias("t"), p.alias("p")))
+    test = lambda x: F.coalesce(F.rlike(x["t"], x["p"]), F.lit(False))
     return F.forall(pairs, test) if every else F.exists(pairs, test)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two strings (an Arrow UDF)."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
@@ -161,35 +162,6 @@ def sorted_entries(m: Column, by_value: bool = True) -> Column:
     return e
 
 
-def space_spans(c: Column) -> Column:
-    """array<struct(str, start, end)> of the tokens between white space."""
-    words = F.regexp_extract_all(c, F.lit(r"\S+|\s+"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<str:string,start:int,end:int>>").alias("out"))
-
-    def add(acc: Column, w: Column) -> Column:
-        end = (acc["at"] + F.length(w)).cast("int")
-        one = F.array(F.struct(w.alias("str"), acc["at"].cast("int").alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.rlike(w, F.lit(r"^\S")), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(words, zero, add, lambda acc: acc["out"])
-
-
-def locate_tokens(text: Column, toks: Column, resume_at_end: bool = True) -> Column:
-    """array<struct(start, end)>: greedy places of tokens from left to right;
-    (-1, -1) where one is missing. The search goes on behind the last hit, or
-    from its beginning if resume_at_end is off."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def add(acc: Column, t: Column) -> Column:
-        p = F.call_function("locate", t, text, (acc["at"] + 1).cast("int")) - 1
-        hit = p >= 0
-        nxt = p + F.length(t) if resume_at_end else p
-        span = F.struct(F.when(hit, p).otherwise(-1).cast("int").alias("start"), F.when(hit, p + F.length(t)).otherwise(-1).cast("int").alias("end"))
-        return F.struct(F.when(hit, nxt).otherwise(acc["at"]).cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    return F.aggregate(toks, zero, add, lambda acc: acc["out"])
-
-
 def signed_label(p: Column, threshold: float = 0.5) -> Column:
     """-1, 0 or 1: zero inside the threshold, else the sign."""
     return F.when(F.abs(p) <= threshold, 0).otherwise(F.signum(p).cast("int"))

@@ -3,18 +3,60 @@
 from __future__ import annotations
 
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotara.functions import text as T
-
 #: Width of the buckets that turn an interval join into an equi-join.
 BUCKET = 256
 
 
-def spans_of_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _arrow_spans(docs: DataFrame, key: str, text: str, find: Callable[[str], list[tuple[str, int, int]]]) -> DataFrame:
+    """(doc, i, str, start, end) of what find gives for a text: token places
+    depend on all before them, so a text is walked once, in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                rows, d, i = [], [], []
+                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    got = find(t) if t else []
+                    rows += got
+                    d += [k] * len(got)
+                    i += range(len(got))
+                w, s, e = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(d, part.column(0).type), pa.array(i, pa.int32()), pa.array(w, pa.string()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc", "i", "str", "start", "end"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc {kind}, i int, str string, start int, end int")
+
+
+def spans_of_tokens(docs: DataFrame, key: str, text: str, pattern: str = r"\S+") -> DataFrame:
     """(doc, i, str, start, end) of the tokens between white space."""
-    return docs.select(F.col(key).alias("doc"), F.posexplode(T.space_spans(F.col(text))).alias("i", "t")).select("doc", "i", "t.str", "t.start", "t.end")
+    find = re.compile(pattern).finditer
+    return _arrow_spans(docs, key, text, lambda t: [(m[0], m.start(), m.end()) for m in find(t)])
+
+
+def locate_tokens(docs: DataFrame, key: str, text: str, pattern: str = r"\w\w+", resume_at_end: bool = True) -> DataFrame:
+    """(doc, i, str, start, end): greedy places, from left to right, of the
+    lower-case tokens of a text in the lower-case text; (-1, -1) where one is
+    missing. The search goes on behind the last hit, or at its beginning."""
+    tok = re.compile(pattern).findall
+
+    def find(t: str) -> list[tuple[str, int, int]]:
+        low, at, out = t.lower(), 0, []
+        for w in tok(low):
+            p = low.find(w, at)
+            out.append((w, p, p + len(w) if p >= 0 else -1))
+            if p >= 0:
+                at = p + len(w) if resume_at_end else p
+        return out
+
+    return _arrow_spans(docs, key, text, find)
 
 
 def align(annots: DataFrame, toks: DataFrame, error: int = 0) -> DataFrame:
@@ -72,6 +114,13 @@ def left_modifier(annots: DataFrame, toks: DataFrame) -> DataFrame:
     return annots.join(t, (annots.doc == t.doc) & (annots.start == t.ts)).select(annots.doc, "annot", "modifier")
 
 
+_WORD = re.compile(r"[\w'-]+").finditer
+
+
+def _word_places(t: str) -> list[tuple[str, int, int]]:
+    return [(m[0], m.start(), m.end()) for m in _WORD(t)]
+
+
 def match_dictionary(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """(doc, id, start, end, text): whole-word places of dictionary terms
     (id, term), whatever the case, the longest at each place.
@@ -83,20 +132,15 @@ def match_dictionary(docs: DataFrame, key: str, text: str, terms: DataFrame) ->
     words = F.filter(F.split(F.lower(F.trim("term")), r"\s+"), lambda w: w != "")
     dict_rows = terms.select("id", words.alias("words")).filter(F.size("words") > 0).select("id", F.element_at("words", 1).alias("first"), "words", F.size("words").alias("n"))
     lens = sorted(r.n for r in dict_rows.select("n").distinct().limit(64).collect())
-    spans = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_'-]+|[^\p{L}\p{N}_'-]+"), F.lit(0))
     if not lens:
         return docs.select(F.col(key).alias("doc")).filter("false").select("doc", F.lit(0).alias("id"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("text"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<w:string,s:int>>").alias("out"))
-
-    def add(acc, w):
-        one = F.array(F.struct(w.alias("w"), acc["at"].cast("int").alias("s")))
-        return F.struct((acc["at"] + F.length(w)).cast("int").alias("at"), F.when(F.rlike(w, F.lit(r"^[\p{L}\p{N}_'-]")), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    base = docs.select(F.col(key).alias("doc"), F.col(text).alias("body"), F.aggregate(spans, zero, add, lambda a: a["out"]).alias("ws"))
-    each = base.select("doc", "body", "ws", F.posexplode("ws").alias("k", "w")).select("doc", F.col("w.w").alias("first"), F.col("w.s").alias("start"), F.slice("ws", F.col("k") + 1, lens[-1]).alias("ahead"))
+    places = _arrow_spans(docs, key, text, _word_places)
+    ahead = Window.partitionBy("doc").orderBy("i").rowsBetween(0, lens[-1] - 1)
+    low = F.lower("str")
+    each = places.select("doc", low.alias("first"), "start", F.collect_list(F.struct(low.alias("w"), F.col("end").alias("e"))).over(ahead).alias("ahead"))
     hit = each.join(dict_rows, "first").filter((F.size("ahead") >= F.col("n")) & (F.transform(F.slice("ahead", 1, F.col("n")), lambda x: x["w"]) == F.col("words")))
     tail = F.element_at(F.slice("ahead", 1, F.col("n")), -1)
-    ended = hit.select("doc", "id", "start", (tail["s"] + F.length(tail["w"])).alias("end"), "n")
+    ended = hit.select("doc", "id", "start", tail["e"].alias("end"), "n")
     best = F.row_number().over(Window.partitionBy("doc", "start").orderBy(F.desc("n"), "id"))
     kept = ended.withColumn("r", best).filter("r = 1").select("doc", "id", "start", "end")
     return kept.join(docs.select(F.col(key).alias("doc"), F.col(text).alias("body")), "doc").select("doc", "id", "start", "end", F.expr("substring(body, start + 1, end - start)").alias("text"))

@@ -7,6 +7,7 @@ contingency of a feature and a label comes from one joint count and marginals.
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,46 +85,47 @@ def _plogp(p: Column) -> Column:
     return F.when(p > 0, p * F.log2(p)).otherwise(0.0)
 
 
-N11, N10, N01, N00 = _d("n11"), _d("n10"), _d("n01"), _d("n00")
-N = N11 + N10 + N01 + N00
-NY, NN, NX, NZ = N11 + N01, N10 + N00, N11 + N10, N01 + N00
+def _cells() -> SimpleNamespace:
+    """The cells and margins of a contingency row."""
+    a, b, c, e = _d("n11"), _d("n10"), _d("n01"), _d("n00")
+    return SimpleNamespace(N11=a, N10=b, N01=c, N00=e, N=a + b + c + e, NY=a + c, NN=b + e, NX=a + b, NZ=c + e)
 
 
-def _gu() -> Column:
-    p = F.try_divide(N10 + N11, N)
-    z = F.try_divide(N11 - N10, F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) * (F.try_divide(F.lit(1.0), NY) + F.try_divide(F.lit(1.0), NN))))
-    return F.abs(z) * F.try_divide(N11 * NN, NY * N10)
+def _gu(c: SimpleNamespace) -> Column:
+    p = F.try_divide(c.N10 + c.N11, c.N)
+    z = F.try_divide(c.N11 - c.N10, F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) * (F.try_divide(F.lit(1.0), c.NY) + F.try_divide(F.lit(1.0), c.NN))))
+    return F.abs(z) * F.try_divide(c.N11 * c.NN, c.NY * c.N10)
 
 
-def _fisher() -> Column:
-    m1, m0 = F.try_divide(N11, NY), F.try_divide(N10, NN)
-    s1 = (N11 * (1 - m1) * (1 - m1) + (N - N11) * m1 * m1) / N
-    s0 = (N10 * (1 - m0) * (1 - m0) + (N - N10) * m0 * m0) / N
+def _fisher(c: SimpleNamespace) -> Column:
+    m1, m0 = F.try_divide(c.N11, c.NY), F.try_divide(c.N10, c.NN)
+    s1 = (c.N11 * (1 - m1) * (1 - m1) + (c.N - c.N11) * m1 * m1) / c.N
+    s0 = (c.N10 * (1 - m0) * (1 - m0) + (c.N - c.N10) * m0 * m0) / c.N
     return F.try_divide((m1 - m0) * (m1 - m0), s1 + s0)
 
 
-def _gain() -> Column:
-    px, py, pn = NX / N, NY / N, NN / N
-    j, a, b = F.try_divide(N11, NX), F.try_divide(N01, N01 + N10), F.try_divide(N00, N01 + N10)
+def _gain(c: SimpleNamespace) -> Column:
+    px, py, pn = c.NX / c.N, c.NY / c.N, c.NN / c.N
+    j, a, b = F.try_divide(c.N11, c.NX), F.try_divide(c.N01, c.N01 + c.N10), F.try_divide(c.N00, c.N01 + c.N10)
     return -_plogp(py) + _plogp(pn) - px * (-_plogp(j) - _plogp(pn)) + (1 - px) * (-_plogp(a) - _plogp(b))
 
 
-def _gain_standard() -> Column:
-    px, py = NX / N, NY / N
-    with_x, without = F.try_divide(N11, NX), F.try_divide(N01, NZ)
+def _gain_standard(c: SimpleNamespace) -> Column:
+    px, py = c.NX / c.N, c.NY / c.N
+    with_x, without = F.try_divide(c.N11, c.NX), F.try_divide(c.N01, c.NZ)
     h = lambda p: -_plogp(p) - _plogp(1 - p)
     return h(py) - px * h(with_x) - (1 - px) * F.coalesce(h(without), F.lit(0.0))
 
 
 #: Scorers by name: an expression on one contingency row.
-SCORERS: dict[str, Callable[[], Column]] = {
+SCORERS: dict[str, Callable[[SimpleNamespace], Column]] = {
     "gu": _gu,
     "fisher": _fisher,
-    "odds_ratio": lambda: F.try_divide(N11 * N00, N01 * N10),
-    "ngl": lambda: F.try_divide(F.sqrt(N) * (N11 * N00 - N01 * N10), F.sqrt(NY * NN * NX * NZ)),
-    "gss": lambda: N11 * N00 - N01 * N10,
-    "mutual_info": lambda: F.try_divide(N * N11, NY * NX),
-    "mutual_info_log": lambda: F.log2(F.try_divide(N * N11, NY * NX)),
+    "odds_ratio": lambda c: F.try_divide(c.N11 * c.N00, c.N01 * c.N10),
+    "ngl": lambda c: F.try_divide(F.sqrt(c.N) * (c.N11 * c.N00 - c.N01 * c.N10), F.sqrt(c.NY * c.NN * c.NX * c.NZ)),
+    "gss": lambda c: c.N11 * c.N00 - c.N01 * c.N10,
+    "mutual_info": lambda c: F.try_divide(c.N * c.N11, c.NY * c.NX),
+    "mutual_info_log": lambda c: F.log2(F.try_divide(c.N * c.N11, c.NY * c.NX)),
     "info_gain": _gain,
     "info_gain_standard": _gain_standard,
 }
@@ -132,7 +134,7 @@ SCORERS: dict[str, Callable[[], Column]] = {
 def scores(table: DataFrame, how: str, per_label: bool = False, scaled: bool = False) -> DataFrame:
     """(term[, label], score): a scorer summed over labels; undefined ratios
     count as 0. scaled is min-max over features, a constant giving 0."""
-    s = F.coalesce(SCORERS[how](), F.lit(0.0))
+    s = F.coalesce(SCORERS[how](_cells()), F.lit(0.0))
     each = table.select("term", "label", s.alias("score"))
     if per_label:
         return each

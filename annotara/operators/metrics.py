@@ -76,8 +76,8 @@ def precision_recall(pred: DataFrame, y: str, score: str, by: list[str] | None =
 
 def on_grid(curve: DataFrame, by: list[str], points: int = 100) -> DataFrame:
     """(by..., fpr, tpr) of ROC curves interpolated at equal steps of fpr."""
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g")
-    g = curve.select(*by).distinct().select(*by, grid).select(*by, (F.col("g") / F.lit(float(points - 1))).alias("x"), F.lit(None).cast("double").alias("tpr"))
+    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_step")
+    g = curve.select(*by).distinct().select(*by, grid).select(*by, (F.col("_step") / F.lit(float(points - 1))).alias("x"), F.lit(None).cast("double").alias("tpr"))
     best = curve.groupBy(*by, F.col("fpr").alias("x")).agg(F.max("tpr").alias("tpr"))
     both = best.unionByName(g)
     back = Window.partitionBy(*by).orderBy("x", F.col("tpr").isNull()).rowsBetween(Window.unboundedPreceding, 0)

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Control characters that XML can't hold.
@@ -84,7 +85,7 @@ def repair_json_text(text: str | None, tries: int = 20) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _repair(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in it:
         yield s.map(repair_json_text)
