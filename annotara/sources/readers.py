@@ -25,16 +25,14 @@ CONTROLS = r"[\x00-\x08\x0b-\x0c\x0e-\x1f]"
 
 def read_text(spark: SparkSession, paths: str | list[str], whole: bool = False, pattern: str | None = None, recursive: bool = False, encoding: str | None = None) -> DataFrame:
     """(value, path) of lines, or of whole files."""
-    r = spark.read.option("wholetext", whole).option("recursiveFileLookup", recursive)
-    if pattern:
-        r = r.option("pathGlobFilter", pattern)
     if encoding and encoding.lower() not in ("utf-8", "utf8"):
         raw = spark.read.format("binaryFile").load(paths)
         body = F.decode("content", encoding)
         if whole:
             return raw.select(body.alias("value"), "path")
         return raw.select(F.explode(F.split(body, r"\r?\n")).alias("value"), "path")
-    return r.text(paths).select("value", F.input_file_name().alias("path"))
+    lines = spark.read.text(paths, wholetext=whole, recursiveFileLookup=recursive, pathGlobFilter=pattern)
+    return lines.select("value", F.input_file_name().alias("path"))
 
 
 def first_last_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -204,7 +202,8 @@ def series_rows(xml: DataFrame, col: str = "value") -> DataFrame:
     """(id, title, summary, keywords) of series elements; keyword paragraphs at
     the end of the summary are peeled off it."""
     c = clean_xml(F.col(col))
-    paras = F.transform(F.split(F.trim(F.xpath_string(c, F.lit("//Summary"))), r"\n+"), F.trim)
+    body = F.regexp_replace(F.xpath_string(c, F.lit("//Summary")), r"^\s+|\s+$", "")
+    paras = F.transform(F.split(body, r"\s*\n\s*"), F.trim)
     base = xml.select(F.xpath_string(c, F.lit("//Series/@iid")).alias("id"), F.xpath_string(c, F.lit("//Title")).alias("title"), paras.alias("paras"))
     is_kw = lambda x: F.rlike(x, F.lit("^Keywords[:=]"))
     return base.select(
