@@ -126,6 +126,7 @@ NEVER = set(
 BEFORE_NUMBER = set("no nos cap art tab sec ed".split())
 MAYBE = set("etc inc u.s u.k a.m p.m usw h г др д п co ltd corp jr m".split())
 _MONTHS = re.compile(r"\s+(?:Januar|Februar|März|April|M\S{1,2}rz|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
+_ORDINAL = re.compile(r"\b(?:am|vom|zum|dem|den) \d{1,2}$", re.I)
 _STARTER = re.compile(r"[a-z]{1,2}[A-Z0-9]")
 _CITE = re.compile(r"(?:\[\d+(?:\s?[,;–-]\s?\d+)*\]|[¹²³⁰-⁹]+)+")
 _TOKEN = re.compile(r"[^\s(\"“„«‘\[（「『]+$")
@@ -183,7 +184,7 @@ def _dot_ends(text: str, i: int, j: int, k: int) -> bool:
         if plain == "h" and e < n and text[e].isdigit():
             return re.search(r"\d[.,]\d+\s*$", text[max(0, i - 14) : i - 1]) is not None
         return _starts(text, e)
-    if base.isdigit() and len(base) <= 2 and _MONTHS.match(text, j):
+    if base.isdigit() and len(base) <= 2 and (_MONTHS.match(text, j) or _ORDINAL.search(text, max(0, i - 8), i)):
         return False
     if gap or k >= n or k > j:
         return k > j or gap or k >= n
