@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotara.operators import graph
+from annotara.operators import graph, ordered
 from annotara.session import cut
 
 
@@ -108,8 +108,9 @@ def tree_clusters(edges: DataFrame, vertices: DataFrame, cut_share: float = 0.1,
     noise, -1.
     """
     forest = cut(graph.minimum_forest(edges))
-    rank = F.percent_rank().over(Window.orderBy("w"))
-    kept = inconsistent_edges(forest.withColumn("r", rank).filter(F.col("r") <= 1 - cut_share).select("a", "b", "w"), coarse)
+    n = forest.count()
+    order = ordered.numbered(forest, [F.col("w"), F.col("a"), F.col("b")], "r")
+    kept = inconsistent_edges(order.filter(F.col("r") <= (1 - cut_share) * max(n - 1, 1)).select("a", "b", "w"), coarse)
     comp = cut(graph.components(kept)).select("id", F.col("root").alias("cluster"))
     if merge_over is not None:
         near = closeness(edges, comp).filter(F.col("score") > merge_over).select(F.col("i").alias("a"), F.col("j").alias("b"))

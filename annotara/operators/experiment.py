@@ -9,6 +9,8 @@ from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annotara.operators import ordered
+
 
 def hashed(c: Column, seed: int = 0) -> Column:
     """A number in [0, 2^32) from a key: the same on every engine with MD5."""
@@ -45,7 +47,7 @@ def rebalance(rows: DataFrame, key: str, label: str, ratio: float, seed: int = 0
     if not n.n or not pos or pos / n.n >= 1 / (ratio + 1):
         return rows
     draws = int((n.n - pos) / ratio)
-    numbered = rows.filter(F.col(label) == 1).withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
+    numbered = ordered.numbered(rows.filter(F.col(label) == 1), [F.col(key)], "_i").withColumn("_i", F.col("_i").cast("int"))
     drawn = rows.sparkSession.range(draws).select(F.pmod(hashed(F.col("id"), seed), F.lit(pos)).cast("int").alias("_i")).distinct()
     return rows.filter(F.col(label) != 1).unionByName(numbered.join(drawn, "_i", "left_semi").drop("_i"))
 

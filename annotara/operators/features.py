@@ -196,3 +196,35 @@ def orient(edges: DataFrame, shape: str = "symm") -> DataFrame:
     """Edges (head, dep, rel) both ways, top down or bottom up."""
     up = edges.select(F.col("dep").alias("head"), F.col("head").alias("dep"), "rel")
     return {"symm": edges.select("head", "dep", "rel").unionByName(up).distinct(), "top_down": edges.select("head", "dep", "rel"), "bottom_up": up}[shape]
+
+
+def count_matrix(counts: DataFrame, terms: list[str]) -> DataFrame:
+    """One row per document and one 0/1 column per term of a stated, short list."""
+    few = counts.filter(F.col("term").isin(terms))
+    return few.groupBy("doc").pivot("term", terms).agg(F.max(F.lit(1))).na.fill(0)
+
+
+def weight_summary(weights: DataFrame) -> DataFrame:
+    """(feat, mean, std) of (fold, feat, w) after min-max scaling within folds."""
+    w = Window.partitionBy("fold")
+    lo, hi = F.min("w").over(w), F.max("w").over(w)
+    scaled = weights.select("feat", F.coalesce(F.try_divide(F.col("w") - lo, hi - lo), F.lit(0.0)).alias("s"))
+    return scaled.groupBy("feat").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"))
+
+
+def analyzed(tokens: Column, steps: list[Callable[[Column], Column]], keep_orig: bool = False) -> Column:
+    """Tokens taken through steps (array to array); keep_orig appends only the
+    forms that are new to what was there before a step."""
+    for step in steps:
+        new = step(tokens)
+        tokens = F.concat(tokens, F.array_except(new, tokens)) if keep_orig else new
+    return tokens
+
+
+def enriched(tokens: DataFrame, near: DataFrame) -> DataFrame:
+    """(doc, text): each document's tokens (doc, pos, term) followed by the near
+    words (term, rank, word) of those in the vocabulary, in order."""
+    more = tokens.join(near, "term").select("doc", F.struct(F.lit(1).alias("part"), "pos", "rank", F.col("word").alias("w")).alias("x"))
+    own = tokens.select("doc", F.struct(F.lit(0).alias("part"), "pos", F.lit(0).alias("rank"), F.col("term").alias("w")).alias("x"))
+    both = own.unionByName(more.select("doc", F.struct("x.part", "x.pos", F.col("x.rank").cast("int").alias("rank"), "x.w").alias("x")))
+    return both.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda s: s["w"]), " ").alias("text"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annotara.operators import ordered
 from annotara.session import cut
 
 
@@ -189,6 +190,5 @@ def heap_order(rows: DataFrame, index: str = "idx") -> DataFrame:
     turns = F.substr(bits, F.lit(65) - depth, depth)
     # A node comes after all below it: its path ends with a sign above both turns.
     path = F.concat(F.when(depth > 0, turns).otherwise(F.lit("")), F.lit("2"))
-    from pyspark.sql import Window
-
-    return rows.select(index, F.row_number().over(Window.orderBy(path)).alias("rank"))
+    out = ordered.numbered(rows.select(index, path.alias("_path")), [F.col("_path")], "rank")
+    return out.select(index, (F.col("rank") + 1).alias("rank"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annotara.operators import ordered
+
 EPS = 2.220446049250313e-16
 
 
@@ -40,28 +42,40 @@ def binary_scores(pred: DataFrame, y: str, p: str) -> DataFrame:
     return one.select("precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f1"))
 
 
+def _cumulated(at: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """c_x (sum up to the threshold, from the highest) and t_x (sum of all) of
+    the columns x within by, however many thresholds there are."""
+    run = ordered.running(at, [*[F.col(b) for b in by], F.desc("threshold")], {f"c_{c}": c for c in cols})
+    bounds = [F.min(F.col(f"c_{c}") - F.col(c)).alias(f"b_{c}") for c in cols] + [F.sum(c).alias(f"t_{c}") for c in cols]
+    if by:
+        run = run.join(run.groupBy(*by).agg(*bounds), by)
+    else:
+        one = run.agg(*bounds).first()
+        for k, v in one.asDict().items():
+            run = run.withColumn(k, F.lit(v))
+    for c in cols:
+        run = run.withColumn(f"c_{c}", F.col(f"c_{c}") - F.col(f"b_{c}"))
+    return run
+
+
 def roc(pred: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """(by..., threshold, fpr, tpr) at every distinct score, from the highest.
+    """(by..., threshold, fpr, tpr, step_fpr, step_tpr) at every distinct score,
+    from the highest; the steps are what a threshold adds.
 
-    Counts are pre-aggregated by score, so the window holds distinct scores
-    only; without by it is one ordered pass over them.
+    Counts are pre-aggregated by score, and the running sums are distributed.
     """
     by = by or []
     pos = F.sum(F.when(F.col(y) == 1, 1).otherwise(0))
     at = pred.groupBy(*by, F.col(score).alias("threshold")).agg(pos.alias("p"), (F.count(F.lit(1)) - pos).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    cum = lambda c: F.try_divide(F.sum(c).over(w).cast("double"), F.sum(c).over(whole).cast("double"))
-    return at.select(*by, "threshold", cum("n").alias("fpr"), cum("p").alias("tpr"))
+    run = _cumulated(at, by, ["p", "n"])
+    part = lambda x, c: F.try_divide(F.col(x).cast("double"), F.col(f"t_{c}").cast("double"))
+    return run.select(*by, "threshold", part("c_n", "n").alias("fpr"), part("c_p", "p").alias("tpr"), part("n", "n").alias("step_fpr"), part("p", "p").alias("step_tpr"))
 
 
-def auc(curve: DataFrame, by: list[str] | None = None, x: str = "fpr", y: str = "tpr") -> DataFrame:
+def auc(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., auc) by trapezoids from the origin."""
-    by = by or []
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    px, py = F.coalesce(F.lag(x).over(w), F.lit(0.0)), F.coalesce(F.lag(y).over(w), F.lit(0.0))
-    area = curve.select(*by, ((F.col(x) - px) * (F.col(y) + py) / 2).alias("a"))
-    return area.groupBy(*by).agg(F.sum("a").alias("auc"))
+    area = F.col("step_fpr") * (F.col("tpr") - F.col("step_tpr") / 2)
+    return curve.groupBy(*(by or [])).agg(F.sum(area).alias("auc"))
 
 
 def precision_recall(pred: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -69,9 +83,9 @@ def precision_recall(pred: DataFrame, y: str, score: str, by: list[str] | None =
     by = by or []
     pos = F.sum(F.when(F.col(y) == 1, 1).otherwise(0))
     at = pred.groupBy(*by, F.col(score).alias("threshold")).agg(pos.alias("p"), F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    cp, cm = F.sum("p").over(w).cast("double"), F.sum("m").over(w).cast("double")
-    return at.select(*by, "threshold", (cp / cm).alias("precision"), F.try_divide(cp, F.sum("p").over(Window.partitionBy(*by)).cast("double")).alias("recall"))
+    run = _cumulated(at, by, ["p", "m"])
+    d = lambda x: F.col(x).cast("double")
+    return run.select(*by, "threshold", (d("c_p") / d("c_m")).alias("precision"), F.try_divide(d("c_p"), d("t_p")).alias("recall"))
 
 
 def on_grid(curve: DataFrame, by: list[str], points: int = 100) -> DataFrame:
@@ -123,8 +137,8 @@ def average_rank(rows: DataFrame, c: str) -> DataFrame:
     """(value, rank): average ranks of the distinct values; counts first, so a
     value that a third of all rows share is one row."""
     per = rows.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.select("value", (before.cast("double") + (F.col("n").cast("double") + 1) / 2).alias("rank"))
+    run = ordered.running(per, [F.col("value")], {"upto": "n"})
+    return run.select("value", ((F.col("upto") - F.col("n")).cast("double") + (F.col("n").cast("double") + 1) / 2).alias("rank"))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -195,3 +209,29 @@ def weighted_log_loss(y: Column, p: Column, w: Column | float = 1.0) -> Column:
     """Weighted binary cross-entropy of one prediction."""
     q = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
     return -(y * F.log(q) + (1 - y) * F.log(1 - q)) * w
+
+
+def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, s) silhouettes from a symmetric pair table (i, j, d) and (id, label):
+    mean distance to the own cluster against that to the nearest other; 0 for
+    a cluster of one. Pairs are summed by (row, cluster) before anything else."""
+    lab = labels.select(F.col("id").alias("j"), F.col("label").alias("k"))
+    mean = pairs.join(lab, "j").groupBy("i", "k").agg(F.avg("d").alias("m"))
+    own = mean.join(labels.select(F.col("id").alias("i"), F.col("label").alias("own")), "i")
+    per = own.groupBy("i").agg(F.max(F.when(F.col("k") == F.col("own"), F.col("m"))).alias("a"), F.min(F.when(F.col("k") != F.col("own"), F.col("m"))).alias("b"))
+    return per.select(F.col("i").alias("id"), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("s"))
+
+
+def interpolated_macro(curve: DataFrame, by: str, points: int = 100) -> DataFrame:
+    """(fpr, tpr): the mean of the curves of every class on a common grid."""
+    return on_grid(curve, [by], points).groupBy("fpr").agg(F.avg("tpr").alias("tpr"))
+
+
+def precision_at(ranked: DataFrame, cutoffs: list[int]) -> DataFrame:
+    """(k, precision, recall) of ranked lists (query, rank, relevant) averaged
+    over queries; recall against the relevant items listed."""
+    ks = F.explode(F.array(*[F.lit(k) for k in cutoffs])).alias("k")
+    total = ranked.groupBy("query").agg(F.sum("relevant").cast("double").alias("r"))
+    hit = ranked.select("query", "rank", "relevant", ks).filter("rank <= k").groupBy("query", "k").agg(F.sum("relevant").cast("double").alias("h"))
+    j = hit.join(total, "query")
+    return j.groupBy("k").agg(F.avg(F.col("h") / F.col("k")).alias("precision"), F.avg(F.coalesce(F.try_divide(F.col("h"), F.col("r")), F.lit(0.0))).alias("recall"))

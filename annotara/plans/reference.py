@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annotara.functions import text as T
-from annotara.operators import annotate, cluster, experiment, features, graph, hierarchy, metrics, similarity
+from annotara.operators import annotate, cluster, experiment, features, graph, hierarchy, metrics, similarity, trees
 from annotara.session import cut, table
 from annotara.sources import payloads, readers
 
@@ -771,3 +771,90 @@ def q_sessions(s, d):
     x = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter("user_id is not null")
     w = x.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("n"))
     return w.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("started"), "n")
+
+
+# --- trees, matrices, summaries ---------------------------------------------------
+
+
+@query("tree_preorder", "select 'R:' || r_regionkey as root, 'R:' || r_regionkey as node, 0::bigint as depth from region where r_regionkey in (select n_regionkey from nation) union all select 'R:' || n_regionkey, 'N:' || n_nationkey, 1 from nation where n_nationkey is not null union all select 'R:' || n_regionkey, 'C:' || c_custkey, 2 from customer join nation on c_nationkey = n_nationkey")
+def q_pre(s, d):
+    n = table(s, d, "nation").select(F.concat(F.lit("N:"), "n_nationkey").alias("node"), F.concat(F.lit("R:"), "n_regionkey").alias("parent"))
+    c = table(s, d, "customer").select(F.concat(F.lit("C:"), "c_custkey").alias("node"), F.concat(F.lit("N:"), "c_nationkey").alias("parent"))
+    return trees.preorder(n.unionByName(c)).select("root", "node", "depth")
+
+
+@query("tree_search", "select 'R:' || n_regionkey as root, 'N:' || n_nationkey as node from nation where n_nationkey % 10 = 7 union all select 'R:' || n_regionkey, 'C:' || c_custkey from customer join nation on c_nationkey = n_nationkey where c_custkey % 10 = 7 and n_nationkey % 10 <> 7")
+def q_search(s, d):
+    n = table(s, d, "nation").select(F.concat(F.lit("N:"), "n_nationkey").alias("node"), F.concat(F.lit("R:"), "n_regionkey").alias("parent"))
+    c = table(s, d, "customer").select(F.concat(F.lit("C:"), "c_custkey").alias("node"), F.concat(F.lit("N:"), "c_nationkey").alias("parent"))
+    return trees.search(trees.preorder(n.unionByName(c)), F.col("node").rlike("^[NC].*7$"), stop_found=True)
+
+
+@query("tree_from_children", "select 'r' || r_regionkey as parent, n_nationkey as node, (row_number() over (partition by n_regionkey order by n_nationkey) - 1)::int as nth from nation join region on n_regionkey = r_regionkey")
+def q_kids(s, d):
+    n = table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("kids"))
+    return trees.from_children(n.select(F.concat(F.lit("r"), "n_regionkey").alias("id"), "kids"), "id", "kids").select("parent", "node", "nth")
+
+
+@query("tree_merge_pairs")
+def q_merge(s, d):
+    return trees.merge_pairs(table(s, d, "supplier"), "s_suppkey")
+
+
+@query("batches", "select s_suppkey, ((row_number() over (order by s_suppkey) - 1) // 32)::bigint as batch from supplier")
+def q_batch(s, d):
+    return trees.batches(table(s, d, "supplier"), "s_suppkey", 32).select("s_suppkey", "batch")
+
+
+@query("count_matrix", f"with {TF} select doc, max(case when term = 'protein' then 1 else 0 end) as protein, max(case when term = 'and' then 1 else 0 end) as \"and\" from tf where term in ('protein', 'and') group by 1")
+def q_mat(s, d):
+    return features.count_matrix(counts(s, d), ["protein", "and"])
+
+
+@query("weight_summary", "with w as (select l_linestatus as fold, l_shipdate::date::varchar as feat, sum(l_quantity) as w from lineitem group by 1, 2), x as (select feat, coalesce((w - min(w) over (partition by fold)) / nullif(max(w) over (partition by fold) - min(w) over (partition by fold), 0), 0) as s from w) select feat, round(avg(s), 6) as mean, round(stddev_pop(s), 6) as std from x group by 1")
+def q_wsum(s, d):
+    w = table(s, d, "lineitem").groupBy(F.col("l_linestatus").alias("fold"), F.col("l_shipdate").cast("date").cast("string").alias("feat")).agg(F.sum("l_quantity").alias("w"))
+    return features.weight_summary(w).select("feat", R("mean").alias("mean"), R("std").alias("std"))
+
+
+@query("analyzed_tokens")
+def q_ana(s, d):
+    from annotara.functions import stem
+
+    t = features.analyzed(T.tokens(F.coalesce("text", F.lit(""))), [stem.pattern_stems], keep_orig=True)
+    return docs(s, d).select("doc_id", F.array_join(t, " ").alias("v"))
+
+
+@query("enriched_texts")
+def q_enr(s, d):
+    toks = features.token_rows(docs(s, d), "doc_id", "text")
+    w = table(s, d, "w2v_cache").filter("word is not null").select(F.lower("word").alias("term"), (F.col("idx") % 3).cast("int").alias("rank"), F.concat("word", F.lit("_near")).alias("word")).dropDuplicates(["term"])
+    return features.enriched(toks, w)
+
+
+@query("silhouette", f"with p as (select a.vec_id as i, b.label as k, avg(sqrt({_D2})) as m from embeddings a join embeddings b on a.vec_id <> b.vec_id group by 1, 2), x as (select i, max(case when k = label then m end) as a, min(case when k <> label then m end) as b from p join embeddings on vec_id = i group by 1) select i as id, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 5) as s from x")
+def q_sil(s, d):
+    x = table(s, d, "embeddings")
+    p = similarity.both_ways(similarity.pair_distances(x, "vec_id", "embedding"))
+    return metrics.silhouette(p, x.select(F.col("vec_id").alias("id"), "label")).select("id", R("s", 5).alias("s"))
+
+
+@query("precision_at", "with r as (select o_custkey as query, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank, case when o_orderstatus = 'F' then 1 else 0 end as relevant from orders), t as (select query, sum(relevant)::double as r from r group by 1), h as (select query, k, sum(relevant)::double as h from r, (select unnest([1, 3, 5]) as k) where rank <= k group by 1, 2) select k, round(avg(h / k), 6) as precision, round(avg(coalesce(h / nullif(r, 0), 0)), 6) as recall from h join t using (query) group by 1")
+def q_pat(s, d):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    r = table(s, d, "orders").select(F.col("o_custkey").alias("query"), F.row_number().over(w).alias("rank"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("relevant"))
+    p = metrics.precision_at(r, [1, 3, 5])
+    return p.select("k", R("precision").alias("precision"), R("recall").alias("recall"))
+
+
+@query("series_fields", "select row_no, coalesce(title, '') as title, coalesce(array_to_string(keywords, ';;'), '') as keywords from geo_series")
+def q_fields(s, d):
+    x = table(s, d, "geo_series").withColumn("fields", F.create_map(F.lit("title"), F.array("title"), F.lit("keywords"), F.coalesce("keywords", F.array().cast("array<string>")), F.lit("row"), F.array(F.col("row_no").cast("string"))))
+    return readers.renamed(x, {"row": "row_no", "title": "title", "keywords": "keywords"}).withColumn("row_no", F.col("row_no").cast("bigint"))
+
+
+@query("uncached_texts", "with k as (select distinct md5(coalesce(text, '')) as m from documents where doc_id % 2 = 0) select md5(coalesce(text, '')) as md5 from documents where md5(coalesce(text, '')) not in (select m from k) group by 1")
+def q_cached(s, d):
+    x = docs(s, d)
+    cache = x.filter(F.pmod("doc_id", F.lit(2)) == 0).select(F.md5(F.coalesce("text", F.lit(""))).alias("md5"), F.lit("answer").alias("answer"))
+    return payloads.cached(x.select("doc_id", "text"), "text", cache)[1].select("md5")

@@ -118,3 +118,28 @@ def html_spans(rows: DataFrame, doc: str, html: str, attr: str = "data-sciGraph"
 
 def json_path(c: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.try_parse_json(c), path, kind)
+
+
+def span_lists(rows: DataFrame, doc: str, ident: str, spans: str, offset: str | None = None) -> DataFrame:
+    """(doc, id, start, end) of 'start/length;start/length' position lists,
+    1-based, moved by the sentence's offset."""
+    x = rows.select(F.col(doc).alias("doc"), F.col(ident).alias("id"), (F.col(offset) if offset else F.lit(0)).alias("o"), F.explode(F.regexp_extract_all(spans, F.lit(r"\d+[/^]\d+"), F.lit(0))).alias("p"))
+    p = x.select("doc", "id", "o", F.split("p", r"[/^]").alias("p"))
+    start = F.element_at("p", 1).cast("int") + F.col("o") - 1
+    return p.select("doc", "id", start.alias("start"), (start + F.element_at("p", 2).cast("int")).alias("end"))
+
+
+def cached(texts: DataFrame, text: str, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answered, asked): texts with an answer in a cache (md5, answer), and the
+    distinct texts without one."""
+    keyed = texts.withColumn("md5", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    hit = keyed.join(cache.dropDuplicates(["md5"]), "md5")
+    return hit, keyed.join(cache, "md5", "left_anti").select("md5", text).dropDuplicates(["md5"])
+
+
+def interactions(rows: DataFrame, body: str, taxa: list[int]) -> DataFrame:
+    """(a, b, n) symbol pairs of interaction records within the wanted taxa."""
+    s = "map<string, struct<OFFICIAL_SYMBOL_A: string, OFFICIAL_SYMBOL_B: string, ORGANISM_A: int, ORGANISM_B: int>>"
+    x = rows.select(F.explode(F.map_values(F.from_json(body, s))).alias("r")).select("r.*")
+    keep = x.filter(F.col("ORGANISM_A").isin(taxa) & F.col("ORGANISM_B").isin(taxa))
+    return keep.groupBy(F.col("OFFICIAL_SYMBOL_A").alias("a"), F.col("OFFICIAL_SYMBOL_B").alias("b")).agg(F.count(F.lit(1)).alias("n"))

@@ -261,3 +261,42 @@ def ntriples(lines: DataFrame) -> DataFrame:
     t = lines.filter(F.col("value").rlike(x))
     literal = F.col("value").rlike(r'^\s*\S+\s+<[^>]*>\s+"')
     return t.select(F.regexp_replace(g(1), r"[<>]", "").alias("s"), g(2).alias("p"), F.when(literal, g(5)).otherwise(F.concat(g(3), g(4))).alias("o"), F.nullif(g(6), F.lit("")).alias("o_lang"), literal.alias("o_is_literal")).distinct()
+
+
+def sample_rows(xml: DataFrame, col: str = "value") -> DataFrame:
+    """(id, platform, title, type, organism, tissue, trait, data) of sample
+    elements; traits are the characteristics, data the cells of a data table."""
+    c = clean_xml(F.col(col))
+    one = lambda p: F.trim(F.xpath_string(c, F.lit(p)))
+    traits = F.transform(F.xpath(c, F.lit("//Characteristics/text()")), lambda x: F.trim(x))
+    return xml.select(
+        one("//Sample/@iid").alias("id"), one("//Platform-Ref/@ref").alias("platform"), one("//Title").alias("title"), one("//Sample/Type").alias("type"), one("//Organism").alias("organism"),
+        one("//Characteristics[@tag='tissue']").alias("tissue"), traits.alias("trait"), sample_table(F.xpath_string(c, F.lit("//Internal-Data"))).alias("data"),
+    )
+
+
+def platform_rows(xml: DataFrame, col: str = "value") -> DataFrame:
+    """(id, title, tech, organism, manufacturer, col_desc) of platform elements."""
+    c = clean_xml(F.col(col))
+    one = lambda p: F.trim(F.xpath_string(c, F.lit(p)))
+    desc = F.transform(F.xpath(c, F.lit("//Column/Description/text()")), lambda x: F.trim(x))
+    return xml.select(one("//Platform/@iid").alias("id"), one("//Title").alias("title"), one("//Technology").alias("tech"), one("//Organism").alias("organism"), one("//Manufacturer").alias("manufacturer"), desc.alias("col_desc"))
+
+
+def database_info(xml: DataFrame, col: str = "value") -> DataFrame:
+    """(name, number, last_update) of a database information record."""
+    c = clean_xml(F.col(col))
+    one = lambda p: F.xpath_string(c, F.lit(p))
+    return xml.select(one("//DbName").alias("name"), one("//Count").cast("bigint").alias("number"), one("//LastUpdate").alias("last_update"))
+
+
+def listed(xml: DataFrame, path: str, col: str = "value") -> DataFrame:
+    """(pos, item): the texts at an XPath, one per row."""
+    return xml.select(F.posexplode(path_text(F.col(col), path)).alias("pos", "item"))
+
+
+def renamed(rows: DataFrame, names: dict[str, str], fields: str = "fields") -> DataFrame:
+    """Columns by a map of old to new keys from map<string, array<string>>:
+    missing keys give '', lists of one their element, longer ones joined."""
+    pick = lambda k: F.coalesce(F.array_join(F.try_element_at(fields, F.lit(k)), ";;"), F.lit(""))
+    return rows.select(*[pick(k).alias(v) for k, v in names.items()])
