@@ -186,7 +186,7 @@ def genes(xml: DataFrame, col: str = "value") -> DataFrame:
     return xml.select(
         one("//Gene-track_geneid").alias("id"), one("//Gene-ref_locus").alias("symbol"), one("//Gene-ref_desc").alias("fullname"), one("//Entrezgene_type/@value").alias("type"),
         one("//Gene-track_status/@value").alias("status"), one("//Org-ref_taxname").alias("organism"), F.xpath(c, F.lit("//Gene-ref_syn_E/text()")).alias("synonyms"),
-        F.transform(F.split(one("//OrgName_lineage"), ";"), F.trim).alias("lineage"),
+        F.transform(F.split(one("//OrgName_lineage"), ";"), lambda x: F.trim(x)).alias("lineage"),
     )
 
 
@@ -203,7 +203,7 @@ def series_rows(xml: DataFrame, col: str = "value") -> DataFrame:
     the end of the summary are peeled off it."""
     c = clean_xml(F.col(col))
     body = F.regexp_replace(F.xpath_string(c, F.lit("//Summary")), r"^\s+|\s+$", "")
-    paras = F.transform(F.split(body, r"\s*\n\s*"), F.trim)
+    paras = F.transform(F.split(body, r"\s*\n\s*"), lambda x: F.trim(x))
     base = xml.select(F.xpath_string(c, F.lit("//Series/@iid")).alias("id"), F.xpath_string(c, F.lit("//Title")).alias("title"), paras.alias("paras"))
     is_kw = lambda x: F.rlike(x, F.lit("^Keywords[:=]"))
     return base.select(
