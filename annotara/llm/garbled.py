@@ -390,7 +390,7 @@ _SIGN = "\u0080-\u00bf×÷\u0152-\u0161\u0178\u017d\u017e\u0192\u02c6-\u02dd\u20
 _ODD = re.compile(
     "[\u0080-\u009f\ufffd─-▟｡-ﾟㄅ-ㄯѐ-џЀЂ-Џґ√∫∂∏≠∞¬¦¨¯´¸¤¶†‡ˆ‰‹›˜]|[а-яё][А-ЯЁ]|[А-ЯЁ]{2}|[À-ÿ]{3}|[Ââ][\u00a0-\u00bf€“”»]"
     f"|[ÃÄÅÎÏÐÑØÙ][{_SIGN}À-ÿ]|[âãäåæçèéïðìíîêëàáĂ-ſ][\u0080-\u00a0¡-¶¸-º¼-¿ŒœŠšŸŽžƒ‚„•™€Ă-ſ]|[À-ÿ][¡-¶¸-º¼-¿][À-ÿ]|[•‚ΓΘ][À-ÿ€-₿]"
-    "|[A-Za-z][ŠŽ‚„•§©®±°ΓΘ╨╤‡£¥ªº“”«»–—…¿¡Ŀ-ſ][a-zà-ÿ]|[а-яёА-Я][©®±°№¡-¶¸-º¼-¿•™€]|[Г-Я][a-z“”‘’–—…]|[A-Za-z][А-яЁё]|[Ͱ-Ͽ]{2}|[A-Za-z]Õ[a-z]|[ОП][Ё-ё]?[╨-▟]"
+    "|[A-Za-z][ŠŽ‚„•§©®±°ΓΘ╨╤‡£¥ªº“”«»–—…¿¡Ŀ-ſ][a-zà-ÿ]|[а-яёА-Я][©®±°№¡-¶¸-º¼-¿•™€‚„†‡‰‹›]|[Г-Я][a-z“”‘’–—…]|[A-Za-z][А-яЁё]|[Ͱ-Ͽ]{2}|[A-Za-z]Õ[a-z]|[ОП][Ё-ё]?[╨-▟]"
 )
 #: The inside of runs of ASCII characters: it tells nothing.
 _INSIDE = re.compile("(?<=[\\x00-\\x7f])[\\x00-\\x7f]+(?=[\\x00-\\x7f])")
