@@ -178,7 +178,7 @@ def evolve(cap: int, size: list[int], seeds: list[list[int]], seed: int) -> list
     return out
 
 
-_SCHEMA = "pack_name string, capacity int, shard bigint, island int, doc_id bigint, piece bigint, size bigint, bin bigint, n_bins bigint"
+_SCHEMA = "pack_name string, capacity int, shard bigint, island int, doc_id bigint, piece bigint, size bigint, bin bigint, n_bins bigint, least bigint"
 
 
 def _island(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,8 +188,8 @@ def _island(pdf: pd.DataFrame) -> pd.DataFrame:
     first = own[own.src == own.src.iat[0]].reset_index(drop=True)
     seeds = [g["bin"].tolist() for _, g in own.groupby("src") if g["bin"].notna().all()]
     bins = evolve(cap, first["size"].astype(int).tolist(), [[int(x) for x in s] for s in seeds], shard * 1_000_003 + island)
-    first["bin"], first["n_bins"] = bins, len(set(bins))
-    return first[["pack_name", "capacity", "shard", "island", "doc_id", "piece", "size", "bin", "n_bins"]]
+    first["bin"], first["n_bins"], first["least"] = bins, len(set(bins)), bound(cap, first["size"].astype(int).tolist())
+    return first[["pack_name", "capacity", "shard", "island", "doc_id", "piece", "size", "bin", "n_bins", "least"]]
 
 
 def _shards(items: DataFrame) -> DataFrame:
@@ -199,13 +199,19 @@ def _shards(items: DataFrame) -> DataFrame:
     keys = ["pack_name", "capacity", "shard", "island"]
     out = None
     for e in range(EPOCHS):
-        out = cut(state.groupBy(*keys).applyInPandas(_island, _SCHEMA))
-        if e + 1 < EPOCHS:  # the elite of each island goes to the next one too
-            own = out.withColumn("src", F.lit(0))
-            elite = out.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")).withColumn("src", F.lit(1))
-            state = own.unionByName(elite).drop("n_bins")
-    best = out.groupBy("pack_name", "shard").agg(F.min(F.struct("n_bins", "island")).alias("b")).select("pack_name", "shard", F.col("b.island").alias("island"))
-    return out.join(best, ["pack_name", "shard", "island"]).drop("island", "n_bins")
+        new = cut(state.groupBy(*keys).applyInPandas(_island, _SCHEMA))
+        best = new.groupBy("pack_name", "shard").agg(F.min(F.struct("n_bins", "island")).alias("b"), F.max("least").alias("bound"))
+        best = best.select("pack_name", "shard", F.col("b.island").alias("best"), (F.col("b.n_bins") <= F.col("bound")).alias("proven"))
+        new = cut(new.drop("n_bins", "least").join(best, ["pack_name", "shard"]))
+        # What reached the lower bound can't be bettered; the last epoch ends all.
+        ended = F.col("proven") if e + 1 < EPOCHS else F.lit(True)
+        done = new.filter(ended & (F.col("island") == F.col("best"))).drop("island", "best", "proven")
+        out = done if out is None else out.unionByName(done)
+        # The elite of each island goes to the next one too.
+        left = new.filter(~ended).drop("best", "proven")
+        elite = left.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")).withColumn("src", F.lit(1))
+        state = left.withColumn("src", F.lit(0)).unionByName(elite)
+    return out
 
 
 def pack(sizes: DataFrame, packs: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
