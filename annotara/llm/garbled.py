@@ -176,6 +176,10 @@ _CJK = re.compile(r"[぀-ヿ一-鿿가-힣｡-ﾟ㄀-ㄯ　-〿！-～�Α-ω
 _TELL = re.compile(r"[｡-ﾟ㄀-ㄯ縺繧繝荳蟶鍖銆鐨鏄涓鍦娴鐢鈥锛绗甯鎴缂璇å]|[一-鿿]{2}")
 
 
+#: UTF-8, but for two bytes at either end.
+_UTF8_BODY = re.compile(rb"(?s).{0,2}(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+.{0,2}")
+
+
 def _from_double(text: str) -> Iterator[tuple[int, int, str, float]]:
     """UTF-8 that was read as a two-byte encoding."""
     if not _TELL.search(text):
@@ -189,6 +193,8 @@ def _from_double(text: str) -> Iterator[tuple[int, int, str, float]]:
                     raw = p[0].encode(name)
                 except UnicodeEncodeError:
                     continue
+                if not _UTF8_BODY.fullmatch(raw):
+                    continue
                 # The first and last bytes may belong to lost characters.
                 for lead in range(3):
                     for tail in range(3):
@@ -259,9 +265,17 @@ def _two_bytes(text: str, name: str, t: dict[str, int]) -> list[tuple[int, int,
     return out
 
 
+#: Two characters of _two_bytes next to each other. A run _pairs takes is three
+#: quarters high, so of its pairs one is all high, and so is half of the next.
+_HIGH_BYTE = "[" + "".join(re.escape(c) for c in sorted({*SINGLE["cp1252"], *SINGLE["latin-1"]})) + "]"
+_TWO_PAIRS = re.compile(f"{_HIGH_BYTE}{{3}}(?:{_HIGH_BYTE}|[@-~])|{_HIGH_BYTE}[@-~]{_HIGH_BYTE}{{2}}")
+
+
 def _pairs(text: str) -> Iterator[tuple[int, int, str, float]]:
     """Two-byte encodings read one byte a character: the best of them per text."""
     best: tuple[float, list] = (0.0, [])
+    if not _TWO_PAIRS.search(text):
+        return
     for wrong in ("cp1252", "latin-1"):
         t = SINGLE[wrong]
         for name in ("euc_jp", "cp932", "cp949", "gbk", "big5"):
@@ -308,6 +322,8 @@ def _letters(text: str, wrong: str, meant: str, run: re.Pattern[str]) -> Iterato
 _HIGH = re.compile("[¡-ÿ]")
 _BESIDE = re.compile("[\u0080-ÿ‚„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ]{2}|[\u0080-\u009f]")
 _THAI = re.compile("[ก-๛]")
+#: Two letters of _ACCENTED in a row: without them no word of _words counts.
+_ROW = re.compile("[À-ÿ¨¸]{2}")
 
 
 def _words(text: str) -> list[tuple[int, int, str, float]]:
@@ -315,6 +331,8 @@ def _words(text: str) -> list[tuple[int, int, str, float]]:
     words that look like the language, else it is something else."""
     whole = max(1, sum("À" <= c <= "ÿ" for c in text))
     best: tuple[float, list] = (0.5, [])
+    if not _ROW.search(text):
+        return []
     for meant in ("cp1251", "koi8-r", "cp1256"):
         got = list(_letters(text, "cp1252", meant, _ACCENTED))
         fine = sum(b - a for a, b, new, _ in got if b - a > 1 and _rank(new) <= 0.42 * (b - a)) / whole
@@ -383,33 +401,25 @@ def _cyrillic(text: str) -> Iterator[tuple[int, int, str, float]]:
                     yield m.start() + first, m.start() + last[1], "".join(out), best
 
 
-#: A text with none of these holds no candidate worth its cost: controls and lost
-#: characters, signs that clean text lacks, capitals of two cases in one word,
-#: accented letters beside signs or in a row, and signs inside words.
-_SIGN = "\u0080-\u00bf×÷\u0152-\u0161\u0178\u017d\u017e\u0192\u02c6-\u02dd\u2013-\u2044\u20ac\u2122\u2500-\u25ff"
-_ODD = re.compile(
-    "[\u0080-\u009f\ufffd─-▟｡-ﾟㄅ-ㄯѐ-џЀЂ-Џґ√∫∂∏≠∞¬¦¨¯´¸¤¶†‡ˆ‰‹›˜]|[а-яё][А-ЯЁ]|[А-ЯЁ]{2}|[À-ÿ]{3}|[Ââ][\u00a0-\u00bf€“”»]"
-    f"|[ÃÄÅÎÏÐÑØÙ][{_SIGN}À-ÿ]|[âãäåæçèéïðìíîêëàáĂ-ſ][\u0080-\u00a0¡-¶¸-º¼-¿ŒœŠšŸŽžƒ‚„•™€Ă-ſ]|[À-ÿ][¡-¶¸-º¼-¿][À-ÿ]|[•‚ΓΘ][À-ÿ€-₿]"
-    "|[A-Za-z][ŠŽ‚„•§©®±°ΓΘ╨╤‡£¥ªº“”«»–—…¿¡Ŀ-ſ][a-zà-ÿ]|[а-яёА-Я][©®±°№¡-¶¸-º¼-¿•™€‚„†‡‰‹›]|[Г-Я][a-z“”‘’–—…]|[A-Za-z][А-яЁё]|[Ͱ-Ͽ]{2}|[A-Za-z]Õ[a-z]|[ОП][Ё-ё]?[╨-▟]"
-)
+#: Western text read as another one-byte encoding: letters inside words only.
+WESTERN = (("cp1252", "mac_roman"), ("cp1252", "cp850"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("koi8-r", "cp1252"))
+_OUTSIDE = re.compile("(?:(?<=[\\s.,;:?!(])|^)[À-ÿ](?=\\S|\\s)|(?<=[.?!\\w])[À-ÿ](?=[\\s,.;:)]|$)")
+WESTERN_RUNS = {w: re.compile("(?<=[A-Za-z])[" + "".join(re.escape(c) for c in SINGLE[w] if _kind(c)[0] != "l" and c not in "’”“»«…–—") + "]{1,2}(?=[A-Za-z])") for w, _ in WESTERN}
+
+
 #: The inside of runs of ASCII characters: it tells nothing.
 _INSIDE = re.compile("(?<=[\\x00-\\x7f])[\\x00-\\x7f]+(?=[\\x00-\\x7f])")
-_WIDE = re.compile("[぀-ヿ一-鿿가-힣]{3,}")
-_PACKED = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2,}")
+#: What the candidates ask for, but for UTF-8 read as cp866 or as a two-byte encoding.
+_ODD = re.compile("|".join([*(p.pattern[:-1] for n, p in UTF8_RUNS.items() if n != "cp866"), _ROW.pattern, _TWO_PAIRS.pattern, *(p.pattern for p in WESTERN_RUNS.values()), _SHIFTED.pattern]))
 
 
 def suspicious(text: str) -> bool:
-    """A quick look: False only where nothing can be found."""
-    if _ODD.search(_INSIDE.sub(" ", text)):
+    """A quick look, by the patterns of the candidates themselves: False only
+    where _candidates finds nothing STRONG."""
+    short = _INSIDE.sub(" ", text)
+    if _ODD.search(short) or _BOX.search(short) and UTF8_RUNS["cp866"].search(short):
         return True
-    wide = " ".join(_WIDE.findall(text))
-    return bool(wide) and any(_PACKED.search(wide.encode(n, "ignore")) for n in DOUBLE)
-
-
-#: Western text read as another one-byte encoding: letters inside words only.
-WESTERN = (("cp1252", "mac_roman"), ("cp1252", "cp850"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("koi8-r", "cp1252"))
-_OUTSIDE = re.compile("(?:(?<=[\\s.,;:?!(])|^)[À-ÿ](?=\\S|\\s)|(?<=[.?!\\w])[À-ÿ](?=[\\s,.;:)]|$)")
-WESTERN_RUNS = {w: re.compile("(?<=[A-Za-z])[" + "".join(re.escape(c) for c in SINGLE[w] if _kind(c)[0] != "l" and c not in "’”“»«…–—") + "]{1,2}(?=[A-Za-z])") for w, _ in WESTERN}
+    return any(c[3] >= STRONG for c in _from_double(text))
 
 
 def _candidates(text: str) -> list[tuple[int, int, str, float]]:

@@ -57,3 +57,26 @@ def test_rows(spark):
     assert sorted(r.id for r in G.found(df, "id", "text").collect()) == [1, 1, 5]
     assert {r.restored for r in G.restored(df, "id", "text").filter("id = 1").collect()} == {TEXTS["fr"]}
     assert G.found(df.limit(0), "id", "text").count() == 0
+
+
+@pytest.mark.parametrize(("t", "wrong"), [("the β-chain", "mac_roman"), ("the γ-chain", "mac_roman"), ("a “word", "cp850"), ("so … on", "cp850")])
+def test_one_short_stretch_is_found(t, wrong):
+    bad = t.encode().decode(wrong)
+    assert any(c[3] >= G.STRONG for c in G._candidates(bad))
+    assert G.is_hit(bad) and G.repair(bad) == (t, True)
+
+
+def test_the_gate_is_no_narrower_than_the_candidates():
+    import random
+
+    rng = random.Random(5)
+    parts = [*"βγπσµéüßÉñøαΩ±°·“”…—–œ", *"жёЯ", "é“", "ção", "Ñandú", "при", "抗体", "医生", "テスト", "한국", "ลอง", "لم ", "ab", "x", " ", "-", "Yes", "@a"]
+    names = ["utf-8", *G.SINGLE, *G.DOUBLE, "euc_jp", "cp874", "cp1256", "iso8859-5"]
+    strong = 0
+    for _ in range(6000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        bad = rng.choice(["", " ", "in "]) + t.encode(rng.choice(names), "ignore").decode(rng.choice(names), rng.choice(["ignore", "replace"])) + rng.choice(["", " ", "s of"])
+        if any(c[3] >= G.STRONG for c in G._candidates(bad)):
+            strong += 1
+            assert G.suspicious(bad), bad
+    assert strong > 400
