@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -121,29 +122,67 @@ def _word_places(t: str) -> list[tuple[str, int, int]]:
     return [(m[0], m.start(), m.end()) for m in _WORD(t)]
 
 
+#: Bits of the map of first words: what it lets through is joined, so it costs no hit.
+FIRST_BITS = 1 << 20
+
+
+def _words_ahead(docs: DataFrame, key: str, text: str, firsts: bytes, longest: int) -> DataFrame:
+    """(doc, start, ahead) of the words that may be first words of terms: the
+    words (w, e) from there, as many as the longest term has, with the gap g
+    before each. Words that engines may lower differently always may be."""
+
+    def may(w: str) -> bool:
+        if not w.isascii() and any(c in "İΣ" or c >= "\u0530" and c.lower() != c for c in w):
+            return True
+        h = zlib.crc32(w.lower().encode()) % FIRST_BITS
+        return bool(firsts[h >> 3] >> (h & 7) & 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                d, s, a = [], [], []
+                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    places = _word_places(t) if t else []
+                    for i, (w, at, _) in enumerate(places):
+                        if may(w):
+                            d.append(k)
+                            s.append(at)
+                            a.append([{"w": x, "e": e, "g": t[places[j - 1][2] : b0] if j > i else ""} for j, (x, b0, e) in enumerate(places[i : i + longest], i)])
+                yield pa.RecordBatch.from_arrays([pa.array(d, part.column(0).type), pa.array(s, pa.int32()), pa.array(a, pa.list_(pa.struct([("w", pa.string()), ("e", pa.int32()), ("g", pa.string())])))], names=["doc", "start", "ahead"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc {kind}, start int, ahead array<struct<w:string,e:int,g:string>>")
+
+
 def match_dictionary(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """(doc, id, start, end, text): whole-word places of dictionary terms
-    (id, term), whatever the case, the longest at each place.
+    (id, term), whatever the case, the longest at each place; every id of a
+    term is given.
 
-    The terms are met by an equi-join on their first word with every place
-    where it stands, so neither side is broadcast whatever its size; a term of
-    n words is compared with the n words there.
+    Places are met by an equi-join with the first words of terms, then by
+    another, on all words, with the terms of each length that such a first word
+    has, so neither side is broadcast whatever its size. A bit map of the first
+    words, of a fixed size, keeps most other places from being moved.
     """
     words = F.filter(F.split(F.lower(F.trim("term")), r"\s+"), lambda w: w != "")
-    dict_rows = terms.select("id", words.alias("words")).filter(F.size("words") > 0).select("id", F.element_at("words", 1).alias("first"), "words", F.size("words").alias("n"))
-    lens = sorted(r.n for r in dict_rows.select("n").distinct().limit(64).collect())
-    if not lens:
+    dict_rows = terms.select("id", words.alias("words")).filter(F.size("words") > 0).distinct()
+    longest = dict_rows.agg(F.max(F.size("words"))).first()[0]
+    if not longest:
         return docs.select(F.col(key).alias("doc")).filter("false").select("doc", F.lit(0).alias("id"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("text"))
-    places = _arrow_spans(docs, key, text, _word_places)
-    ahead = Window.partitionBy("doc").orderBy("i").rowsBetween(0, lens[-1] - 1)
-    low = F.lower("str")
-    each = places.select("doc", low.alias("first"), "start", F.collect_list(F.struct(low.alias("w"), F.col("end").alias("e"))).over(ahead).alias("ahead"))
-    hit = each.join(dict_rows, "first").filter((F.size("ahead") >= F.col("n")) & (F.transform(F.slice("ahead", 1, F.col("n")), lambda x: x["w"]) == F.col("words")))
-    tail = F.element_at(F.slice("ahead", 1, F.col("n")), -1)
-    ended = hit.select("doc", "id", "start", tail["e"].alias("end"), "n")
-    best = F.row_number().over(Window.partitionBy("doc", "start").orderBy(F.desc("n"), "id"))
-    kept = ended.withColumn("r", best).filter("r = 1").select("doc", "id", "start", "end")
-    return kept.join(docs.select(F.col(key).alias("doc"), F.col(text).alias("body")), "doc").select("doc", "id", "start", "end", F.expr("substring(body, start + 1, end - start)").alias("text"))
+    first = F.element_at("words", 1)
+    firsts = bytearray(FIRST_BITS // 8)
+    for (h,) in dict_rows.select(F.crc32(first) % FIRST_BITS).distinct().collect():
+        firsts[h >> 3] |= 1 << (h & 7)
+    lens = dict_rows.groupBy(first.alias("first")).agg(F.collect_set(F.size("words")).alias("lens"))
+    each = _words_ahead(docs, key, text, bytes(firsts), longest).withColumn("first", F.lower(F.col("ahead")[0]["w"]))
+    tried = each.join(lens, "first").select("doc", "start", "ahead", F.explode("lens").alias("n")).filter(F.size("ahead") >= F.col("n"))
+    there = F.slice("ahead", 1, F.col("n"))
+    body = F.array_join(F.transform(there, lambda x: F.concat(x["g"], x["w"])), "")
+    hit = tried.select("doc", "start", "n", F.transform(there, lambda x: F.lower(x["w"])).alias("words"), F.element_at(there, -1)["e"].alias("end"), body.alias("text")).join(dict_rows.select("words").distinct(), "words")
+    best = F.row_number().over(Window.partitionBy("doc", "start").orderBy(F.desc("n")))
+    kept = hit.withColumn("r", best).filter("r = 1")
+    return kept.join(dict_rows, "words").select("doc", "id", "start", "end", "text")
 
 
 def dependency_edges(rows: DataFrame, col: str) -> DataFrame:

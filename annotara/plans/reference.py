@@ -646,12 +646,17 @@ def q_heap(s, d):
 
 
 def _dictionary(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "concepts").filter("lb is not null and trim(lb) <> ''").groupBy(F.element_at(F.split(F.trim("lb"), " "), 1).alias("term")).agg(F.min("row_no").alias("id")).select("id", "term")
+    """(id, term): every label of every concept, whole."""
+    return table(s, d, "concepts").filter("lb is not null and trim(lb) <> ''").select(F.col("node_id").alias("id"), F.trim("lb").alias("term")).distinct()
 
 
 @query("dictionary_match")
 def q_dict(s, d):
-    return annotate.match_dictionary(table(s, d, "triples").filter("o_is_literal").select(F.monotonically_increasing_id().alias("k"), "o"), "k", "o", _dictionary(s, d)).select("id", "start", "end", "text")
+    """Places of labels in documents and in literals, which have no key."""
+    lit = table(s, d, "triples").filter("o_is_literal").select(F.monotonically_increasing_id().alias("k"), "o")
+    t, cols = _dictionary(s, d), ("id", "start", "end", "text")
+    in_docs = annotate.match_dictionary(docs(s, d), "doc_id", "text", t).select(F.lit("documents").alias("tbl"), "doc", *cols)
+    return in_docs.unionByName(annotate.match_dictionary(lit, "k", "o", t).select(F.lit("triples").alias("tbl"), F.lit(None).cast("bigint").alias("doc"), *cols))
 
 
 def _annots(s: SparkSession, d: str) -> DataFrame:
