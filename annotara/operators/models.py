@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 from annotara.functions import text as T
 
 
+#: More terms than a vector has places: CountVectorizer then takes as many as it counts.
+ALL_TERMS = 2**31 - 1
+
+
 def word_vectors(docs: DataFrame, text: str, size: int = 100, window: int = 5, min_count: int = 5, seed: int = 7) -> DataFrame:
     """(word, v) of skip-gram vectors."""
     m = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, inputCol="t", outputCol="o", maxIter=1).fit(docs.select(T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")))
     return m.getVectors().select("word", vector_to_array("vector").alias("v"))
 
 
-def topics(docs: DataFrame, key: str, text: str, k: int = 10, vocab: int = 5000, seed: int = 7) -> DataFrame:
-    """(doc, cluster, u): topic mixture of every document."""
+def topics(docs: DataFrame, key: str, text: str, k: int = 10, vocab: int = ALL_TERMS, seed: int = 7) -> DataFrame:
+    """(doc, cluster, u): topic mixture of every document, over all its terms
+    unless vocab names how many of the most frequent ones are to be used."""
     toks = docs.select(F.col(key).alias("doc"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     x = CountVectorizer(inputCol="t", outputCol="features", vocabSize=vocab).fit(toks).transform(toks)
     d = LDA(k=k, maxIter=5, seed=seed).fit(x).transform(x)

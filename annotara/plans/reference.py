@@ -751,7 +751,7 @@ def q_w2v(s, d):
 def q_lda(s, d):
     from annotara.operators import models
 
-    return models.topics(docs(s, d), "doc_id", "text", k=4, vocab=1000).select("doc", "cluster", R("u", 3).alias("u"))
+    return models.topics(docs(s, d), "doc_id", "text", k=4).select("doc", "cluster", R("u", 3).alias("u"))
 
 
 @query("principal")
