@@ -195,6 +195,11 @@ def q_db(s, d):
     return docs(s, d).filter(F.length("text") <= 200).select("doc_id", T.drop_bracketed(F.col("text")).alias("v"))
 
 
+@query("drop_bracketed", r"select doc_id, regexp_replace(text, '\[.*\]', '', 'g') as v from documents")
+def q_dba(s, d):
+    return docs(s, d).select("doc_id", T.drop_bracketed(F.col("text")).alias("v"))
+
+
 @query("word_span", "select doc_id, case when strpos(text, 'protein') > 0 then strpos(text, 'protein') - 1 else length(text) end as s, case when strpos(text, 'protein') > 0 then strpos(text, 'protein') + 6 else length(text) end as e from documents")
 def q_ws(s, d):
     x = docs(s, d).select("doc_id", T.word_span(F.col("text"), F.lit("protein")).alias("x"))
@@ -662,7 +667,7 @@ def q_dict(s, d):
 def _annots(s: SparkSession, d: str) -> DataFrame:
     """The tokens' places of three or more characters as annotations of documents."""
     t = annotate.spans_of_tokens(docs(s, d), "doc_id", "text")
-    return t.filter((F.length("str") > 6) & (F.pmod("i", F.lit(3)) == 0)).select("doc", F.col("i").alias("annot"), (F.col("start") + 1).alias("start"), (F.col("end") + 3).alias("end"))
+    return t.filter(F.length("str") >= 3).select("doc", F.col("i").alias("annot"), (F.col("start") + 1).alias("start"), (F.col("end") + 3).alias("end"))
 
 
 @query("annotation_alignment")
