@@ -14,13 +14,13 @@ units are placed back into the text as stored.
 
 Defined cases: null, empty and blank texts have no unit; units are in order, do
 not overlap, leave out white space only and neither begin nor end with it; an
-opening bracket or quote that nothing closes within REACH characters or before
-a blank line is an ordinary character.
+opening bracket or quote that nothing closes before a blank line is an ordinary character.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from annotara.llm.garbled import restore
 
-#: How far a closing mark is looked for; marks of a chunk.
-REACH, CHUNK = 1500, 2048
+#: Marks of a chunk.
+CHUNK = 2048
 
 #: Kinds of brackets and quotes: opening character to closing characters.
 KINDS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "〈": "〉", "《": "》", "“": "”", "„": "“”", "«": "»", "‘": "’", '"': '"'}
@@ -234,7 +234,7 @@ def _breaks(text: str) -> tuple[list[int], set[int]]:
         closed = line.rstrip("”»’\"」』)）]").endswith(tuple(_TERMINAL)) or _CITE.search(line[-12:]) is not None and line.endswith("]")
         item = _ITEM.match(text, a, b)
         kind = "closed" if closed else "open"
-        if item and (before != "open" or not closed) and (not closed or item[1] or before == "item") and len(line) <= 200 and not (before == "open" and (closed or not item[1] and len(line) > 60)):
+        if item and (before != "open" or not closed) and (not closed or item[1] or before == "item") and not (before == "open" and (closed or not item[1] and len(line) > 60)):
             kind = "item"
             markers.update(range(a, item.end()))
         elif not closed and before != "open" and len(line) <= 42 and x + 1 < len(lines) and len(line.split()) <= 6 and not line.endswith(("，", ",", "、", ";")):
@@ -259,6 +259,28 @@ def marks_of(text: str) -> tuple[list[int], list[int]]:
     syms: list[int] = []
     places: list[int] = []
     n = len(text)
+    blanks: list[int] | None = None if "\n" in text else []
+    found: dict[str, int] = {}
+
+    def blank(a: int, b: int) -> bool:
+        nonlocal blanks
+        if blanks is None:
+            blanks = [m.start() for m in _BLANK.finditer(text)]
+        x = bisect_left(blanks, a)
+        return x < len(blanks) and blanks[x] < b
+
+    def ahead(c: str, j: int) -> int:
+        """The first c from j that no blank line parts from it, or -1."""
+        stop = found.get(c, 0)
+        if stop < j:
+            stop = found[c] = text.find(c, j) % (n + 1)
+        return -1 if stop == n or blank(j, stop) else stop
+
+    def behind(c: str, i: int) -> int:
+        """The last c before i that no blank line parts from it, or -1."""
+        prior = text.rfind(c, 0, i)
+        return -1 if prior >= 0 and blank(prior, i) else prior
+
     last, h = 0, 0
 
     def gap(upto: int) -> None:
@@ -338,10 +360,10 @@ def marks_of(text: str) -> tuple[list[int], list[int]]:
             continue
         if c in KINDS and c not in ('"', "“"):
             close = KINDS[c]
-            stop = text.find(close[0], j, j + REACH)
+            stop = ahead(close[0], j)
             if len(close) > 1:
-                stop = max(stop, text.find(close[1], j, j + REACH)) if stop < 0 else stop
-            if stop < 0 or (text.find("\n", j, stop) >= 0 and _BLANK.search(text, j, stop)):
+                stop = max(stop, ahead(close[1], j)) if stop < 0 else stop
+            if stop < 0:
                 continue
             gap(i)
             syms.append(_FIRST + 4 * _OPENERS.index(c))
@@ -378,13 +400,13 @@ def marks_of(text: str) -> tuple[list[int], list[int]]:
             own = _OPENERS.index(c)
             opens = i == 0 or text[i - 1].isspace() or text[i - 1] in "([（" or (i and _uncased(text[i - 1])) or text[i - 1] in _TERMINAL
             if opens and c == "“":
-                stop = text.find("”", j, j + REACH)
-                low = text.rfind("„", max(0, i - REACH), i)
-                if low < 0 and (stop < 0 or _BLANK.search(text, j, stop)):
+                stop = ahead("”", j)
+                low = behind("„", i)
+                if low < 0 and stop < 0:
                     continue
             if c == '"':
-                stop = text.find('"', j, j + REACH)
-                prior = text.rfind('"', max(0, i - REACH), i)
+                stop = ahead('"', j)
+                prior = behind('"', i)
                 if stop < 0 and prior < 0:
                     continue
             gap(i)

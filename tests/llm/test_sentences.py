@@ -68,3 +68,12 @@ def test_empty_long_and_garbled(spark):
     t = rows[4][1]
     assert [t[r.sent_start : r.sent_end] for r in got if r.doc_id == 5][:3] == ["Ã‰ seguro?", "NÃ£o.", "Fim."]
     assert S.split(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(("a", "b"), [("(", ")"), ("“", "”"), ('"', '"'), ("„", "“")])
+def test_long_quotations_and_list_items_are_whole(a, b):
+    inside = "It rose. It fell. " * 150
+    text = f"Foo said {a}{inside.strip()}{b}, and left."
+    assert parts(text + " Then.") == [text, "Then."]
+    item = "- " + "one item of many words, " * 12 + "and more"
+    assert parts(f"Results:\n{item}\n{item}") == ["Results:", item, item]
