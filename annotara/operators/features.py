@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annotara.functions import text as T
+from annotara.operators import ordered
+from annotara.session import cut, partitions
 
 
 def token_rows(docs: DataFrame, key: str, text: str, pattern: str = T.TOKEN) -> DataFrame:
@@ -60,17 +62,46 @@ def top_terms(weights: DataFrame, k: int) -> DataFrame:
     return weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc", "rank", "term", F.round("w", 4).alias("w"))
 
 
+#: Labels of a block: what a term meets at once.
+LABEL_BLOCK = 1000
+
+
+def _margins(labels: DataFrame) -> tuple[DataFrame, int]:
+    """(block, salt, margins array<struct<label, ny>>) of every label, and how
+    many blocks there are; each block is there once for every salt, so that the
+    terms that meet it are spread over all tasks."""
+    ny = labels.groupBy("label").agg(F.count(F.lit(1)).alias("ny"))
+    n = ordered.numbered(ny, [F.col("label")], "nth")
+    blocks = n.groupBy(F.floor(F.col("nth") / LABEL_BLOCK).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("label", "ny"))).alias("margins"))
+    blocks = cut(blocks)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(partitions(labels.sparkSession) - 1))).alias("salt")
+    return blocks.select("block", salts, "margins"), blocks.count()
+
+
+def _with_margins(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """(term, nx, margins): every term with the margins of every block."""
+    nx = features.groupBy("term").agg(F.count(F.lit(1)).alias("nx"))
+    margins, blocks = _margins(labels)
+    salt = F.pmod(F.xxhash64("term"), F.lit(partitions(labels.sparkSession))).cast("int").alias("salt")
+    each = nx.select("term", "nx", salt, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)) if blocks else F.array().cast("array<int>")).alias("block"))
+    return each.join(margins, ["block", "salt"]).select("term", "nx", "margins")
+
+
+def met(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """(term, label, n11) of the pairs that meet in a document."""
+    return features.join(labels, "doc").groupBy("term", "label").agg(F.count(F.lit(1)).alias("n11"))
+
+
 def contingency(features: DataFrame, labels: DataFrame, n_docs: int) -> DataFrame:
-    """(term, label, n11, n10, n01, n00) from distinct (doc, term) and (doc, label).
+    """(term, label, n11, n10, n01, n00) of every feature and every label, from
+    distinct (doc, term) and (doc, label); n10 has the feature only, n01 the
+    label only. A pair that never meets has n11 = 0, and its row counts.
 
-    n10 has the feature only, n01 the label only. Pairs that never meet are
-    left out when neither side asks for them: scorers that need them use
-    all_pairs=True in scores().
+    The rows asked for are features x labels; they are expanded from the terms'
+    margins and blocks of the labels' margins, and no documents are paired.
     """
-    nx = features.groupBy("term").agg(F.count(F.lit(1)).alias("nx"))
-    ny = labels.groupBy("label").agg(F.count(F.lit(1)).alias("ny"))
-    joint = features.join(labels, "doc").groupBy("term", "label").agg(F.count(F.lit(1)).alias("n11"))
-    rows = joint.join(nx, "term").join(ny, "label")
+    every = _with_margins(features, labels).select("term", "nx", F.explode("margins").alias("m")).select("term", "nx", "m.label", "m.ny")
+    rows = every.join(met(features, labels), ["term", "label"], "left").withColumn("n11", F.coalesce("n11", F.lit(0).cast("bigint")))
     return rows.select(
         "term", "label", "n11", (F.col("nx") - F.col("n11")).alias("n10"), (F.col("ny") - F.col("n11")).alias("n01"),
         (F.lit(n_docs) - F.col("nx") - F.col("ny") + F.col("n11")).alias("n00"),
@@ -85,12 +116,17 @@ def _plogp(p: Column) -> Column:
     return F.when(p > 0, p * F.log2(p)).otherwise(0.0)
 
 
-def _cells() -> SimpleNamespace:
-    """The cells and margins of a contingency row."""
-    a, b, c, e = _d("n11"), _d("n10"), _d("n01"), _d("n00")
+def _cells(a: Column, b: Column, c: Column, e: Column) -> SimpleNamespace:
+    """The cells n11, n10, n01, n00 and the margins of a contingency row."""
     return SimpleNamespace(N11=a, N10=b, N01=c, N00=e, N=a + b + c + e, NY=a + c, NN=b + e, NX=a + b, NZ=c + e)
 
 
+def _score(how: str, n11: Column, nx: Column, ny: Column, n_docs: int) -> Column:
+    """A scorer of n11 and the margins; undefined ratios count as 0."""
+    a, x, y = n11.cast("double"), nx.cast("double"), ny.cast("double")
+    return F.coalesce(SCORERS[how](_cells(a, x - a, y - a, F.lit(float(n_docs)) - x - y + a)), F.lit(0.0))
+
+
 def _gu(c: SimpleNamespace) -> Column:
     p = F.try_divide(c.N10 + c.N11, c.N)
     z = F.try_divide(c.N11 - c.N10, F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) * (F.try_divide(F.lit(1.0), c.NY) + F.try_divide(F.lit(1.0), c.NN))))
@@ -134,18 +170,37 @@ SCORERS: dict[str, Callable[[SimpleNamespace], Column]] = {
 def scores(table: DataFrame, how: str, per_label: bool = False, scaled: bool = False) -> DataFrame:
     """(term[, label], score): a scorer summed over labels; undefined ratios
     count as 0. scaled is min-max over features, a constant giving 0."""
-    s = F.coalesce(SCORERS[how](_cells()), F.lit(0.0))
+    s = F.coalesce(SCORERS[how](_cells(_d("n11"), _d("n10"), _d("n01"), _d("n00"))), F.lit(0.0))
     each = table.select("term", "label", s.alias("score"))
     if per_label:
         return each
     out = each.groupBy("term").agg(F.sum("score").alias("score"))
-    if scaled:
-        bounds = out.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
-        if bounds.lo is None:
-            return out
-        width = bounds.hi - bounds.lo
-        out = out.select("term", ((F.col("score") - bounds.lo) / width if width else F.lit(0.0)).alias("score"))
-    return out
+    return min_max(out) if scaled else out
+
+
+def summed_scores(features: DataFrame, labels: DataFrame, n_docs: int, how: str, scaled: bool = False) -> DataFrame:
+    """(term, score): scores(contingency(...), how) without its rows. A term's
+    sum over all labels is first taken as if it met none, from the margins
+    alone; the pairs that do meet then add what they differ by."""
+    every = _with_margins(features, labels)
+    zero = F.lit(0)
+    base = F.aggregate("margins", F.lit(0.0), lambda t, m: t + _score(how, zero, F.col("nx"), m["ny"], n_docs))
+    none = every.select("term", base.alias("score"))
+    nx = features.groupBy("term").agg(F.count(F.lit(1)).alias("nx"))
+    ny = labels.groupBy("label").agg(F.count(F.lit(1)).alias("ny"))
+    pairs = met(features, labels).join(nx, "term").join(ny, "label")
+    more = pairs.select("term", (_score(how, F.col("n11"), F.col("nx"), F.col("ny"), n_docs) - _score(how, zero, F.col("nx"), F.col("ny"), n_docs)).alias("score"))
+    out = none.unionByName(more).groupBy("term").agg(F.sum("score").alias("score"))
+    return min_max(out) if scaled else out
+
+
+def min_max(scored: DataFrame) -> DataFrame:
+    """Scores brought to 0..1 over features, a constant giving 0."""
+    bounds = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    if bounds.lo is None:
+        return scored
+    width = bounds.hi - bounds.lo
+    return scored.select("term", ((F.col("score") - bounds.lo) / width if width else F.lit(0.0)).alias("score"))
 
 
 def k_best(scored: DataFrame, k: int) -> DataFrame:

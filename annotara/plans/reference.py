@@ -88,8 +88,9 @@ def q_ngrams(s, d):
 
 _LAB = "lab as (select doc_id as doc, 'section:' || lower(section) as label from documents where section is not null union all select doc_id, 'long' from documents where length(text) > 800)"
 _CT = f"""{TF}, {_LAB}, nx as (select term, count(*) as nx from tf group by 1), ny as (select label, count(*) as ny from lab group by 1),
-j as (select term, label, count(*) as n11 from tf join lab using (doc) group by 1, 2),
-ct as (select term, label, n11, nx - n11 as n10, ny - n11 as n01, {NDOC} - nx - ny + n11 as n00 from j join nx using (term) join ny using (label)),
+j as (select term, label, count(*) as n from tf join lab using (doc) group by 1, 2),
+dense as (select term, label, nx, ny, coalesce(j.n, 0) as n11 from nx cross join ny left join j using (term, label)),
+ct as (select term, label, n11, nx - n11 as n10, ny - n11 as n01, {NDOC} - nx - ny + n11 as n00 from dense),
 f as (select term, label, n11::double as a, n10::double as b, n01::double as c, n00::double as e, (n11 + n10 + n01 + n00)::double as n from ct)"""
 
 
@@ -99,6 +100,10 @@ def labels(s: SparkSession, d: str) -> DataFrame:
     return one.unionByName(x.filter(F.length("text") > 800).select(F.col("doc_id").alias("doc"), F.lit("long").alias("label")))
 
 
+def summed(s: SparkSession, d: str, how: str, scaled: bool = False) -> DataFrame:
+    return features.summed_scores(counts(s, d).select("doc", "term"), labels(s, d), docs(s, d).count(), how, scaled)
+
+
 def table_of(s: SparkSession, d: str) -> DataFrame:
     return features.contingency(counts(s, d).select("doc", "term"), labels(s, d), docs(s, d).count())
 
@@ -115,7 +120,7 @@ _SC = {
     "odds_ratio": _NULL0("a * e", "c * b"),
     "ngl": _NULL0("sqrt(n) * (a * e - c * b)", "sqrt((a + c) * (b + e) * (a + b) * (c + e))"),
     "mutual_info": _NULL0("n * a", "(a + c) * (a + b)"),
-    "mutual_info_log": "coalesce(log2(n * a / nullif((a + c) * (a + b), 0)), 0)",
+    "mutual_info_log": "coalesce(log2(nullif(n * a / nullif((a + c) * (a + b), 0), 0)), 0)",
     "fisher": _NULL0("(a/(a+c) - b/nullif(b+e,0)) * (a/(a+c) - b/nullif(b+e,0))", "(a*(1-a/(a+c))*(1-a/(a+c)) + (n-a)*(a/(a+c))*(a/(a+c)))/n + (b*(1-b/nullif(b+e,0))*(1-b/nullif(b+e,0)) + (n-b)*(b/nullif(b+e,0))*(b/nullif(b+e,0)))/n"),
     "gu": "coalesce(abs((a - b) / nullif(sqrt(greatest(((a + b) / n) * (1 - (a + b) / n), 0) * (1.0 / nullif(a + c, 0) + 1.0 / nullif(b + e, 0))), 0)) * a * (b + e) / nullif((a + c) * b, 0), 0)",
     "info_gain": f"coalesce(-{_PL('((a+c)/n)')} + {_PL('((b+e)/n)')} - ((a+b)/n) * (-{_PL('(a/nullif(a+b,0))')} - {_PL('((b+e)/n)')}) + (1 - (a+b)/n) * (-{_PL('(c/nullif(c+b,0))')} - {_PL('(e/nullif(c+b,0))')}), 0)",
@@ -124,7 +129,7 @@ for _name, _sql in _SC.items():
 
     @query(f"score_{_name}", f"with {_CT} select term, round(sum({_sql}), 4) as score from f group by 1")
     def _score(s, d, _name=_name):
-        return features.scores(table_of(s, d), _name).select("term", R("score", 4).alias("score"))
+        return summed(s, d, _name).select("term", R("score", 4).alias("score"))
 
 
 _GSS = f"g as (select term, sum({_SC['gss']}) as score from f group by 1)"
@@ -132,17 +137,17 @@ _GSS = f"g as (select term, sum({_SC['gss']}) as score from f group by 1)"
 
 @query("score_scaled", f"with {_CT}, {_GSS} select term, round((score - (select min(score) from g)) / (select max(score) - min(score) from g), 6) as score from g")
 def q_scaled(s, d):
-    return features.scores(table_of(s, d), "gss", scaled=True).select("term", R("score").alias("score"))
+    return summed(s, d, "gss", True).select("term", R("score").alias("score"))
 
 
 @query("k_best", f"with {_CT}, {_GSS} select term, score from g order by score desc, term limit 100")
 def q_best(s, d):
-    return features.k_best(features.scores(table_of(s, d), "gss"), 100)
+    return features.k_best(summed(s, d, "gss"), 100)
 
 
 @query("over_value", f"with {_CT}, {_GSS} select term, score from g where score > 1000")
 def q_over(s, d):
-    return features.over_value(features.scores(table_of(s, d), "gss"), 1000)
+    return features.over_value(summed(s, d, "gss"), 1000)
 
 
 @query("union_top", f"with {_CT}, r as (select term, {_SC['gss']} as score, row_number() over (partition by label order by {_SC['gss']} desc, term) as r from f) select term, sum(score) as score from r where r <= 10 group by 1")
