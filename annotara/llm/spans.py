@@ -3,11 +3,14 @@
 Method: repeated-phrase automata. Every window of MIN_SPAN code points has one
 least-hashed phrase of PHRASE code points, the same wherever the window stands;
 phrases met in more than one text are the recurring ones. They are compiled,
-shard by shard, into Aho-Corasick automata, and each text that can hold a
-phrase of a shard is streamed through it, which locates every occurrence to the
-letter. Windows around occurrences are then confirmed by a hash of the whole
-window, counted over texts with min and max, so a passage in a third of all
-rows is pre-aggregated and no pair of texts is ever formed.
+shard by shard, into Aho-Corasick automata, and each block of a text that can
+hold a phrase of a shard is streamed through it, which locates every occurrence
+to the letter. Round the places located, a text is cut into stretches whose
+windows have the same phrase as their least; equal stretches, compared as
+texts, are one row with the least and greatest text that holds them, so a
+passage in a third of all rows is pre-aggregated and no pair of texts is ever
+formed. Stretches of one text only are met window by window, by two independent
+64-bit hashes of a window.
 
 Exact copies are met once: a text with copies is shared as a whole, and its
 spans are handed to its copies by a join at the end.
@@ -31,9 +34,9 @@ from annotara.session import partitions, stored
 
 MIN_SPAN, PHRASE = 200, 120
 #: Phrases of an automaton, and code points streamed by one task of a shard.
-SHARD_PHRASES, TASK_CHARS = 8_000, 12_000_000
-#: Code points hashed at once.
-BLOCK = 1_000_000
+SHARD_PHRASES, TASK_CHARS = 8_000, 24_000_000
+#: Code points hashed at once, and windows of a block that is routed by itself.
+BLOCK, ROUTE = 1_000_000, 16_384
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -96,36 +99,59 @@ def blocks(codes: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _phrases(span: int, k: int):
+    """The least phrases of each routed block of a text, with a position each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hs, ps = [], [], []
+            ids, hs, bs, ps = [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for at, codes in blocks(code_points(text), span):
                     h, m = least(codes, span, k)
-                    vals = np.unique(m)
-                    # A position of each least phrase: the first.
+                    new = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])  # windows that begin with another phrase
+                    new = np.unique(np.r_[new, np.arange(-at % ROUTE, len(m), ROUTE)])
+                    blk = (new + at) // ROUTE
+                    _, one = np.unique(m[new] + blk.astype(np.uint64) * _BASE, return_index=True)
+                    vals = m[new[one]]
                     order = np.argsort(h, kind="stable")
-                    pos = order[np.searchsorted(h, vals, sorter=order)]
-                    ids.append(np.full(len(vals), key, np.int64))
-                    hs.append(vals)
-                    ps.append(pos + at)
+                    ids.append(np.full(len(one), key, np.int64))
+                    hs.append(vals.view(np.int64))
+                    bs.append(blk[one])
+                    ps.append(order[np.searchsorted(h, vals, sorter=order)] + at)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ps).astype(np.int64))], names=["h", "tid", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ids, bs, ps)], names=["h", "tid", "blk", "pos"])
 
     return run
 
 
+def located(auto: object, text: str, k: int) -> np.ndarray:
+    """Where phrases of an automaton stand in a text."""
+    return np.fromiter((end - k + 1 for end, _ in auto.iter(text)), np.int64)
+
+
+def segments(codes: np.ndarray, at: np.ndarray, span: int, k: int, limit: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, phrase) of the stretches whose windows (the first limit ones) have
+    as their least phrase one the automaton located at a place of at; a stretch
+    ends where the phrase changes, so equal passages give equal stretches."""
+    h, m = least(codes, span, k)
+    met = np.full(len(h), np.iinfo(np.uint64).max)
+    met[at] = h[at]
+    kept = slide(met, span - k + 1, np.minimum, np.iinfo(np.uint64).max)[:limit] == m[:limit]
+    w = np.flatnonzero(kept)
+    if not len(w):
+        return
+    new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1] + 1) | (m[w[1:]] != m[w[:-1]])])
+    for x, y in zip(w[new].tolist(), [*w[new[1:] - 1].tolist(), int(w[-1])]):
+        yield x, y + span, int(m[x].view(np.int64))
+
+
 def _stream(span: int, k: int):
     import ahocorasick
 
-    def flush(ids: list, ps: list, hs: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ps).astype(np.int64))], names=["hh", "tid", "pos"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, auto, ready = None, None, False
-        ids, ps, hs, n = [], [], [], 0
         for b in batches:
-            for shard, salt, kind, num, text in zip(*[c.to_pylist() for c in b.columns]):
+            ids, starts, fs, texts = [], [], [], []
+            for shard, salt, kind, num, base, text in zip(*[c.to_pylist() for c in b.columns]):
                 if (shard, salt) != at:
                     at, auto, ready = (shard, salt), ahocorasick.Automaton(), False
                 if kind == 0:
@@ -134,25 +160,33 @@ def _stream(span: int, k: int):
                 if not ready:
                     auto.make_automaton()
                     ready = True
-                found = {v for _, v in auto.iter(text)} if len(auto) else ()
-                if not found:
-                    continue
-                found = np.sort(np.fromiter(found, np.int64, len(found)).view(np.uint64))
-                for off, codes in blocks(code_points(text), span):
-                    _, m = least(codes, span, k)
-                    j = np.searchsorted(found, m)
-                    j[j == len(found)] = 0
-                    p = np.flatnonzero(found[j] == m)
-                    if len(p):
-                        ids.append(np.full(len(p), num, np.int64))
-                        ps.append(p + off)
-                        hs.append(grams(codes, span)[p])
-                        n += len(p)
-                if n > 200_000:
-                    yield flush(ids, ps, hs)
-                    ids, ps, hs, n = [], [], [], 0
-        if ids:
-            yield flush(ids, ps, hs)
+                places = located(auto, text, k) if len(auto) else ()
+                if len(places):
+                    for x, y, f in segments(code_points(text), places, span, k, ROUTE):
+                        ids.append(num)
+                        starts.append(base + x)
+                        fs.append(f)
+                        texts.append(text[x:y])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(fs, pa.int64()), pa.array(texts, pa.string())], names=["tid", "at", "f", "seg"])
+
+    return run
+
+
+def _windows(span: int):
+    """Two hashes of every window of a stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, w1, w2, rel = [], [], [], []
+            for i, text in enumerate(b.column(4).to_pylist()):
+                codes = code_points(text)
+                w1.append(grams(codes, span).view(np.int64))
+                w2.append(grams(codes * np.uint32(2654435761) + np.uint32(97), span).view(np.int64))
+                rows.append(np.full(len(w1[-1]), i))
+                rel.append(np.arange(len(w1[-1])))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*[b.column(j).take(take) for j in range(4)], pa.array(np.concatenate(w1)), pa.array(np.concatenate(w2)), pa.array(np.concatenate(rel).astype(np.int32))], names=["k1", "k2", "lo", "hi", "w1", "w2", "rel"])
 
     return run
 
@@ -163,37 +197,50 @@ def shared_spans(docs: DataFrame, key: str, text: str, span: int = MIN_SPAN, phr
     stands in another document too."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.length("text") >= span)
-    # Exact copies: one representative each, by a 96-bit key of the text.
-    member = stored(rows.select("id", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), F.length("text").alias("n")))
+    two = lambda c: (F.xxhash64(c).alias("k1"), F.xxhash64(F.lit(1), c).alias("k2"))
+    # Exact copies: one representative each, by two hashes of the text and its length.
+    member = stored(rows.select("id", *two("text"), F.length("text").alias("n")))
     first = stored(member.groupBy("k1", "k2", "n").agg(F.min("id").alias("tid"), F.count(F.lit(1)).alias("copies")))
     own = first.select("tid")
-    met = rows.mapInArrow(_phrases(span, phrase), "h bigint, tid bigint, pos bigint")
+    met = rows.mapInArrow(_phrases(span, phrase), "h bigint, tid bigint, blk bigint, pos bigint")
     met = stored(met.join(own, "tid", "left_semi"))
     rec = met.groupBy("h").agg(F.min(F.struct("tid", "pos")).alias("at"), F.max("tid").alias("last")).filter("at.tid < last")
     rec = stored(rec.select("h", F.col("at.tid").alias("tid"), F.col("at.pos").alias("pos")))
-    n = rec.count()
-    shards = max(1, ceil(n / SHARD_PHRASES))
-    shard = F.pmod(F.col("h"), F.lit(shards)).cast("int").alias("shard")
-    route = stored(met.join(rec.select("h"), "h", "left_semi").groupBy("tid").agg(F.collect_set(shard).alias("shards")))
-    # Only texts that hold a recurring phrase are moved, and once.
-    texts = stored(rows.withColumnRenamed("id", "tid").join(route, "tid").select("tid", "shards", "text"))
-    words = rec.join(texts, "tid").select(shard, F.col("h").alias("num"), F.expr(f"substring(text, cast(pos + 1 as int), {phrase})").alias("text"))
-    routed = texts.select(F.explode("shards").alias("shard"), F.col("tid").alias("num"), "text")
-    load = texts.agg(F.sum(F.length("text").cast("bigint") * F.size("shards"))).first()[0] or 0
-    salts = max(1, ceil(load / shards / TASK_CHARS))
-    salted = F.pmod(F.xxhash64("num"), F.lit(salts)).cast("int").alias("salt")
-    all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    feed = words.select("shard", all_salts, F.lit(0).alias("kind"), "num", "text").unionByName(routed.select("shard", salted, F.lit(1).alias("kind"), "num", "text"))
-    tasks = max(partitions(spark), min(shards * salts, 4096))
-    feed = feed.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    windows = stored(feed.mapInArrow(_stream(span, phrase), "hh bigint, tid bigint, pos bigint"))
-    twice = windows.groupBy("hh").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a < b").select("hh")
-    hit = windows.join(twice, "hh", "left_semi").select("tid", "pos")
+    shards = max(1, ceil(rec.count() / SHARD_PHRASES))
+    # The phrases of a passage have one representative text, so they share a shard.
+    shard = F.pmod(F.xxhash64("tid"), F.lit(shards)).cast("int").alias("shard")
+    homes = rec.select("h", shard)
+    route = stored(met.select("h", "tid", "blk").join(homes, "h").select("tid", "blk", "shard").distinct())
+    # A shard with much text is split by its own load.
+    load = route.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) * F.lit(float(ROUTE)) / TASK_CHARS).cast("int").alias("salts"))
+    dealt = route.join(load, "shard").select("tid", "blk", "shard", F.pmod(F.xxhash64("tid", "blk"), F.col("salts")).cast("int").alias("salt"))
+    # Only blocks that hold a recurring phrase are streamed, once a shard.
+    n_blocks = F.floor((F.length("text") - span) / ROUTE)
+    cut_up = rows.select(F.col("id").alias("tid"), F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks)).alias("blk"), "text")
+    cut_up = cut_up.select("tid", "blk", F.substr("text", (F.col("blk") * ROUTE + 1).cast("int"), F.lit(ROUTE + span - 1)).alias("text"))
+    pieces = cut_up.join(dealt, ["tid", "blk"]).select("shard", "salt", F.lit(1).alias("kind"), F.col("tid").alias("num"), (F.col("blk") * ROUTE).alias("base"), "text")
+    words = rows.withColumnRenamed("id", "tid").join(rec, "tid").select("h", shard, F.substr("text", (F.col("pos") + 1).cast("int"), F.lit(phrase)).alias("text"))
+    words = words.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("h").alias("num"), F.lit(0).cast("bigint").alias("base"), "text")
+    tasks = max(partitions(spark), min(2 * shards, 4096))
+    feed = words.unionByName(pieces).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    occ = stored(feed.mapInArrow(_stream(span, phrase), "tid bigint, at bigint, f bigint, seg string").select("tid", "at", *two("seg"), "f", "seg"))
+    # Equal stretches are one; what stands in two texts is shared as a whole.
+    segs = stored(occ.groupBy("k1", "k2", "f", "seg").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")))
+    whole_segs = segs.filter("lo < hi").select("k1", "k2", F.array(F.struct(F.lit(0).alias("a"), F.length("seg").alias("b"))).alias("parts"))
+    # The others, which an end of a passage runs through, are met window by window.
+    torn = segs.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("lo") == F.col("hi")).alias("one")).filter("n > 1 and one").select("f")
+    wins = stored(segs.join(torn, "f", "left_semi").select("k1", "k2", "lo", "hi", "seg").mapInArrow(_windows(span), "k1 bigint, k2 bigint, lo bigint, hi bigint, w1 bigint, w2 bigint, rel int"))
+    twice = wins.groupBy("w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("w1", "w2")
+    some = wins.filter("lo = hi").join(twice, ["w1", "w2"], "left_semi").select("k1", "k2", "rel")
+    ends = F.transform("rels", lambda r: F.struct(r.alias("a"), (r + span).alias("b")))
+    part_segs = some.groupBy("k1", "k2").agg(F.collect_list("rel").alias("rels")).select("k1", "k2", ends.alias("parts"))  # no more than a stretch has windows
+    hit = occ.select("tid", "at", "k1", "k2").join(whole_segs.unionByName(part_segs), ["k1", "k2"]).select("tid", "at", F.explode("parts").alias("p"))
+    hit = hit.select("tid", (F.col("at") + F.col("p.a")).alias("a"), (F.col("at") + F.col("p.b")).alias("b"))
     lone = first.filter("copies = 1").select("tid")
-    by = Window.partitionBy("tid").orderBy("pos")
-    gap = F.when(F.col("pos") > F.lag("pos").over(by) + span, 1).otherwise(0)
-    runs = hit.join(lone, "tid", "left_semi").withColumn("gap", gap).withColumn("run", F.sum("gap").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    part = runs.groupBy("tid", "run").agg(F.min("pos").alias("span_start"), (F.max("pos") + span).alias("span_end")).select("tid", "span_start", "span_end")
+    by = Window.partitionBy("tid").orderBy("a", "b")
+    upto = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hit.join(lone, "tid", "left_semi").withColumn("gap", F.when(F.col("a") > upto, 1).otherwise(0)).withColumn("run", F.sum("gap").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    part = runs.groupBy("tid", "run").agg(F.min("a").alias("span_start"), F.max("b").alias("span_end")).select("tid", "span_start", "span_end")
     whole = member.join(first.filter("copies > 1").select("k1", "k2", "n"), ["k1", "k2", "n"], "left_semi")
     whole = whole.select(F.col("id").alias(key), F.lit(0).cast("bigint").alias("span_start"), F.col("n").cast("bigint").alias("span_end"))
     return part.withColumnRenamed("tid", key).unionByName(whole)

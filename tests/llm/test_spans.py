@@ -42,6 +42,34 @@ def test_against_brute_force(spark):
     assert S.shared_spans(df.limit(0), "doc_id", "text").count() == 0
 
 
+def _small():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [word(m) for m in (60, 120, 700)]
+    return [(i, word(rng.randrange(200)) + rng.choice(shared) + word(rng.randrange(50)) + shared[2][: rng.randrange(700)]) for i in range(50)]
+
+
+def test_hot_shards_and_routed_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROUTE", 64)
+    monkeypatch.setattr(S, "SHARD_PHRASES", 5)
+    monkeypatch.setattr(S, "TASK_CHARS", 500)
+    docs = _small()
+    got = S.shared_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", span=40, phrase=24)
+    assert {tuple(r) for r in got.collect()} == brute(docs, 40)
+
+
+def test_the_automaton_decides():
+    text = "the passage that stands in both of them " * 3
+    codes = S.code_points(text)
+    h, m = S.least(codes, 40, 24)
+    places = np.flatnonzero(np.isin(h, m))
+    every = list(S.segments(codes, places, 40, 24, S.ROUTE))
+    assert min(x for x, _, _ in every) == 0 and max(y for _, y, _ in every) == len(text)
+    assert list(S.segments(codes, places[:0], 40, 24, S.ROUTE)) == []
+    fewer = list(S.segments(codes, places[places < 30], 40, 24, S.ROUTE))
+    assert max(y for _, y, _ in fewer) < len(text)
+
+
 def test_blocks_cover_each_window_once(monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 100)
     x = np.arange(1234, dtype=np.uint32)
