@@ -6,9 +6,10 @@ begun, each with its node in the token trie and the last token of the encoding
 up to there; these sets are finite, because a token has a greatest length. On a
 byte the transducer tells the last token of the encoding of the prefix read: of
 the tokens that end here, the one that may stand next to the last token before
-it. Whether two tokens may stand side by side is decided by the merges of the
-pair alone and remembered. A token is final as soon as every open place has it
-behind itself, so the lookahead is bounded by the longest token.
+it. Whether two tokens may stand side by side is decided by the merges next to
+the border alone. A token is given as soon as every open place has it behind
+itself; open places lie within the longest token, and what they have behind
+themselves soon agrees, so no more than a short end of a piece is held.
 
 Defined cases: null and empty texts give an empty list; blank texts are encoded
 as they are; no special tokens, their strings are ordinary text.
@@ -17,7 +18,7 @@ as they are; no special tokens, their strings are ordinary text.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -30,8 +31,10 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Where the vocabularies are; a file is read once on the driver.
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-#: States and pieces kept before a worker starts its tables anew.
-MAX_STATES, MAX_PIECES = 150_000, 300_000
+#: States, pieces and pairs kept before a worker starts that table anew.
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 150_000, 300_000, 500_000
+#: Bytes read between two looks at which tokens are final.
+LOOK = 256
 
 
 def read_vocab(path: str = VOCAB) -> bytes:
@@ -48,47 +51,74 @@ class Transducer:
         self.size = {i: len(t) for i, t in self.bytes.items()}
         self.child: dict[int, int] = {}
         self.token: dict[int, int] = {}
-        nodes = 1
+        self.depth = [0]
         for t, i in self.rank.items():
             at = 0
             for b in t:
                 k = at << 8 | b
                 nxt = self.child.get(k)
                 if nxt is None:
-                    nxt = self.child[k] = nodes
-                    nodes += 1
+                    nxt = self.child[k] = len(self.depth)
+                    self.depth.append(self.depth[at] + 1)
                 at = nxt
             self.token[at] = i
         self.pairs: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.cut = regex.compile(PATTERN).findall
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.states: list[tuple[tuple[int, int], ...]] = []
+        self.number: dict[tuple[tuple[int, int], ...], int] = {}
+        self.delta: dict[int, tuple[int, int]] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
-        self.number = {self.states[0]: 0}
-        self.delta: dict[int, tuple[int, int]] = {}
-
-    def merge(self, text: bytes) -> list[bytes]:
-        """Plain merging, lowest rank first; only pairs of tokens come here."""
+        self.states[:] = [((0, -1),)]
+        self.number.clear()
+        self.number[self.states[0]] = 0
+        self.delta.clear()
+
+    def split(self, t: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes t; None for a single byte."""
+        if t in self.halves:
+            return self.halves[t]
+        text, rank = self.bytes[t], self.rank
         parts = [text[i : i + 1] for i in range(len(text))]
-        rank = self.rank
-        while len(parts) > 1:
-            least, at = min((rank.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if least == 1 << 60:
-                break
+        while len(parts) > 2:
+            at = min(range(len(parts) - 1), key=lambda i: (rank.get(parts[i] + parts[i + 1], 1 << 60), i))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        out = self.halves[t] = (rank[parts[0]], rank[parts[1]]) if len(parts) == 2 else None
+        return out
 
     def adjacent(self, a: int, b: int) -> bool:
-        """Whether the encoding of a's bytes and b's bytes is a, b."""
+        """Whether the encoding of a's bytes and b's bytes is a, b.
+
+        It isn't if a merge across the border came before one that made a or b.
+        What stands at the border is taken apart, the latest merge first; each
+        pair met on the way must not merge before what is apart already.
+        """
         if a < 0:
             return True
         k = a << 20 | b
         ok = self.pairs.get(k)
-        if ok is None:
-            x, y = self.bytes[a], self.bytes[b]
-            ok = self.pairs[k] = self.merge(x + y) == [x, y]
+        if ok is not None:
+            return ok
+        x, y, before, ok = a, b, 1 << 60, True
+        while True:
+            joined = self.rank.get(self.bytes[x] + self.bytes[y])
+            if joined is not None and joined < before:
+                ok = False
+                break
+            sx, sy = self.split(x), self.split(y)
+            if sx is None and sy is None:
+                break
+            # Of equal merges the left one comes first.
+            if sy is None or (sx is not None and x > y):
+                before, x = x, sx[1]
+            else:
+                before, y = y + 1, sy[0]
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        self.pairs[k] = ok
         return ok
 
     def step(self, state: int, byte: int) -> tuple[int, int]:
@@ -105,26 +135,50 @@ class Transducer:
         key = tuple(on)
         n = self.number.get(key)
         if n is None:
+            full = len(self.states) >= MAX_STATES
+            if full:
+                self.clear()
             n = self.number[key] = len(self.states)
             self.states.append(key)
+            if full:
+                return n, last
         self.delta[state << 8 | byte] = out = (n, last)
         return out
 
-    def run(self, piece: bytes) -> tuple[int, ...]:
-        """The tokens of one piece."""
-        if len(self.states) > MAX_STATES:
-            self.clear()
-        state, lasts, delta = 0, [], self.delta
-        for b in piece:
+    def agreed(self, state: int, lasts: list[int]) -> int:
+        """Up to where all open places of a state have the same tokens behind."""
+        places = {len(lasts) - self.depth[node] for node, _ in self.states[state]}
+        while len(places) > 1:
+            at = max(places)
+            places.remove(at)
+            places.add(at - self.size[lasts[at - 1]])
+        return places.pop()
+
+    def _back(self, lasts: list[int], end: int) -> list[int]:
+        out = []
+        while end:
+            out.append(lasts[end - 1])
+            end -= self.size[out[-1]]
+        return out[::-1]
+
+    def stream(self, data: Iterable[int]) -> Iterator[int]:
+        """The tokens of the bytes of one piece, each as soon as it is final."""
+        state, delta, look = 0, self.delta, LOOK
+        lasts: list[int] = []  # the last token of every prefix not given yet
+        for b in data:
             hit = delta.get(state << 8 | b)
             state, last = hit if hit is not None else self.step(state, b)
             lasts.append(last)
-        out, i, size = [], len(piece), self.size
-        while i:
-            t = lasts[i - 1]
-            out.append(t)
-            i -= size[t]
-        return tuple(out[::-1])
+            if len(lasts) >= look:
+                done = self.agreed(state, lasts)
+                yield from self._back(lasts, done)
+                del lasts[:done]
+                look = len(lasts) + LOOK
+        yield from self._back(lasts, len(lasts))
+
+    def run(self, piece: bytes) -> tuple[int, ...]:
+        """The tokens of one piece."""
+        return tuple(self.stream(piece))
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []

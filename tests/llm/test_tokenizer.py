@@ -1,3 +1,5 @@
+import random
+
 import pytest
 import tiktoken
 
@@ -44,3 +46,35 @@ def test_rows(spark):
     assert (1, ()) in got and (2, ()) in got and len(got) == 4
     assert {(r.doc_id, r.size) for r in T.lengths(df, "doc_id", "text").collect()} >= {(1, 0), (2, 0)}
     assert T.encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_tokens_come_after_a_bounded_lookahead(pair):
+    t, lib = pair
+    text = ("thathprilurea" * 77_000 + "abababab")[:1_000_000]
+    read = 0
+
+    def fed():
+        nonlocal read
+        for b in text.encode():
+            read += 1
+            yield b
+
+    ids, behind, given = [], 0, 0
+    for i in t.stream(fed()):
+        ids.append(i)
+        given += t.size[i]
+        behind = max(behind, read - given)
+    assert behind <= 2 * T.LOOK  # never more than a short end is held
+    assert b"".join(t.bytes[i] for i in ids).decode() == text
+    assert ids[:1000] == lib.encode_ordinary(text[:6000])[:1000]
+
+
+def test_random_pieces_and_bounded_pairs(pair, monkeypatch):
+    t, lib = pair
+    monkeypatch.setattr(T, "MAX_PAIRS", 20)
+    t.pairs.clear()
+    rng, toks = random.Random(0), list(t.rank)
+    for _ in range(500):
+        piece = b"".join(rng.choice(toks) for _ in range(rng.randrange(1, 9)))
+        assert list(t.run(piece)) == lib._encode_single_piece(piece)
+        assert len(t.pairs) <= 20
