@@ -2,11 +2,13 @@
 
 Method: a grouping genetic algorithm. A chromosome is a list of bins; crossover
 injects whole well-filled bins of one parent into the other, drops the bins
-that then hold a duplicate, and best-fits the displaced documents; mutation
-empties the worst bins. Items are dealt to shards of bounded size; on every
-shard several islands evolve a population of their own, the best chromosome of
-each migrates to the next island, and the best of all is kept. What the shards
-leave in badly filled bins is pooled and packed once more the same way.
+that then hold a duplicate, and best-fits the displaced documents, after
+exchanging them for smaller ones of bins they fill better; mutation empties the
+worst bins and a few others. Items are dealt to shards of bounded size, which
+are distributed; on a shard several islands evolve populations of their own,
+from seeds of growing disorder, and the elite of each migrates to the next. The
+aim is not only few bins but all free room in one of them, for what the shards
+leave in bins that are not well filled is pooled and evolved once more, longer.
 
 Defined cases: a document longer than the capacity is cut into full containers
 and a rest (the only case of a split); documents of no tokens (null or empty
@@ -17,201 +19,225 @@ sizes are ordered by document; an empty table gives no rows.
 from __future__ import annotations
 
 import random
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 from math import ceil
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotara.session import cut
+from annotara.session import stored
 
-#: Items of a shard on average, islands of a shard, rounds with migration.
-SHARD_ITEMS, ISLANDS, EPOCHS = 2000, 2, 2
+#: Items of a shard on average.
+SHARD_ITEMS = 2000
 #: Kinds of containers that one call accepts.
 MAX_PACKS = 1000
-#: Chromosomes of an island and generations of an epoch.
-POPULATION, GENERATIONS = 6, 12
-#: A bin at least so full is well filled; one filled less is pooled again.
-WELL, POOR = 0.98, 0.90
+#: Islands of a shard, chromosomes of an island, epochs that end in a migration.
+ISLANDS, POPULATION, EPOCHS = 2, 5, 2
+#: Generations of an epoch: of all items, and of the few that are pooled.
+GENERATIONS, POOL_GENERATIONS = 5, 40
+#: A bin at least so full is well filled; what lies in others is pooled.
+WELL = 0.995
+#: Share of a parent's bins that crossover injects.
+INJECTED = 0.1
 
 
-class Bins:
-    """Bins with their free room; best fit by a bit mask over the rooms in use."""
+class Chromosome:
+    """Bins with their free room. Bins are never changed in place, so that
+    parents and children share those they have in common."""
 
-    __slots__ = ("cap", "items", "free", "by", "mask")
+    __slots__ = ("cap", "bins", "free")
 
-    def __init__(self, cap: int) -> None:
-        self.cap = cap
-        self.items: list[list[int]] = []
-        self.free: list[int] = []
-        self.by: dict[int, list[int]] = {}
-        self.mask = 0
+    def __init__(self, cap: int, bins: list[list[int]], free: list[int]) -> None:
+        self.cap, self.bins, self.free = cap, bins, free
 
-    def add(self, items: list[int], free: int) -> None:
-        self.items.append(items)
-        self.free.append(free)
-        self._note(len(self.free) - 1, free)
-
-    def _note(self, at: int, free: int) -> None:
-        if free:
-            self.by.setdefault(free, []).append(at)
-            self.mask |= 1 << free
-
-    def put(self, item: int, size: int) -> None:
-        m = self.mask >> size
-        if m and size:
-            room = size + (m & -m).bit_length() - 1
-            stack = self.by[room]
-            at = stack.pop()
-            if not stack:
-                self.mask &= ~(1 << room)
-            self.items[at].append(item)
-            self.free[at] = room - size
-            self._note(at, room - size)
-        elif not size and self.items:
-            self.items[0].append(item)
-        else:
-            self.add([item], self.cap - size)
+    def fitness(self) -> tuple[int, int]:
+        """Fewer bins first, then the more uneven the better."""
+        return -len(self.bins), sum((self.cap - f) ** 2 for f in self.free)
 
+    def perfect(self, least: int) -> bool:
+        """No fewer bins can do, and all free room is in one of them."""
+        return len(self.bins) <= least and sum(self.free) == max(self.free, default=0)
 
-def best_fit(cap: int, items: list[int], size: list[int], start: Bins | None = None) -> Bins:
-    out = start or Bins(cap)
-    for i in sorted(items, key=lambda x: (-size[x], x)):
-        out.put(i, size[i])
-    return out
 
+class Rooms:
+    """Things by a number, found by a bit mask over the numbers in use."""
 
-def fitness(b: Bins) -> tuple[int, float]:
-    """Fewer bins first, then the more uneven the better."""
-    return -len(b.items), sum((b.cap - f) ** 2 for f in b.free)
+    __slots__ = ("mask", "by")
 
+    def __init__(self) -> None:
+        self.mask = 0
+        self.by: dict[int, list[int]] = {}
+
+    def add(self, n: int, thing: int) -> None:
+        self.by.setdefault(n, []).append(thing)
+        self.mask |= 1 << n
+
+    def take(self, n: int) -> int:
+        stack = self.by[n]
+        thing = stack.pop()
+        if not stack:
+            self.mask &= ~(1 << n)
+        return thing
+
+    def at_most(self, n: int) -> int:
+        """The greatest number in use up to n, or -1."""
+        return (self.mask & ((1 << (n + 1)) - 1)).bit_length() - 1
+
+    def at_least(self, n: int) -> int:
+        """The least number in use from n, or -1."""
+        m = self.mask >> n
+        return n + (m & -m).bit_length() - 1 if m else -1
+
+
+def place(cap: int, bins: list[list[int]], free: list[int], items: list[int], size: list[int]) -> Chromosome:
+    """items in their order, each into the bin it leaves the least room in."""
+    rooms = Rooms()
+    for i, f in enumerate(free):
+        if f:
+            rooms.add(f, i)
+    for x in items:
+        s = size[x]
+        r = rooms.at_least(s) if s else -1
+        if r >= 0:
+            i = rooms.take(r)
+            bins[i], free[i] = [*bins[i], x], r - s
+            if r > s:
+                rooms.add(r - s, i)
+        elif not s and bins:
+            bins[0] = [*bins[0], x]
+        else:
+            bins.append([x])
+            free.append(cap - s)
+            if s < cap:
+                rooms.add(cap - s, len(bins) - 1)
+    return Chromosome(cap, bins, free)
 
-def bound(cap: int, sizes: list[int]) -> int:
-    """A lower bound of the bins: total room, and documents no two of which fit."""
-    best = ceil(sum(sizes) / cap)
-    big = sorted(s for s in sizes if 2 * s > cap)
-    asc = sorted(sizes)
-    for k in {0, *(s for s in asc if 2 * s <= cap)}:
-        n1 = sum(1 for s in big if s > cap - k)
-        mid = [s for s in big if s <= cap - k]
-        small = sum(s for s in asc if k <= s and 2 * s <= cap)
-        best = max(best, n1 + len(mid) + max(0, ceil((small - (len(mid) * cap - sum(mid))) / cap)))
-        if len(sizes) > 400 and k > 0:
-            break  # the full sweep is only worth it on few items
-    return best
 
+def best_fit(cap: int, size: list[int]) -> Chromosome:
+    """Best-fit decreasing."""
+    return place(cap, [], [], sorted(range(len(size)), key=lambda x: (-size[x], x)), size)
 
-def cross(a: Bins, b: Bins, size: list[int], rng: random.Random) -> Bins:
-    """Whole well-filled bins of b go into a; the displaced are best-fitted."""
+
+def settle(cap: int, bins: list[list[int]], free: list[int], loose: list[int], size: list[int]) -> Chromosome:
+    """Displaced items take the place of smaller ones in bins they fill better;
+    what is loose then is best-fitted, the largest first."""
+    pool = Rooms()
+    for x in loose:
+        pool.add(size[x], x)
+    for i, f in enumerate(free):
+        gain, out = 0, -1
+        for x in bins[i] if f else ():
+            y = pool.at_most(size[x] + f) - size[x]
+            if y > gain:
+                gain, out = y, x
+                if y == f:
+                    break
+        if gain:
+            new = pool.take(size[out] + gain)
+            bins[i], free[i] = [new if x == out else x for x in bins[i]], f - gain
+            pool.add(size[out], out)
+    rest = [x for stack in pool.by.values() for x in stack]
+    rest.sort(key=lambda x: (-size[x], x))
+    return place(cap, bins, free, rest, size)
+
+
+def _without(a: Chromosome, out: set[int]) -> tuple[list[list[int]], list[int]]:
+    return [b for i, b in enumerate(a.bins) if i not in out], [f for i, f in enumerate(a.free) if i not in out]
+
+
+def cross(a: Chromosome, b: Chromosome, size: list[int], rng: random.Random) -> Chromosome:
+    """Whole well-filled bins of b go into a; bins of a that then hold a
+    duplicate are dropped and what else they held is settled."""
     limit = a.cap * (1 - WELL)
     good = [i for i, f in enumerate(b.free) if f <= limit] or sorted(range(len(b.free)), key=b.free.__getitem__)[: max(1, len(b.free) // 4)]
-    picked = rng.sample(good, max(1, len(good) // 2))
-    child, inside = Bins(a.cap), set()
-    for i in picked:
-        child.add(list(b.items[i]), b.free[i])
-        inside.update(b.items[i])
-    loose = []
-    for its, f in zip(a.items, a.free):
-        if inside.isdisjoint(its):
-            child.add(list(its), f)
-        else:
-            loose += [x for x in its if x not in inside]
-    return best_fit(a.cap, loose, size, child)
+    picked = rng.sample(good, min(len(good), max(1, int(len(b.bins) * INJECTED))))
+    inside = {x for i in picked for x in b.bins[i]}
+    hit = {i for i, its in enumerate(a.bins) if not inside.isdisjoint(its)}
+    bins, free = _without(a, hit)
+    loose = [x for i in hit for x in a.bins[i] if x not in inside]
+    return settle(a.cap, bins + [b.bins[i] for i in picked], free + [b.free[i] for i in picked], loose, size)
 
 
-def mutate(a: Bins, size: list[int], rng: random.Random) -> Bins:
-    """The worst bins and a few others are emptied and filled anew."""
+def mutate(a: Chromosome, size: list[int], rng: random.Random) -> Chromosome:
+    """A few of the worst bins and a few others are emptied and settled."""
     order = sorted(range(len(a.free)), key=lambda i: -a.free[i])
-    out = set(order[: max(1, len(order) // 20)]) | set(rng.sample(order, max(1, len(order) // 20)))
-    child, loose = Bins(a.cap), []
-    for i, (its, f) in enumerate(zip(a.items, a.free)):
-        if i in out:
-            loose += its
-        else:
-            child.add(list(its), f)
-    rng.shuffle(loose)
-    for x in loose:
-        child.put(x, size[x])
-    return child
+    few = max(2, len(order) // 50)
+    out = {*order[: rng.randint(1, few)], *rng.sample(order, min(len(order), few))}
+    return settle(a.cap, *_without(a, out), [x for i in out for x in a.bins[i]], size)
 
 
-def evolve(cap: int, size: list[int], seeds: list[list[int]], seed: int) -> list[int]:
-    """The bin of every item by the best chromosome; seeds are chromosomes too."""
+def bound(cap: int, sizes: list[int]) -> int:
+    """A lower bound of the bins: total room, and, for every least size k that
+    counts, items no two of which fit and what room they leave for the others."""
+    s = sorted(sizes)
+    sums = [0, *accumulate(s)]
+    half = bisect_right(s, cap // 2)  # from there on no two fit
+    best = ceil(sums[-1] / cap)
+    for k in {0, *s[:half]}:
+        lone = bisect_right(s, cap - k)  # from there on nothing of size k fits beside
+        mid = max(0, lone - half)
+        room = mid * cap - (sums[max(lone, half)] - sums[half])
+        small = sums[half] - sums[min(bisect_left(s, k), half)]
+        best = max(best, len(s) - half + max(0, ceil((small - room) / cap)))
+    return best
+
+
+def evolve(cap: int, size: list[int], seed: int, generations: int = GENERATIONS) -> list[int]:
+    """The bin of every item by the best chromosome of all islands."""
     rng = random.Random(seed)
-    n = len(size)
     least = bound(cap, size)
-    pool = [best_fit(cap, list(range(n)), size)]
-    for s in seeds:
-        groups: dict[int, list[int]] = {}
-        for i, g in enumerate(s):
-            groups.setdefault(g, []).append(i)
-        b = Bins(cap)
-        for its in groups.values():
-            b.add(its, cap - sum(size[i] for i in its))
-        pool.append(b)
-    best = max(pool, key=fitness)
-    if len(best.items) > least:
-        while len(pool) < POPULATION:
-            order = list(range(n))
-            noise = [size[i] * (1 + 0.15 * rng.random()) for i in order]
-            order.sort(key=lambda i: -noise[i])
-            b = Bins(cap)
-            for i in order:
-                b.put(i, size[i])
-            pool.append(b)
-        for _ in range(GENERATIONS):
-            pool.sort(key=fitness, reverse=True)
-            if len(pool[0].items) <= least:
-                break
-            half = pool[: max(2, POPULATION // 2)]
-            young = []
-            while len(half) + len(young) < POPULATION:
-                x, y = rng.sample(half, 2)
-                child = cross(x, y, size, rng)
-                young.append(mutate(child, size, rng) if rng.random() < 0.5 else child)
-            pool = half + young
-        best = max(pool, key=fitness)
-    out = [0] * n
-    for g, its in enumerate(best.items):
+    best = best_fit(cap, size)
+    islands = []
+    for k in range(ISLANDS):
+        pool = [best]
+        while len(pool) < POPULATION and not best.perfect(least):
+            noise = [s * (1 + 0.1 * (k + 1) * rng.random()) for s in size]
+            pool.append(place(cap, [], [], sorted(range(len(size)), key=lambda i: -noise[i]), size))
+        islands.append(pool)
+    for _ in range(EPOCHS):
+        for pool in islands:
+            for _ in range(generations):
+                best = max(best, *pool, key=Chromosome.fitness)
+                if best.perfect(least):
+                    break
+                half = sorted(pool, key=Chromosome.fitness, reverse=True)[: max(2, POPULATION // 2)]
+                while len(half) < POPULATION:
+                    x, y = rng.sample(half, 2)
+                    child = cross(x, y, size, rng)
+                    half.append(mutate(child, size, rng) if rng.random() < 0.7 else child)
+                pool[:] = half
+            pool.sort(key=Chromosome.fitness, reverse=True)
+        elite = [pool[0] for pool in islands]
+        best = max(best, *elite, key=Chromosome.fitness)
+        for k, pool in enumerate(islands):
+            pool[-1] = elite[k - 1]
+    out = [0] * len(size)
+    for g, its in enumerate(best.bins):
         for i in its:
             out[i] = g
     return out
 
 
-_SCHEMA = "pack_name string, capacity int, shard bigint, island int, doc_id bigint, piece bigint, size bigint, bin bigint, n_bins bigint, least bigint"
-
-
-def _island(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One island: the chromosomes that came with the items are its seeds."""
-    cap, shard, island = int(pdf.capacity.iat[0]), int(pdf["shard"].iat[0]), int(pdf.island.iat[0])
-    own = pdf.sort_values(["src", "doc_id", "piece"], kind="stable")
-    first = own[own.src == own.src.iat[0]].reset_index(drop=True)
-    seeds = [g["bin"].tolist() for _, g in own.groupby("src") if g["bin"].notna().all()]
-    bins = evolve(cap, first["size"].astype(int).tolist(), [[int(x) for x in s] for s in seeds], shard * 1_000_003 + island)
-    first["bin"], first["n_bins"], first["least"] = bins, len(set(bins)), bound(cap, first["size"].astype(int).tolist())
-    return first[["pack_name", "capacity", "shard", "island", "doc_id", "piece", "size", "bin", "n_bins", "least"]]
-
-
-def _shards(items: DataFrame) -> DataFrame:
-    """(pack_name, capacity, shard, doc_id, piece, size, bin) with bins of a shard."""
-    spread = items.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
-    state = spread.select("pack_name", "capacity", "shard", "island", "doc_id", "piece", "size", F.lit(0).alias("src"), F.lit(None).cast("bigint").alias("bin"))
-    keys = ["pack_name", "capacity", "shard", "island"]
-    out = None
-    for e in range(EPOCHS):
-        new = cut(state.groupBy(*keys).applyInPandas(_island, _SCHEMA))
-        best = new.groupBy("pack_name", "shard").agg(F.min(F.struct("n_bins", "island")).alias("b"), F.max("least").alias("bound"))
-        best = best.select("pack_name", "shard", F.col("b.island").alias("best"), (F.col("b.n_bins") <= F.col("bound")).alias("proven"))
-        new = cut(new.drop("n_bins", "least").join(best, ["pack_name", "shard"]))
-        # What reached the lower bound can't be bettered; the last epoch ends all.
-        ended = F.col("proven") if e + 1 < EPOCHS else F.lit(True)
-        done = new.filter(ended & (F.col("island") == F.col("best"))).drop("island", "best", "proven")
-        out = done if out is None else out.unionByName(done)
-        # The elite of each island goes to the next one too.
-        left = new.filter(~ended).drop("best", "proven")
-        elite = left.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")).withColumn("src", F.lit(1))
-        state = left.withColumn("src", F.lit(0)).unionByName(elite)
-    return out
+_SCHEMA = "pack_name string, capacity int, shard bigint, doc_id bigint, piece bigint, size bigint, bin bigint, well boolean"
+
+
+def _evolved(items: DataFrame, generations: int, salt: int, shard_items: int) -> DataFrame:
+    """(pack_name, capacity, shard, doc_id, piece, size, bin, well) by shards of
+    items, each with all its islands in one task, written once."""
+    n = items.groupBy("pack_name").count().agg(F.max("count")).first()[0] or 0
+    shards = max(1, ceil(n / shard_items))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+        cap, size = int(own.capacity.iat[0]), own["size"].astype(int).tolist()
+        own["bin"] = evolve(cap, size, int(own["shard"].iat[0]) * 1_000_003 + salt, generations)
+        own["well"] = own.groupby("bin")["size"].transform("sum") >= WELL * cap
+        return own[["pack_name", "capacity", "shard", "doc_id", "piece", "size", "bin", "well"]]
+
+    dealt = items.select("pack_name", "capacity", "doc_id", "piece", "size", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(shards)).alias("shard"))
+    return stored(dealt.groupBy("pack_name", "capacity", "shard").applyInPandas(run, _SCHEMA))
 
 
 def pack(sizes: DataFrame, packs: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -224,25 +250,11 @@ def pack(sizes: DataFrame, packs: DataFrame, shard_items: int = SHARD_ITEMS) ->
     # The capacities are few and fixed; every document is packed for each of them.
     each = sizes.select("doc_id", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"), F.explode(kinds).alias("k")).select("doc_id", "size", "k.*")
     full = (F.col("size") / F.col("capacity")).cast("bigint")
-    rest = F.col("size") - full * F.col("capacity")
-    each = cut(each.select("pack_name", "capacity", "doc_id", "size", full.alias("full"), rest.alias("rest")))
+    each = each.select("pack_name", "capacity", "doc_id", "size", full.alias("full"), (F.col("size") - full * F.col("capacity")).alias("rest"))
     whole = each.filter("full > 0").select("pack_name", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"))
     whole = whole.select("pack_name", F.concat_ws(":", F.lit("full"), "doc_id", "piece").alias("bin_id"), "doc_id", "piece", F.col("capacity").cast("bigint").alias("size"))
     items = each.filter("rest > 0 or size = 0").select("pack_name", "capacity", "doc_id", F.col("full").alias("piece"), F.col("rest").alias("size"))
-    n = items.filter(F.col("size") > 0).groupBy("pack_name").count().agg(F.max("count")).first()[0] or 0
-    shards = max(1, ceil(n / shard_items))
-    dealt = cut(_shards(items.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))))
-    out = dealt.select("pack_name", F.concat_ws(":", F.lit("s"), "shard", "bin").alias("bin_id"), "capacity", "doc_id", "piece", "size")
-    if shards > 1:
-        by = Window.partitionBy("pack_name", "shard", "bin")
-        fill = dealt.withColumn("fill", F.sum("size").over(by) / F.col("capacity"))
-        fill = cut(fill)
-        kept = fill.filter(F.col("fill") >= POOR)
-        pooled = fill.filter(F.col("fill") < POOR).select("pack_name", "capacity", F.col("shard").alias("home"), F.col("bin").alias("home_bin"), "doc_id", "piece", "size")
-        m = pooled.groupBy("pack_name").count().agg(F.max("count")).first()[0] or 0
-        again = max(1, ceil(m / shard_items))
-        packed = cut(_shards(pooled.drop("home", "home_bin").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(again)))))
-        out = kept.select("pack_name", F.concat_ws(":", F.lit("s"), "shard", "bin").alias("bin_id"), "doc_id", "piece", "size").unionByName(
-            packed.select("pack_name", F.concat_ws(":", F.lit("p"), "shard", "bin").alias("bin_id"), "doc_id", "piece", "size")
-        )
-    return out.select("pack_name", "bin_id", "doc_id", "piece", "size").unionByName(whole)
+    named = lambda df, mark: df.select("pack_name", F.concat_ws(":", F.lit(mark), "shard", "bin").alias("bin_id"), "doc_id", "piece", "size")
+    first = _evolved(items, GENERATIONS, 0, shard_items)
+    last = _evolved(first.filter("not well"), POOL_GENERATIONS, 7, shard_items)
+    return named(first.filter("well"), "s").unionByName(named(last, "p")).unionByName(whole)

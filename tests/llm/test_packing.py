@@ -38,10 +38,48 @@ def test_packs(spark):
 
 def test_operators_keep_all_items():
     rng = random.Random(4)
-    size = [rng.randrange(1, 60) for _ in range(200)]
-    a = P.best_fit(100, list(range(200)), size)
+    size = [rng.randrange(0, 60) for _ in range(200)]
+    a = P.best_fit(100, size)
     b = P.mutate(a, size, rng)
     for x in (b, P.cross(a, b, size, rng)):
-        assert sorted(i for its in x.items for i in its) == list(range(200))
-        assert all(sum(size[i] for i in its) == 100 - f and f >= 0 for its, f in zip(x.items, x.free))
-    assert P.evolve(100, [60, 60, 40, 40], [], 1) in ([0, 1, 0, 1], [0, 1, 1, 0])
+        assert sorted(i for its in x.bins for i in its) == list(range(200))
+        assert all(sum(size[i] for i in its) == 100 - f and f >= 0 for its, f in zip(x.bins, x.free))
+    assert P.evolve(100, [60, 60, 40, 40], 1) in ([0, 1, 0, 1], [0, 1, 1, 0])
+    assert P.evolve(100, [0, 0], 1) == [0, 0] and P.evolve(100, [], 1) == []
+
+
+def _triplets(m, cap, rng):
+    """Sizes that fill m bins exactly, three to a bin."""
+    out = []
+    for _ in range(m):
+        a = rng.randrange(380, 490)
+        b = rng.randrange(250, (cap - a) // 2)
+        out += [a, b, cap - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_the_genetic_algorithm_needs_fewer_bins_than_best_fit():
+    rng = random.Random(1)
+    for m in (20, 40, 130):
+        size = _triplets(m, 1000, rng)
+        plain, evolved = len(P.best_fit(1000, size).bins), len(set(P.evolve(1000, size, 1, P.POOL_GENERATIONS)))
+        assert m <= evolved < plain and evolved - m <= 0.2 * (plain - m)
+        assert len(set(P.evolve(1000, size, 1))) < plain
+
+
+def _slow_bound(cap, sizes):
+    best = -(-sum(sizes) // cap)
+    for k in range(cap // 2 + 1):
+        lone = [s for s in sizes if s > cap - k]
+        mid = [s for s in sizes if 2 * s > cap and s <= cap - k]
+        small = sum(s for s in sizes if k <= s and 2 * s <= cap)
+        best = max(best, len(lone) + len(mid) + max(0, -(-(small - (len(mid) * cap - sum(mid))) // cap)))
+    return best
+
+
+def test_the_bound_takes_every_size_however_many():
+    rng = random.Random(6)
+    for n in (5, 40, 401, 900):
+        size = [rng.choice([3, 20, 34, 51, 66, 90, 100]) for _ in range(n)]
+        assert P.bound(100, size) == _slow_bound(100, size)
