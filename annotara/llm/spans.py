@@ -112,11 +112,11 @@ def _phrases(span: int, k: int):
                     blk = (new + at) // ROUTE
                     _, one = np.unique(m[new] + blk.astype(np.uint64) * _BASE, return_index=True)
                     vals = m[new[one]]
-                    order = np.argsort(h, kind="stable")
+                    within = np.lib.stride_tricks.sliding_window_view(h, span - k + 1)[new[one]].argmin(1)
                     ids.append(np.full(len(one), key, np.int64))
                     hs.append(vals.view(np.int64))
                     bs.append(blk[one])
-                    ps.append(order[np.searchsorted(h, vals, sorter=order)] + at)
+                    ps.append(new[one] + within + at)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ids, bs, ps)], names=["h", "tid", "blk", "pos"])
 
