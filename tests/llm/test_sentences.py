@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from annotara.llm import sentences as S
@@ -52,10 +53,51 @@ def test_units_leave_out_white_space_only():
         assert not t[at:].strip()
 
 
+def _walk(marks, step, out):
+    state, res = 0, []
+    for m in marks:
+        res.append(int(out[m, state]))
+        state = step[m, state]
+    return res
+
+
 def test_chunks_compose_like_one_walk():
     rng = random.Random(6)
-    marks = [rng.randrange(S.STEP.shape[0]) for _ in range(5000)]
-    assert S.transduce(marks, chunk=10_000) == S.transduce(marks, chunk=64) == S.transduce(marks, chunk=7)
+    for step, out in ((S.STEP, S.OUT), (S.LINE_STEP, S.LINE_OUT)):
+        marks = np.array([rng.randrange(len(step)) for _ in range(3000)])
+        for chunk in (5000, 64, 7, 1):
+            assert S.scan(marks, step, out, chunk).tolist() == _walk(marks, step, out)
+
+
+def test_every_document_goes_through_the_scan(monkeypatch):
+    seen, scan = [], S.scan
+    monkeypatch.setattr(S, "scan", lambda m, s, o, chunk=S.CHUNK: (seen.append((len(s), -(-len(m) // chunk))), scan(m, s, o, chunk))[1])
+    texts = ["One. Two.", "", "A (b. c) word. Every."] * 100
+    got = S.units_of(texts)
+    assert [len(x) for x in got[:3]] == [2, 0, 2] and got == [S._spans(t, [b for _, b in g]) for t, g in zip(texts, got)]
+    assert [x for x, _ in seen] == [len(S.LINE_STEP), len(S.STEP)] and all(c > 1 for _, c in seen)
+
+
+def test_rules_are_rows_of_the_table():
+    for word, before, nxt, how in (("plain", "lower", "upper+", "G"), ("never", "lower", "upper+", "G"), ("maybe", "lower", "lower", "G"), ("plain", "digit", "digit", "T")):
+        m = S.stop_mark(S.WORDS.index(word), S.BEFORES.index(before), S.NEXTS.index(nxt), S.HOWS.index(how))
+        assert S.OUT[m, 1] == S.stop_ends(word, before, nxt, how) and not S.OUT[m, 2:].any()
+
+
+def test_long_and_deep_brackets():
+    for inner in ("It rose. ", "Then it fell again. "):
+        quoted = "He wrote: “" + inner * 600 + "It ended.”"
+        assert parts(quoted + " Next one.") == [quoted, "Next one."]
+    assert parts("Cells (first (second (third group) was lysed) were kept. They rose) in buffer. Next.") == ["Cells (first (second (third group) was lysed) were kept. They rose) in buffer.", "Next."]
+    assert parts("a (b. " * 7 + "c" + " d.)" * 7 + ". E.") == ["a (b. " * 7 + "c" + " d.)" * 7 + ".", "E."]
+    item = "- " + "long item without an end " * 20
+    assert parts(item.strip() + "\n- two") == [item.strip(), "- two"]
+
+
+def test_stops_of_more_scripts():
+    assert parts("Gov. Foo and Rev. Bar met Sgt. Baz. They left.") == ["Gov. Foo and Rev. Bar met Sgt. Baz.", "They left."]
+    assert parts("Ինչ է։ Այո։") == ["Ինչ է։", "Այո։"] and parts("ការ។ ខែ។") == ["ការ។", "ខែ។"] and parts("စာ။ နေ။") == ["စာ။", "နေ။"]
+
 
 
 def test_empty_long_and_garbled(spark):
