@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Layers undone at most.
-LAYERS = 4
 #: Drop of the cost that a stretch needs by itself, and beside one such stretch.
 STRONG, WEAK = 1.45, 0.25
 
@@ -44,7 +43,7 @@ def _table(name: str) -> dict[str, int]:
 
 
 #: Encodings a byte may have been read as wrongly, one byte a character.
-SINGLE = {n: _table(n) for n in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp1250", "cp866")}
+SINGLE = {n: _table(n) for n in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp1250", "iso8859-15", "cp866")}
 
 
 def _class(t: dict[str, int], lo: int, hi: int) -> str:
@@ -63,7 +62,16 @@ DOUBLE = ("cp932", "gbk", "cp949", "big5")
 #: Russian and Arabic letters from the most to the least frequent.
 RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 ARABIC = "اليمنرتبوةعدسفكهقحجشصطخءذئزثضغظؤىأإآ"
+#: Letters of Ukrainian that Russian lacks, and Greek and Hebrew
+#: letters from the most to the least frequent.
+UKRAINIAN = "іїєґ"
+GREEK = "αοιετσνηυρπκμλςωόάήίέδύγχώθφβξζψ"
+HEBREW = "יוהלאמרתבשנכעדקםפחגטזןסצךףץ"
 _RANK = {c: i / len(RUSSIAN) for i, c in enumerate(RUSSIAN)}
+_RANK.update({c: 0.3 + i / len(UKRAINIAN) / 3 for i, c in enumerate(UKRAINIAN)})
+_OTHER_RANK = {c: i / len(x) for x in (GREEK, HEBREW) for i, c in enumerate(x)}
+#: What words of accented letters may have been meant as.
+MEANT = ("cp1251", "koi8-r", "cp1256", "cp1253", "cp1255")
 CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5")
 
 _SIGNS = set("“”‘’«»„…–—•·°±µ§©®™€£¥¢№²³¹½¼¾ªº¿¡   ‚≥≤")
@@ -92,6 +100,10 @@ def _kind(c: str) -> tuple[str, float]:
         return "A", (0.0 if 0x621 <= o <= 0x652 or c in "،؛؟٪٠١٢٣٤٥٦٧٨٩" else 3.0)
     if 0x900 <= o <= 0x97F or 0xE00 <= o <= 0xE7F:
         return "T", 0.0
+    if 0x1E00 <= o <= 0x1EFF:
+        return ("U" if c.isupper() else "l"), 0.4
+    if 0x531 <= o <= 0x5F4 or 0x10A0 <= o <= 0x10FF:
+        return "T", 0.1
     if 0xAC00 <= o <= 0xD7A3:
         return "H", 0.1
     if 0x3040 <= o <= 0x30FF:
@@ -166,16 +178,93 @@ def _from_utf8(text: str) -> Iterator[tuple[int, int, str, float]]:
                 # True stretches are whole: what stands next is not of the same bytes.
                 torn = sum(c in t and c not in _CLEAN for c in (before, after) if c)
                 drop = cost(m[0], before, after) - cost(new, before, after) + (m[0][0] == "Â") + 0.3 * (name == "cp1252") - 3.0 * torn
+                drop += 1.6 * sum(c in _OLD_LETTERS for c in new)  # rare, but letters of their languages
+                if name == "cp1251" and not _WORD.search(before + after):
+                    drop += 0.6  # a Cyrillic letter that stands with a sign, not with its like
                 explained += (b - a) * (drop >= STRONG)
                 yield a, b, new, drop
-        if explained > 0.6 * high:
+        if explained > 0.6 * high and not _LATIN9.search(text):
             return
 
 
+#: What ISO 8859-15 alone makes of a byte within UTF-8.
+_LATIN9 = re.compile("[\x80-\xbfÀ-ôŠŒŸŽšœž][€ŠŒŸŽšœž]|[€ŠŒŸŽšœž][\x80-\xbf]")
 _CJK = re.compile(r"[぀-ヿ一-鿿가-힣｡-ﾟ㄀-ㄯ　-〿！-～�Α-ω←-◿℃‥…‘’“”・·•→]{3,}")
 _TELL = re.compile(r"[｡-ﾟ㄀-ㄯ縺繧繝荳蟶鍖銆鐨鏄涓鍦娴鐢鈥锛绗甯鎴缂璇å]|[一-鿿]{2}")
 
 
+#: Characters that a two-byte encoding gives, where nothing of the kind stands beside.
+_FAR_EAST = "぀-ヿ㄀-ㄯㄱ-ㆎ一-鿿㐀-䶿가-힣｡-ﾟ"
+_ISLAND = re.compile(f"(?<![{_FAR_EAST}])[{_FAR_EAST}]+(?![{_FAR_EAST}])")
+#: What may have been meant there: letters of western alphabets and signs.
+_WESTERN_TEXT = re.compile("[\x09-\x7eÀ-ɏͰ-ϿЀ-ӿ\u2000-\u206f" + re.escape("".join(_SIGNS)) + "]+")
+
+
+def _islands(text: str) -> Iterator[tuple[int, int, str, float]]:
+    """UTF-8 of western text read as a two-byte encoding: few characters amid
+    letters of another script. Beside them, no others of theirs may stand."""
+    found = list(_ISLAND.finditer(text))
+    if not found:
+        return
+    for name in DOUBLE:
+        got, foreign = [], []
+        for m in found:
+            new = None
+            try:
+                raw = m[0].encode(name)
+                new = raw.decode("utf-8")
+            except UnicodeError:
+                pass
+            if new is not None and not new.isascii() and _WESTERN_TEXT.fullmatch(new):
+                got.append((m.start(), m.end(), new))
+            else:
+                foreign += m.span()
+        for a, b, new in got:
+            x = bisect_left(foreign, a)
+            near = min(a - foreign[x - 1] if x else len(text), foreign[x] - b if x < len(foreign) else len(text))
+            before, after = text[a - 1 : a] if a else " ", text[b : b + 1] or " "
+            letters = (before.isalpha() and before < "\u0250") + (after.isalpha() and after < "\u0250")
+            # Within a word, or at an end of one that a sign or a digit touches.
+            if near > 16:
+                yield a, b, new, 1.0 * (b - a) + 1.2 * letters + 0.6 * (before.isdigit() or after.isdigit())
+
+
+#: Letters of two alphabets that are also what wrong decoding often gives.
+_OLD_LETTERS = set("ÞþÐðÝý")
+#: Mac Roman read as a western encoding, one sign at a time: quotation marks
+#: round a phrase, a letter that is a word, a bullet at the head of a line.
+_MAC = re.compile("(?<![^\\s(])Ò(?=\\w)[^ÒÓ\n]*?(?<=[a-zß-ÿ\\d.,;!?…])Ó(?=[\\s.,;:)!?]|$)|(?:(?<=\\s)|^)[ˆ˜](?=\\s)|(?:(?<=\n)|^)¥(?=[ \\t]+[^\\W\\d])")
+
+
+def _mac_signs(text: str) -> Iterator[tuple[int, int, str, float]]:
+    for m in _MAC.finditer(text):
+        for i in (m.start(), m.end() - 1) if len(m[0]) > 1 else (m.start(),):
+            yield i, i + 1, bytes([SINGLE["cp1252"][text[i]]]).decode("mac_roman"), 2.0
+
+
+#: One character of a two-byte encoding as a control and another character,
+#: beside the script it belongs to, and two or three of Thai amid Thai text.
+_LONE_PAIR = re.compile("[\x80-\x9f][\x40-\x7e\x80-\xff]")
+_THAI_BIT = re.compile("(?<=\\w)(?=[¡-û]*[¡-¿])[¡-Úßàáâãäåæçèéêëìíîïðñòóôõö÷øùúû]{2,3}(?=\\w)")
+
+
+def _bits(text: str) -> Iterator[tuple[int, int, str, float]]:
+    if _EAST.search(text):
+        for m in _LONE_PAIR.finditer(text):
+            try:
+                new = m[0].encode("latin-1").decode("cp932")
+            except UnicodeDecodeError:
+                continue
+            if len(new) == 1 and _kind(new)[0] in "JK" and _EAST.search(text[max(0, m.start() - 8) : m.start()] + text[m.end() : m.end() + 8]):
+                yield *m.span(), new, 3.0
+    if _THAI.search(text):
+        for m in _THAI_BIT.finditer(text):
+            new = m[0].encode("latin-1").decode("cp874", "replace")
+            if _THAI_WORD.fullmatch(new):
+                yield *m.span(), new, 2.0
+
+
+_THAI_WORD = re.compile("(?:[เ-ไ]?[ก-ฮ][ัิ-ฺ็-๎]*[ะาำๅ]?)+")
 #: UTF-8, but for two bytes at either end.
 _UTF8_BODY = re.compile(rb"(?s).{0,2}(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+.{0,2}")
 
@@ -205,7 +294,7 @@ def _from_double(text: str) -> Iterator[tuple[int, int, str, float]]:
                             new = body.decode("utf-8")
                         except UnicodeDecodeError:
                             continue
-                        if sum(_kind(c)[0] in "JKHPTAR" for c in new) * 2 < len(new):
+                        if sum(_kind(c)[0] in "JKHPTARG" for c in new) * 2 < len(new):
                             continue
                         old = p[0]
                         yield at + p.start(), at + p.end(), new, cost(old) - cost(new) + 0.6 * len(old)
@@ -333,12 +422,24 @@ def _words(text: str) -> list[tuple[int, int, str, float]]:
     best: tuple[float, list] = (0.5, [])
     if not _ROW.search(text):
         return []
-    for meant in ("cp1251", "koi8-r", "cp1256"):
+    for meant in MEANT:
         got = list(_letters(text, "cp1252", meant, _ACCENTED))
         fine = sum(b - a for a, b, new, _ in got if b - a > 1 and _rank(new) <= 0.42 * (b - a)) / whole
         if fine > best[0]:
             best = (fine, got)
-    return best[1]
+    if best[1]:
+        return best[1]
+    # Amid other languages: a word of nothing but accented letters is none of theirs.
+    lone: dict[tuple[int, int], tuple[float, str]] = {}
+    for meant in MEANT:
+        for a, b, new, _ in _letters(text, "cp1252", meant, _LONE_WORD):
+            r = _rank(new) / (b - a)
+            if new.isalpha() and min(new) > "\u024f" and r < min(0.42, lone.get((a, b), (1.0, ""))[0]):
+                lone[a, b] = (r, new)
+    return [(a, b, new, 2.0) for (a, b), (_, new) in lone.items()]
+
+
+_LONE_WORD = re.compile(r"(?<![^\W\d])[À-ÿ]{4,}(?![^\W\d])")
 
 
 def _rank(s: str) -> float:
@@ -348,12 +449,16 @@ def _rank(s: str) -> float:
         low = c.lower()
         if "ء" <= c <= "ي":
             total += max(0, ARABIC.find(c)) / len(ARABIC)
+        elif low in _OTHER_RANK:
+            total += _OTHER_RANK[low] + (0.12 if c != low else 0.0) + (0.5 if i and c != low and s[i - 1].islower() else 0.0)
         elif low in _RANK:
             total += _RANK[low] + (0.12 if c != low else 0.0)
             if i and c != low and s[i - 1].islower() and s[i - 1].lower() in _RANK:
                 total += 1.0
             elif i and c != low and i == 1 and s[0].islower():
                 total += 1.0
+        elif "\u0370" <= c < "\u2000":
+            total += 0.7  # not a letter of these, or a mark by itself
     return total
 
 
@@ -410,16 +515,16 @@ WESTERN_RUNS = {w: re.compile("(?<=[A-Za-z])[" + "".join(re.escape(c) for c in S
 #: The inside of runs of ASCII characters: it tells nothing.
 _INSIDE = re.compile("(?<=[\\x00-\\x7f])[\\x00-\\x7f]+(?=[\\x00-\\x7f])")
 #: What the candidates ask for, but for UTF-8 read as cp866 or as a two-byte encoding.
-_ODD = re.compile("|".join([*(p.pattern[:-1] for n, p in UTF8_RUNS.items() if n != "cp866"), _ROW.pattern, _TWO_PAIRS.pattern, *(p.pattern for p in WESTERN_RUNS.values()), _SHIFTED.pattern]))
+_ODD = re.compile("|".join([*(p.pattern[:-1] for n, p in UTF8_RUNS.items() if n != "cp866"), _ROW.pattern, _TWO_PAIRS.pattern, *(p.pattern for p in WESTERN_RUNS.values()), _SHIFTED.pattern, _LONE_PAIR.pattern, _THAI_BIT.pattern]))
 
 
 def suspicious(text: str) -> bool:
     """A quick look, by the patterns of the candidates themselves: False only
     where _candidates finds nothing STRONG."""
     short = _INSIDE.sub(" ", text)
-    if _ODD.search(short) or _BOX.search(short) and UTF8_RUNS["cp866"].search(short):
+    if _ODD.search(short) or _BOX.search(short) and UTF8_RUNS["cp866"].search(short) or _MAC.search(text):
         return True
-    return any(c[3] >= STRONG for c in _from_double(text))
+    return any(c[3] >= STRONG for f in (_islands, _from_double) for c in f(text))
 
 
 def _candidates(text: str) -> list[tuple[int, int, str, float]]:
@@ -431,11 +536,14 @@ def _candidates(text: str) -> list[tuple[int, int, str, float]]:
     out = [(a, b, new, d + 1000.0 * (d >= STRONG)) for a, b, new, d in out]
     if _CJK.search(text):
         out += _from_double(text)
+    out += _islands(text)
+    out += _mac_signs(text)
+    out += _bits(text)
     if _BESIDE.search(text) and covered < 0.5 * len(_HIGH.findall(text)):
         high = len(_HIGH.findall(text))
         other = [] if _EAST.search(text) else list(_thai(text))
-        if sum(b - a for a, b, _, _ in other) < 0.7 * high and not _THAI.search(text):
-            other = (_words(text) if high else []) or list(_pairs(text))
+        if sum(b - a for a, b, _, _ in other) < 0.7 * high:
+            other = (_words(text) if high else []) or ([] if _THAI.search(text) else list(_pairs(text)))
         # What one reading explains at large beats what another finds by chance.
         if sum(b - a for a, b, _, d in other if d >= STRONG) > 1.5 * covered:
             out = [c for c in out if c[1] - c[0] >= 9]
@@ -475,9 +583,9 @@ def restore(text: str) -> tuple[str, list[tuple[int, int]] | None]:
     spans: list[tuple[int, int]] | None = None
     if not suspicious(text):
         return now, spans
-    for layer in range(LAYERS):
-        if layer and not suspicious(now):
-            break
+    seen = set()
+    while now not in seen and suspicious(now):  # a text met again would go round for ever
+        seen.add(now)
         cands = _candidates(now)
         if not any(c[3] >= STRONG for c in cands):
             break
@@ -537,12 +645,13 @@ def found(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def restored(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, restored) of the rows that hold a garbled stretch."""
+    """(key, restored, whole) of the rows that hold a garbled stretch; whole is
+    false where bytes were lost, so that what stands there can't be had back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [(k, r[0]) for k, r in ((k, repair(t)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())) if r[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([r for _, r in got], pa.string())], names=["k", "restored"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([r for _, r in got], pa.string()), pa.array(["\ufffd" not in r for _, r in got], pa.bool_())], names=["k", "restored", "whole"])
 
     wide = rows.filter(F.col(text).rlike("[^\\x00-\\x7f]"))
-    return wide.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k bigint, restored string").withColumnRenamed("k", key)
+    return wide.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k bigint, restored string, whole boolean").withColumnRenamed("k", key)

@@ -23,8 +23,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     """The restored texts of the garbled rows."""
-    docs = garbled.restored(table(spark, d, "documents"), "doc_id", "text").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_key"), "restored")
-    geo = garbled.restored(table(spark, d, "geo_series"), "row_no", "summary").select(F.lit("geo_series").alias("tbl"), F.col("row_no").alias("row_key"), "restored")
+    docs = garbled.restored(table(spark, d, "documents"), "doc_id", "text").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_key"), "restored", "whole")
+    geo = garbled.restored(table(spark, d, "geo_series"), "row_no", "summary").select(F.lit("geo_series").alias("tbl"), F.col("row_no").alias("row_key"), "restored", "whole")
     return docs.unionByName(geo)
 
 

@@ -80,3 +80,50 @@ def test_the_gate_is_no_narrower_than_the_candidates():
             strong += 1
             assert G.suspicious(bad), bad
     assert strong > 400
+
+
+MORE = {
+    "pl": "Zażółć gęślą jaźń, wykonano badania źródła przepływu.",
+    "vi": "Chúng tôi đã nghiên cứu hai trăm mẫu từ bệnh nhân.",
+    "el": "Η έκφραση του υποδοχέα στα κύτταρα δεν άλλαξε.",
+    "uk": "Чи діє препарат на рецептор у культурі клітин?",
+}
+
+
+@pytest.mark.parametrize("lang", MORE)
+@pytest.mark.parametrize("wrong", ["latin-1", "cp1252", "mac_roman"])
+def test_other_alphabets_come_back(lang, wrong):
+    t = MORE[lang]
+    back = {b: c for c, b in G.SINGLE[wrong].items()}
+    bad = "".join(chr(b) if b < 128 else back[b] for b in t.encode())
+    assert G.repair(t) == (t, False) and G.repair(bad) == (t, True)
+
+
+@pytest.mark.parametrize(
+    ("t", "meant", "wrong"),
+    [
+        ("A café-au-lait patch and naïve cells", "utf-8", "gbk"),
+        ("Doses of 186 mg and 412 mg", "utf-8", "gbk"),
+        ("kept at 15 °C for 40 h", "utf-8", "gbk"),
+        ("nous avons étudié 259 échantillons", "utf-8", "cp1251"),
+        ("Vials from Þlaxtoard cost", "utf-8", "cp1252"),
+        ("a “quoted form” of it", "mac_roman", "latin-1"),
+        ("Среднее значение дано на рис. 305", None, None),
+    ],
+)
+def test_short_stretches_come_back(t, meant, wrong):
+    bad = t.encode(meant).decode(wrong) if meant else t.replace("дано", "äàíî")
+    assert bad != t and G.repair(bad) == (t, True)
+
+
+def test_six_layers():
+    t = bad = "Größe é"
+    for _ in range(6):
+        back = {b: c for c, b in G.SINGLE["cp1252"].items()}
+        bad = "".join(chr(b) if b < 128 else back[b] for b in bad.encode())
+    assert G.repair(bad) == (t, True)
+
+
+def test_capitals_of_portuguese_stay():
+    for t in ("NÃO HOUVE ALTERAÇÃO DE CPGV-4", "DIZ A SEÇÃO 108.", "版本292.238的转录本目录收录了NCRK以及位ABC和尾巴"):
+        assert G.repair(t) == (t, False)
