@@ -71,10 +71,31 @@ def capital_first(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
 
 
+#: Words title case keeps small inside a title.
+SMALL_WORDS = ["a", "an", "and", "as", "at", "but", "by", "en", "for", "if", "in", "of", "on", "or", "the", "to", "v", "v.", "via", "vs", "vs."]
+
+
 def kept_title(c: Column) -> Column:
-    """Title case, but capitals that stand already are kept."""
-    parts = F.split(c, " ")
-    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
+    """Title case, but capitals that stand already are kept. Small words stay
+    small unless they are the first or the last or follow a stop; parts of a
+    word behind a hyphen or a slash begin large; words with a stop or a capital
+    inside are left as they are."""
+    words = F.split(c, " ")
+    last = F.size(words) - 1
+
+    def large(p: Column) -> Column:
+        head = F.regexp_extract(p, r"^[^\p{L}\p{N}_]*", 0)
+        n = F.length(head)
+        return F.concat(head, F.upper(F.substr(p, n + 1, F.lit(1))), F.substr(p, n + 2))
+
+    def one(w: Column, i: Column) -> Column:
+        ends = (i == 0) | (i == last) | F.rlike(F.try_element_at(words, i), F.lit("[:.;?!\u2014-]$"))
+        small = F.lower(w).isin(SMALL_WORDS) & ~F.coalesce(ends, F.lit(True))
+        left = F.rlike(w, F.lit(r"[a-zA-Z]+[A-Z]")) | F.rlike(w, F.lit(r"(?i)[a-z][.][a-z]"))
+        pieces = F.split(F.regexp_replace(w, r"([-/])", "$1\x01"), "\x01")
+        return F.when(small | left, w).otherwise(F.array_join(F.transform(pieces, large), ""))
+
+    return F.array_join(F.transform(words, one), " ")
 
 
 def match_pairs(texts: Column, patterns: Column, every: bool = False) -> Column:

@@ -63,29 +63,36 @@ def cut_values(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def conductance(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """(cluster, conductance): 2 cut / min(volume inside, volume outside); if one
-    volume is 0 the other counts, 0 if both are."""
+    """(cluster, conductance): twice the halved cut over the lesser of the
+    weights inside and outside the cluster (each edge counted from both its
+    ends, none that is cut); if one weight is 0 the other counts, 0 if both are."""
     c = cut_values(edges, parts)
     total = float(c.agg(F.sum("volume")).first()[0] or 0.0)
-    out = F.lit(total) - F.col("volume")
-    base = F.when(F.least(F.col("volume"), out) > 0, F.least(F.col("volume"), out)).otherwise(F.greatest(F.col("volume"), out))
-    return c.select("cluster", F.coalesce(F.try_divide(2 * F.col("cut"), base), F.lit(0.0)).alias("conductance"))
+    rest = F.lit(total) - F.col("inside") - 2 * F.col("cut")
+    base = F.when(F.least(F.col("inside"), rest) > 0, F.least(F.col("inside"), rest)).otherwise(F.greatest(F.col("inside"), rest))
+    return c.select("cluster", F.coalesce(F.try_divide(2 * F.col("mincut"), base), F.lit(0.0)).alias("conductance"))
 
 
 def closeness(edges: DataFrame, parts: DataFrame, e: float = 1.0) -> DataFrame:
     """(i, j, score): relative interconnectivity times relative closeness^e of
-    cluster pairs joined by an edge, i < j."""
-    c = cut_values(edges, parts).select("cluster", "size", "cut")
-    both = edges.select("a", "b", "w")
-    j = both.join(parts.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), "a").join(parts.select(F.col("id").alias("b"), F.col("cluster").alias("cb")), "b").filter("ca <> cb")
-    cross = j.groupBy(F.least("ca", "cb").alias("i"), F.greatest("ca", "cb").alias("j")).agg(F.sum("w").alias("w"), F.avg("w").alias("mean"))
-    deg = j.select(F.col("ca").alias("c"), "w").unionByName(j.select(F.col("cb").alias("c"), "w")).groupBy("c").agg(F.avg("w").alias("m"))
-    side = c.join(deg, c.cluster == deg.c).select("cluster", "size", "cut", "m")
-    left, right = side.select(*[F.col(x).alias(f"{x}_i") for x in side.columns]), side.select(*[F.col(x).alias(f"{x}_j") for x in side.columns])
+    cluster pairs joined by an edge, i < j.
+
+    Interconnectivity: the weight between the two over the mean of their cuts.
+    Closeness: the mean weight between the two over the size-weighted mean of
+    cut by number of edges, an edge counted at each of its ends in the cluster.
+    """
+    where = lambda v, c: parts.select(F.col("id").alias(v), F.col("cluster").alias(c))
+    j = edges.select("a", "b", "w").join(where("a", "ca"), "a").join(where("b", "cb"), "b")
+    ends = j.select(F.col("ca").alias("cluster"), "w", (F.col("ca") != F.col("cb")).alias("out")).unionByName(j.select(F.col("cb").alias("cluster"), "w", (F.col("ca") != F.col("cb")).alias("out")))
+    side = ends.groupBy("cluster").agg(F.sum(F.when(F.col("out"), F.col("w")).otherwise(0.0)).alias("cut"), F.count(F.lit(1)).alias("n"))
+    side = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).join(side, "cluster")
+    cross = j.filter("ca <> cb").groupBy(F.least("ca", "cb").alias("i"), F.greatest("ca", "cb").alias("j")).agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("m"))
+    left, right = (side.select(*[F.col(x).alias(f"{x}_{y}") for x in side.columns]) for y in "ij")
     t = cross.join(left, F.col("i") == F.col("cluster_i")).join(right, F.col("j") == F.col("cluster_j"))
     ri = F.try_divide(2 * F.col("w"), F.col("cut_i") + F.col("cut_j"))
-    weighted = (F.col("size_i") * F.col("m_i") + F.col("size_j") * F.col("m_j")) / (F.col("size_i") + F.col("size_j"))
-    return t.select("i", "j", F.coalesce(ri * F.pow(F.try_divide(F.col("mean"), weighted), F.lit(e)), F.lit(0.0)).alias("score"))
+    own = lambda y: F.col(f"size_{y}") / (F.col("size_i") + F.col("size_j")) * F.col(f"cut_{y}") / F.col(f"n_{y}")
+    rc = F.try_divide(F.col("w") / F.col("m"), own("i") + own("j"))
+    return t.select("i", "j", F.coalesce(ri * F.pow(rc, F.lit(e)), F.lit(0.0)).alias("score"))
 
 
 def inconsistent_edges(edges: DataFrame, coarse: float) -> DataFrame:

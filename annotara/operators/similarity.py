@@ -13,8 +13,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block on average.
-BLOCK_ROWS = 1000
+#: Rows of a block on average, and of a part of one key's rows.
+BLOCK_ROWS, KEY_ROWS = 1000, 2000
 
 
 def squared(a: Column, b: Column) -> Column:
@@ -78,8 +78,10 @@ def group_distances(queries: DataFrame, rows: DataFrame, key: str, groups: dict[
     q = queries.select(F.col(key).alias("i"), b, *[F.col(c).alias(f"q_{g}") for g, (c, _) in groups.items()])
     r = rows.select(F.col(key).alias("j"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"), *[F.col(c).alias(f"r_{g}") for g, (c, _) in groups.items()])
     d = sum((F.lit(w) * F.sqrt(squared(F.col(f"q_{g}"), F.col(f"r_{g}"))) for g, (_, w) in groups.items()), F.lit(0.0))
-    pairs = q.join(r, "b").filter("i <> j").select("i", "j", d.alias("d"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k).select("i", "rank", "j", "d")
+    pairs = q.join(r, "b").filter("i <> j").select("i", "j", "b", d.alias("d"))
+    local = F.row_number().over(Window.partitionBy("i", "b").orderBy("d", "j"))
+    few = pairs.withColumn("r", local).filter(F.col("r") <= k)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k).select("i", "rank", "j", "d")
 
 
 def scale_pairs(pairs: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -125,12 +127,42 @@ def blend_pairs(base: DataFrame, others: list[DataFrame], weights: list[float] |
     return out.groupBy("i", "j").agg(F.sum("d").alias("d"))
 
 
-def correlations(long: DataFrame) -> DataFrame:
-    """(a, b, r) Pearson correlation of features of (doc, feat, val), a < b,
-    over the documents that hold both."""
-    other = long.select("doc", F.col("feat").alias("b"), F.col("val").alias("y"))
-    j = long.select("doc", F.col("feat").alias("a"), F.col("val").alias("x")).join(other, "doc").filter("a < b")
-    return j.groupBy("a", "b").agg(F.corr(F.col("x").cast("double"), F.col("y").cast("double")).alias("r"))
+def _meetings(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left and right joined on key, each frame with one row per member of the
+    key; a key's rows are dealt into parts of KEY_ROWS at most on average, and
+    each pair of parts is a group of the join, so a key that a third of all rows
+    share is no hot task."""
+    parts = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / KEY_ROWS).cast("int").alias("_parts"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.col("_parts")).cast("int").alias(own)
+        return rows.join(parts, key).select(*rows.columns, part, every.alias(other))
+
+    return dealt(left, "_p", "_q").join(dealt(right, "_q", "_p"), [key, "_p", "_q"]).drop("_p", "_q")
+
+
+def correlations(long: DataFrame, n_docs: int | None = None) -> DataFrame:
+    """(a, b, r) Pearson correlation of features of (doc, feat, val), one row
+    per pair, a < b; null where a feature does not vary.
+
+    With n_docs, rows are dense: a document without a feature holds 0, and all
+    pairs of features come out, also those that never meet. Without it, a pair
+    is taken over the documents that hold both.
+    """
+    x = long.select("doc", F.col("feat").alias("a"), F.col("val").cast("double").alias("x"))
+    y = long.select("doc", F.col("feat").alias("b"), F.col("val").cast("double").alias("y"))
+    j = _meetings(x, y, "doc").filter("a < b")
+    if n_docs is None:
+        return j.groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    met = j.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    margin = x.groupBy("a").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    left, right = _blocked(margin.select(F.col("a").alias("f"), F.struct("s", "ss").alias("m")), "f", "m", max(1, ceil(margin.count() / BLOCK_ROWS)))
+    every = left.join(right, ["bi", "bj"]).filter("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("vi").alias("p"), F.col("vj").alias("q"))
+    n = F.lit(float(n_docs))
+    spread = lambda m: n * F.col(f"{m}.ss") - F.col(f"{m}.s") * F.col(f"{m}.s")
+    over = n * F.coalesce("xy", F.lit(0.0)) - F.col("p.s") * F.col("q.s")
+    return every.join(met, ["a", "b"], "left").select("a", "b", F.try_divide(over, F.sqrt(spread("p") * spread("q"))).alias("r"))
 
 
 def top_k(pairs: DataFrame, k: int, descend: bool = False) -> DataFrame:
@@ -146,9 +178,9 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 def dot_products(long: DataFrame) -> DataFrame:
     """(i, j, s) inner products of sparse rows (doc, feat, val), i < j; a
-    feature is met once per pair that shares it."""
-    other = long.select(F.col("doc").alias("j"), "feat", F.col("val").alias("y"))
-    both = long.select(F.col("doc").alias("i"), "feat", F.col("val").alias("x")).join(other, "feat").filter("i < j")
+    feature is met once per pair that shares it, a hot one in parts."""
+    left = long.select(F.col("doc").alias("i"), "feat", F.col("val").alias("x"))
+    both = _meetings(left, long.select(F.col("doc").alias("j"), "feat", F.col("val").alias("y")), "feat").filter("i < j")
     return both.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("s"))
 
 

@@ -216,7 +216,15 @@ def q_cap(s, d):
     return table(s, d, "concepts").select("row_no", T.capital_first(F.col("lb")).alias("v"))
 
 
-@query("kept_title", "select row_no, array_to_string(list_transform(string_split(lb, ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') as v from concepts")
+_PIECES = "regexp_extract_all(w, '[^-/]*[-/]|[^-/]+')"
+_LARGE = "regexp_extract(p, '^[^\\p{L}\\p{N}_]*') || upper(substr(p, length(regexp_extract(p, '^[^\\p{L}\\p{N}_]*')) + 1, 1)) || substr(p, length(regexp_extract(p, '^[^\\p{L}\\p{N}_]*')) + 2)"
+_SMALL = "('a', 'an', 'and', 'as', 'at', 'but', 'by', 'en', 'for', 'if', 'in', 'of', 'on', 'or', 'the', 'to', 'v', 'v.', 'via', 'vs', 'vs.')"
+
+
+@query("kept_title", f"""with w as (select row_no, lb, string_split(lb, ' ') as ws from concepts), e as (select row_no, len(ws) as n, unnest(ws) as w, generate_subscripts(ws, 1) as i, ws from w),
+t as (select row_no, i, case when (lower(w) in {_SMALL} and i > 1 and i < n and not regexp_matches(ws[i - 1], '[:.;?!—-]$')) or regexp_matches(w, '[a-zA-Z]+[A-Z]') or regexp_matches(w, '[a-zA-Z][.][a-zA-Z]') then w
+  else array_to_string(list_transform({_PIECES}, lambda p: {_LARGE}), '') end as v from e)
+select c.row_no, x.v from concepts c left join (select row_no, string_agg(v, ' ' order by i) as v from t group by 1) x using (row_no)""")
 def q_title(s, d):
     return table(s, d, "concepts").select("row_no", T.kept_title(F.col("lb")).alias("v"))
 
@@ -495,10 +503,18 @@ def q_scaledp(s, d):
     return similarity.scale_pairs(p).select("i", "j", R("d").alias("d"))
 
 
+def _order_values(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").groupBy(F.col("o_custkey").alias("doc"), F.col("o_orderpriority").alias("feat")).agg(F.avg("o_totalprice").alias("val"))
+
+
 @query("correlations", "with x as (select o_custkey as doc, o_orderpriority as feat, avg(o_totalprice) as val from orders group by 1, 2) select x.feat as a, y.feat as b, round(corr(x.val, y.val), 5) as r from x join x y on x.doc = y.doc and x.feat < y.feat group by 1, 2")
 def q_corr(s, d):
-    x = table(s, d, "orders").groupBy(F.col("o_custkey").alias("doc"), F.col("o_orderpriority").alias("feat")).agg(F.avg("o_totalprice").alias("val"))
-    return similarity.correlations(x).select("a", "b", R("r", 5).alias("r"))
+    return similarity.correlations(_order_values(s, d)).select("a", "b", R("r", 5).alias("r"))
+
+
+@query("correlations_dense", "with x as (select o_custkey as doc, o_orderpriority as feat, avg(o_totalprice) as val from orders group by 1, 2), f as (select distinct feat from x), g as (select doc, f.feat, coalesce(x.val, 0) as val from (select c_custkey as doc from customer) c cross join f left join x using (doc, feat)) select a.feat as a, b.feat as b, round(corr(a.val, b.val), 5) as r from g a join g b on a.doc = b.doc and a.feat < b.feat group by 1, 2")
+def q_corr_dense(s, d):
+    return similarity.correlations(_order_values(s, d), table(s, d, "customer").count()).select("a", "b", R("r", 5).alias("r"))
 
 
 @query("dot_products", "with x as (select o_orderpriority as doc, o_custkey as feat, count(*) as val from orders group by 1, 2) select a.doc as i, b.doc as j, sum(a.val * b.val)::double as s from x a join x b on a.feat = b.feat and a.doc < b.doc group by 1, 2")
@@ -561,12 +577,15 @@ def q_cut(s, d):
     return x.withColumn("norm", R("norm"))
 
 
-@query("conductance", f"with {_NE} select cluster, round(2 * cut / least(volume, (select sum(volume) from c) - volume), 6) as conductance from c")
+@query("conductance", f"with {_NE}, s as (select k.cluster, sum(case when pa.cluster = k.cluster and pb.cluster = k.cluster then 2 * w else 0 end) as inside, sum(case when pa.cluster <> k.cluster and pb.cluster <> k.cluster then 2 * w else 0 end) as outside, sum(case when (pa.cluster = k.cluster) <> (pb.cluster = k.cluster) then w else 0 end) as cut from e join p pa on e.a = pa.id join p pb on e.b = pb.id, (select distinct cluster from p) k group by 1) select cluster, round(2 * (0.5 * cut) / (case when least(inside, outside) > 0 then least(inside, outside) else greatest(inside, outside) end), 6) as conductance from s")
 def q_cond(s, d):
     return cluster.conductance(*_net(s, d)).select("cluster", R("conductance").alias("conductance"))
 
 
-@query("closeness")
+@query("closeness", f"""with {_NE}, g as (select a, b, w from e union all select b, a, w from e), x as (select pa.cluster as ca, pb.cluster as cb, w from g join p pa on g.a = pa.id join p pb on g.b = pb.id),
+n as (select cluster as k, count(*) as size from p group by 1), m as (select ca as k, count(*) as entries, 0.5 * sum(case when ca <> cb then w else 0 end) as ec from x group by 1), s as (select * from n join m using (k)),
+cc as (select ca as i, cb as j, 0.5 * sum(w) as mec, count(*) as num from x where ca < cb group by 1, 2)
+select i, j, round(2.0 * mec / (si.ec + sj.ec) * (mec / num) / (si.size::double / (si.size + sj.size) * si.ec / si.entries + sj.size::double / (si.size + sj.size) * sj.ec / sj.entries), 6) as score from cc join s si on i = si.k join s sj on j = sj.k""")
 def q_close(s, d):
     return cluster.closeness(*_net(s, d)).select("i", "j", R("score").alias("score"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,13 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; where it is
-    unset (tests, a single machine), a temporary folder is made and set."""
+    unset and the session runs in one process (tests), a temporary folder is
+    made and set. A cluster that names none is an error: its executors could
+    not read what one machine keeps to itself."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    named = named or tempfile.mkdtemp(prefix="annotara-checkpoint-")
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="annotara-checkpoint-")
     sc.setCheckpointDir(named)
     return named
 
