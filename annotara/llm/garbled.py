@@ -162,11 +162,14 @@ _CLEAN = set("“”‘’«»„…–—•·°±§©®™€£¥№¿¡ ")
 _BOX = re.compile("[─-▟]")
 
 
+#: The inside of runs of ASCII characters: it tells nothing.
+_INSIDE = re.compile("(?<=[\\x00-\\x7f])[\\x00-\\x7f]+(?=[\\x00-\\x7f])")
 def _from_utf8(text: str) -> Iterator[tuple[int, int, str, float]]:
-    box = _BOX.search(text)
-    high = sum(map(len, _NOT_ASCII.findall(text)))
+    short = _INSIDE.sub(" ", text)
+    box = _BOX.search(short)
+    high = sum(map(len, _NOT_ASCII.findall(short)))
     for name, pat in UTF8_RUNS.items():
-        if name == "cp866" and not box:
+        if (name == "cp866" and not box) or not pat.search(short):
             continue
         t = SINGLE[name]
         explained = 0
@@ -195,6 +198,7 @@ _TELL = re.compile(r"[｡-ﾟ㄀-ㄯ縺繧繝荳蟶鍖銆鐨鏄涓鍦娴鐢鈥
 
 #: Characters that a two-byte encoding gives, where nothing of the kind stands beside.
 _FAR_EAST = "぀-ヿ㄀-ㄯㄱ-ㆎ一-鿿㐀-䶿가-힣｡-ﾟ"
+_FAR = re.compile(f"[{_FAR_EAST}]")
 _ISLAND = re.compile(f"(?<![{_FAR_EAST}])[{_FAR_EAST}]+(?![{_FAR_EAST}])")
 #: What may have been meant there: letters of western alphabets and signs.
 _WESTERN_TEXT = re.compile("[\x09-\x7eÀ-ɏͰ-ϿЀ-ӿ\u2000-\u206f" + re.escape("".join(_SIGNS)) + "]+")
@@ -203,7 +207,7 @@ _WESTERN_TEXT = re.compile("[\x09-\x7eÀ-ɏͰ-ϿЀ-ӿ\u2000-\u206f" + re.escape(
 def _islands(text: str) -> Iterator[tuple[int, int, str, float]]:
     """UTF-8 of western text read as a two-byte encoding: few characters amid
     letters of another script. Beside them, no others of theirs may stand."""
-    found = list(_ISLAND.finditer(text))
+    found = list(_ISLAND.finditer(text)) if _FAR.search(_INSIDE.sub(" ", text)) else []
     if not found:
         return
     for name in DOUBLE:
@@ -236,7 +240,13 @@ _OLD_LETTERS = set("ÞþÐðÝý")
 _MAC = re.compile("(?<![^\\s(])Ò(?=\\w)[^ÒÓ\n]*?(?<=[a-zß-ÿ\\d.,;!?…])Ó(?=[\\s.,;:)!?]|$)|(?:(?<=\\s)|^)[ˆ˜](?=\\s)|(?:(?<=\n)|^)¥(?=[ \\t]+[^\\W\\d])")
 
 
+def _has_mac(text: str) -> bool:
+    return any(c in text for c in "Óˆ˜¥") and _MAC.search(text) is not None
+
+
 def _mac_signs(text: str) -> Iterator[tuple[int, int, str, float]]:
+    if not _has_mac(text):
+        return
     for m in _MAC.finditer(text):
         for i in (m.start(), m.end() - 1) if len(m[0]) > 1 else (m.start(),):
             yield i, i + 1, bytes([SINGLE["cp1252"][text[i]]]).decode("mac_roman"), 2.0
@@ -411,6 +421,7 @@ def _letters(text: str, wrong: str, meant: str, run: re.Pattern[str]) -> Iterato
 _HIGH = re.compile("[¡-ÿ]")
 _BESIDE = re.compile("[\u0080-ÿ‚„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ]{2}|[\u0080-\u009f]")
 _THAI = re.compile("[ก-๛]")
+_HIGH_LETTERS = re.compile("[À-ÿ]+")
 #: Two letters of _ACCENTED in a row: without them no word of _words counts.
 _ROW = re.compile("[À-ÿ¨¸]{2}")
 
@@ -418,11 +429,12 @@ _ROW = re.compile("[À-ÿ¨¸]{2}")
 def _words(text: str) -> list[tuple[int, int, str, float]]:
     """Russian or Arabic read as western: most accented letters must lie in
     words that look like the language, else it is something else."""
-    whole = max(1, sum("À" <= c <= "ÿ" for c in text))
     best: tuple[float, list] = (0.5, [])
     if not _ROW.search(text):
         return []
-    for meant in MEANT:
+    whole = max(1, sum(map(len, _HIGH_LETTERS.findall(text))))
+    rows = sum(len(m) for m in _ACCENTED.findall(text) if len(m) > 1)
+    for meant in MEANT if rows > 0.5 * whole else ():
         got = list(_letters(text, "cp1252", meant, _ACCENTED))
         fine = sum(b - a for a, b, new, _ in got if b - a > 1 and _rank(new) <= 0.42 * (b - a)) / whole
         if fine > best[0]:
@@ -431,7 +443,7 @@ def _words(text: str) -> list[tuple[int, int, str, float]]:
         return best[1]
     # Amid other languages: a word of nothing but accented letters is none of theirs.
     lone: dict[tuple[int, int], tuple[float, str]] = {}
-    for meant in MEANT:
+    for meant in MEANT if _LONE_WORD.search(text) else ():
         for a, b, new, _ in _letters(text, "cp1252", meant, _LONE_WORD):
             r = _rank(new) / (b - a)
             if new.isalpha() and min(new) > "\u024f" and r < min(0.42, lone.get((a, b), (1.0, ""))[0]):
@@ -512,8 +524,6 @@ _OUTSIDE = re.compile("(?:(?<=[\\s.,;:?!(])|^)[À-ÿ](?=\\S|\\s)|(?<=[.?!\\w])[
 WESTERN_RUNS = {w: re.compile("(?<=[A-Za-z])[" + "".join(re.escape(c) for c in SINGLE[w] if _kind(c)[0] != "l" and c not in "’”“»«…–—") + "]{1,2}(?=[A-Za-z])") for w, _ in WESTERN}
 
 
-#: The inside of runs of ASCII characters: it tells nothing.
-_INSIDE = re.compile("(?<=[\\x00-\\x7f])[\\x00-\\x7f]+(?=[\\x00-\\x7f])")
 #: What the candidates ask for, but for UTF-8 read as cp866 or as a two-byte encoding.
 _ODD = re.compile("|".join([*(p.pattern[:-1] for n, p in UTF8_RUNS.items() if n != "cp866"), _ROW.pattern, _TWO_PAIRS.pattern, *(p.pattern for p in WESTERN_RUNS.values()), _SHIFTED.pattern, _LONE_PAIR.pattern, _THAI_BIT.pattern]))
 
@@ -522,13 +532,14 @@ def suspicious(text: str) -> bool:
     """A quick look, by the patterns of the candidates themselves: False only
     where _candidates finds nothing STRONG."""
     short = _INSIDE.sub(" ", text)
-    if _ODD.search(short) or _BOX.search(short) and UTF8_RUNS["cp866"].search(short) or _MAC.search(text):
+    if _ODD.search(short) or _BOX.search(short) and UTF8_RUNS["cp866"].search(short) or _has_mac(text):
         return True
     return any(c[3] >= STRONG for f in (_islands, _from_double) for c in f(text))
 
 
-def _candidates(text: str) -> list[tuple[int, int, str, float]]:
-    out = list(_from_utf8(text))
+def _candidates(text: str, utf8: list[tuple[int, int, str, float]] | None = None) -> list[tuple[int, int, str, float]]:
+    """(start, end, what was meant, drop of the cost); utf8 may be given."""
+    out = list(_from_utf8(text)) if utf8 is None else utf8
     covered = sum(b - a for a, b, _, d in out if d >= STRONG)
     wide = re.search(r"[^\x00-\x7f]", text)
     if not wide:
@@ -630,7 +641,10 @@ def is_hit(text: str | None) -> bool:
         return False
     if "�" in text:
         return True
-    return suspicious(text) and (any(c[3] >= STRONG for c in _from_utf8(text)) or any(c[3] >= STRONG for c in _candidates(text)))
+    if not suspicious(text):
+        return False
+    utf8 = list(_from_utf8(text))
+    return any(c[3] >= STRONG for c in utf8) or any(c[3] >= STRONG for c in _candidates(text, utf8))
 
 
 def found(rows: DataFrame, key: str, text: str) -> DataFrame:
