@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from annotara.functions import text as T
 from annotara.operators import annotate, cluster, experiment, features, graph, hierarchy, metrics, similarity, trees
+from annotara.plans import oracles
 from annotara.session import cut, table
 from annotara.sources import payloads, readers
 
@@ -629,7 +630,10 @@ def q_objs(s, d):
 
 @query("annotation_values")
 def q_annv(s, d):
-    return graph.annotation_values(table(s, d, "triples"), "lb", ["lb"])
+    """The values of the predicate that carries the label 'reference' here."""
+    t = table(s, d, "triples").select("s", "p", "o", "o_lang", "o_is_literal")
+    named = s.createDataFrame([("ref", "lb", "reference", None, True)], t.schema)
+    return graph.annotation_values(t.unionByName(named), "reference", ["lb"])
 
 
 _UN = "u0 as (select s as a, o as b from triples where p in ('rc', 'co') and s is not null and o is not null and s <> o), u as (select a, b from u0 union select b, a from u0)"
@@ -892,3 +896,6 @@ def q_cached(s, d):
     x = docs(s, d)
     cache = x.filter(F.pmod("doc_id", F.lit(2)) == 0).select(F.md5(F.coalesce("text", F.lit(""))).alias("md5"), F.lit("answer").alias("answer"))
     return payloads.cached(x.select("doc_id", "text"), "text", cache)[1].select("md5")
+
+
+SQL.update(oracles.SQL)
