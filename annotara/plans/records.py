@@ -60,9 +60,35 @@ tree(link, node, root, depth, path) as (
   select link, node, node, 0::bigint, node from tops
   union all select t.link, e.node, t.root, t.depth + 1, t.path || '>' || e.node from tree t join edges e on e.link = t.link and e.parent = t.node)"""
 
+def _json(c: str) -> str:
+    """The elements of a value that should be an array: a lone object is one, also held as text."""
+    held = f"(case when json_valid({c}->>'$') then ({c}->>'$')::json end)"
+    one = lambda j: f"when json_type({j}) = 'ARRAY' then from_json({j}, '[\"json\"]') when json_type({j}) = 'OBJECT' then [{j}]"
+    return f"(case {one(c)} when json_type({c}) = 'VARCHAR' then (case {one(held)} end) end)"
+
+
+def _bare(c: str, wrapper: str) -> str:
+    return f"(case when json_type({c}->'{wrapper}') = 'OBJECT' then {c}->'{wrapper}' else {c} end)"
+
+
+def _elements(rel: str, keys: str, c: str, wrapper: str) -> str:
+    each = f"select {keys}, unnest({_json(c)}) as e, unnest(range(len({_json(c)}))) as pos from {rel}"
+    return f"(select {keys}, pos, {_bare('e', wrapper)} as e from ({each}) where json_type(e) = 'OBJECT')"
+
+
+_P3 = f"""with r as (select response_id as rec, {_bare('j', 'omim')} as j from (select response_id, omim::json as j from omim_responses where json_valid(omim))),
+en as {_elements('r', 'rec', "(j->'entryList')", 'entry')}, er as {_elements('(select rec, pos as up, e as x from en)', 'rec, up', "(x->'referenceList')", 'reference')},
+rl as {_elements('r', 'rec', "(j->'referenceLists')", '-')}, lr as {_elements('(select rec, pos as up, e as x from rl)', 'rec, up', "(x->'referenceList')", 'reference')},
+pa as (select row_no, p, i - 1 as i from (select row_no, unnest(passages) as p, generate_subscripts(passages, 1) as i from bioc_docs) where p is not null),
+an as (select row_no, i, a, k - 1 as k from (select row_no, i, unnest(p.annotations) as a, generate_subscripts(p.annotations, 1) as k from pa) where a is not null)
+select 'entry' as kind, rec as rec_id, pos as pos1, -1::bigint as pos2, coalesce(e->>'mimNumber', '') as ident from en
+union all select 'entry_ref', rec, up, pos, coalesce(e->>'pubmedID', '') from er union all select 'list_ref', rec, up, pos, coalesce(e->>'pubmedID', '') from lr
+union all select 'passage', row_no, i, -1, coalesce(p.offset::varchar, '') from pa union all select 'annotation', row_no, i, k, coalesce(a.infons.concept, '') from an"""
+
 QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p6_found": p6_found}
 
 SQL = {
+    "p3_found": _P3,
     "p2_found": f"""{_TREE},
 walk(link, node, cur) as (
   select e.link, e.node, e.parent from edges e where not exists (select 1 from tree t where t.link = e.link and t.node = e.node)
