@@ -200,6 +200,8 @@ _TELL = re.compile(r"[｡-ﾟ㄀-ㄯ縺繧繝荳蟶鍖銆鐨鏄涓鍦娴鐢鈥
 _FAR_EAST = "぀-ヿ㄀-ㄯㄱ-ㆎ一-鿿㐀-䶿가-힣｡-ﾟ"
 _FAR = re.compile(f"[{_FAR_EAST}]")
 _ISLAND = re.compile(f"(?<![{_FAR_EAST}])[{_FAR_EAST}]+(?![{_FAR_EAST}])")
+#: Those of them that begin with two bytes of UTF-8, in any of the encodings.
+_STARTS = {c for n in DOUBLE for c in map(chr, (*range(0x3040, 0x3190), *range(0x3400, 0xD7A4), *range(0xFF61, 0xFFA0))) if re.match(rb"[\xc2-\xf4][\x80-\xbf]|[\xc2-\xf4]$", c.encode(n, "ignore"))}
 #: What may have been meant there: letters of western alphabets and signs.
 _WESTERN_TEXT = re.compile("[\x09-\x7eÀ-ɏͰ-ϿЀ-ӿ\u2000-\u206f" + re.escape("".join(_SIGNS)) + "]+")
 
@@ -208,13 +210,15 @@ def _islands(text: str) -> Iterator[tuple[int, int, str, float]]:
     """UTF-8 of western text read as a two-byte encoding: few characters amid
     letters of another script. Beside them, no others of theirs may stand."""
     found = list(_ISLAND.finditer(text)) if _FAR.search(_INSIDE.sub(" ", text)) else []
-    if not found:
+    if not any(m[0][0] in _STARTS for m in found):
         return
     for name in DOUBLE:
         got, foreign = [], []
         for m in found:
             new = None
             try:
+                if m[0][0] not in _STARTS:
+                    raise UnicodeError
                 raw = m[0].encode(name)
                 new = raw.decode("utf-8")
             except UnicodeError:
@@ -289,6 +293,8 @@ def _from_double(text: str) -> Iterator[tuple[int, int, str, float]]:
             # Split where a character has no place in the encoding.
             for p in re.finditer(r"[^�]+", s):
                 try:
+                    if len(p[0]) > 12 and not _UTF8_BODY.fullmatch(p[0][:8].encode(name)):
+                        continue
                     raw = p[0].encode(name)
                 except UnicodeEncodeError:
                     continue
@@ -528,11 +534,18 @@ WESTERN_RUNS = {w: re.compile("(?<=[A-Za-z])[" + "".join(re.escape(c) for c in S
 _ODD = re.compile("|".join([*(p.pattern[:-1] for n, p in UTF8_RUNS.items() if n != "cp866"), _ROW.pattern, _TWO_PAIRS.pattern, *(p.pattern for p in WESTERN_RUNS.values()), _SHIFTED.pattern, _LONE_PAIR.pattern, _THAI_BIT.pattern]))
 
 
+#: What each of them holds: two characters of one-byte encodings in a row, or a
+#: sign of theirs amid Latin letters.
+_BYTES = "[" + "".join(re.escape(c) for c in sorted({c for t in SINGLE.values() for c in t})) + "]"
+_SIGN_BYTES = "[" + "".join(re.escape(c) for c in sorted({c for t in SINGLE.values() for c in t if _kind(c)[0] != "l" and c not in "’”“»«…–—"})) + "]"
+_MAYBE = re.compile(f"{_BYTES}{{2}}|[A-Za-z]{_SIGN_BYTES}|[\x80-\xff][\x40-\x7e]|{_SHIFTED.pattern}")
+
+
 def suspicious(text: str) -> bool:
     """A quick look, by the patterns of the candidates themselves: False only
     where _candidates finds nothing STRONG."""
     short = _INSIDE.sub(" ", text)
-    if _ODD.search(short) or _BOX.search(short) and UTF8_RUNS["cp866"].search(short) or _has_mac(text):
+    if _MAYBE.search(short) and _ODD.search(short) or _BOX.search(short) and UTF8_RUNS["cp866"].search(short) or _has_mac(text):
         return True
     return any(c[3] >= STRONG for f in (_islands, _from_double) for c in f(text))
 

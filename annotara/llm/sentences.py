@@ -266,7 +266,7 @@ _MONTHS = re.compile(r"\s+(?:Januar|Februar|März|April|M\S{1,2}rz|Mai|Juni|Juli
 _ORDINAL = re.compile(r"\b(?:am|vom|zum|dem|den) \d{1,2}$", re.I)
 _STARTER = re.compile(r"[a-z]{1,2}[A-Z0-9]")
 _CITE = re.compile(r"(?:\[\d+(?:\s?[,;–-]\s?\d+)*\]|[¹²³⁰-⁹]+)+")
-_TOKEN = re.compile(r"[^\s(\"“„«‘\[（「『]+$")
+_OPENING = re.compile("[(\"“„«‘\\[（「『]")
 _BLANK = re.compile(r"\n[ \t]*\r?\n")
 _APOSTROPHE = re.compile("[’'‘]")
 _SPACE = re.compile(r"\s*")
@@ -330,11 +330,18 @@ def _before(text: str, i: int) -> str:
     return "close" if c in "%)]”»’" else "other"
 
 
+def _tail(text: str, low: int, i: int) -> str:
+    """What stands before i without white space and opening marks."""
+    parts = text[max(0, low) : i].split()
+    if not parts or text[i - 1].isspace():
+        return ""
+    return _OPENING.split(parts[-1])[-1]
+
+
 def _word(text: str, i: int, j: int, k: int) -> str:
     """The class of the word before the stop text[i:j], behind which k is the
     next place after closing marks and citations."""
-    m = _TOKEN.search(text, max(0, i - 40), i)
-    w = m[0] if m else ""
+    w = _tail(text, i - 40, i)
     base = _APOSTROPHE.split(w)[-1]
     if "." in base and base.lower() not in NEVER and base.lower() not in MAYBE:
         base = base.rsplit(".", 1)[-1]  # a sentence that ended without a space before
@@ -466,8 +473,8 @@ def marks_of(text: str, hard: list[int], markers: set[int]) -> tuple[list[int],
             if not thai:
                 continue
             p, q = text[i - 1] if i else " ", text[j]
-            word = _TOKEN.search(text, max(0, i - 60), i)
-            if ((word and _THAI_CHAR.search(word[0]) and p not in "”»\"’)]") or (_THAI_CHAR.match(q) and (p.isalnum() or p in ")]"))) and not (q in "“\"(«" and text[max(0, i - 3) : i] == "ว่า") and q not in ")”»,.;:" and j not in markers:
+            word = _tail(text, i - 60, i)
+            if ((_THAI_CHAR.search(word) and p not in "”»\"’)]") or (_THAI_CHAR.match(q) and (p.isalnum() or p in ")]"))) and not (q in "“\"(«" and text[max(0, i - 3) : i] == "ว่า") and q not in ")”»,.;:" and j not in markers:
                 gap(i)
                 last = i
                 syms.append(THAI)
