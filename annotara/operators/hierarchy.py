@@ -7,7 +7,7 @@ depths, roots and paths are expanded from it. Cycles without a splitter are
 found when a doubling round finishes no node, and solved separately.
 
 Every step is an equi-join on the node key or a hash aggregation; no row set is
-collected to the driver (only counts are), and rounds are cut by checkpoint().
+collected to the driver (only counts are), and rounds are written tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotara.session import cut
+from annotara.session import stored
 
 #: One node in SPLIT is a splitter: walks have SPLIT steps on average.
 SPLIT = 16
@@ -56,7 +56,7 @@ def _double(state: DataFrame, extra: list[str]) -> tuple[list[DataFrame], DataFr
     parts and the rest, if any; the rest is carried on until each of its
     pointers lies on its circle and each least covers the whole circle.
     """
-    state = cut(state.select("link", "node", "ptr", "dist", "least", "done", *extra))
+    state = stored(state.select("link", "node", "ptr", "dist", "least", "done", *extra))
     parts = [state.filter("done > 0")]
     active = state.filter("done = 0")
     left, reach, stuck = active.count(), 1, False
@@ -67,7 +67,7 @@ def _double(state: DataFrame, extra: list[str]) -> tuple[list[DataFrame], DataFr
             "link", "node", F.col("ptr_2").alias("ptr"), (F.col("dist") + F.col("dist_2")).alias("dist"), F.least("least", "least_2").alias("least"), F.col("done_2").alias("done"),
             *[("seg" if stuck else F.concat("seg", "seg_2").alias("seg")) for _ in extra],
         )
-        new = cut(new)
+        new = stored(new)
         reach *= 2
         if not stuck:
             parts.append(new.filter("done > 0"))
@@ -96,7 +96,7 @@ def solve(edges: DataFrame, with_path: bool = False, split: int = SPLIT) -> Data
     """
     extra = ["seg"] if with_path else []
     none = [F.lit(None).cast("array<string>").alias(x) for x in extra]
-    edges = cut(edges.select("link", "node", "parent"))
+    edges = stored(edges.select("link", "node", "parent"))
     inner = edges.select("link", F.col("node").alias("parent"), F.lit(True).alias("inner"))
 
     def chosen(c: str) -> Column:
@@ -113,7 +113,7 @@ def solve(edges: DataFrame, with_path: bool = False, split: int = SPLIT) -> Data
     loops = None
     if rest is not None:
         on = rest.select("link", F.col("node").alias("ptr"), F.col("least").alias("root"))
-        loops = cut(rest.select("link", "node", "ptr").join(on, ["link", "ptr"]).select("link", "node", "root"))
+        loops = stored(rest.select("link", "node", "ptr").join(on, ["link", "ptr"]).select("link", "node", "root"))
     # The reduced graph: each splitter points at the next, at a root, or into a loop.
     red = walked.filter(chosen("node"))
     if loops is not None:
