@@ -432,6 +432,15 @@ _HIGH_LETTERS = re.compile("[À-ÿ]+")
 _ROW = re.compile("[À-ÿ¨¸]{2}")
 
 
+def _wordy(text: str) -> bool:
+    """Whether words of accented letters are what most of them lie in, or one
+    has no others."""
+    if not _ROW.search(text):
+        return False
+    rows = sum(len(m) for m in _ACCENTED.findall(text) if len(m) > 1)
+    return rows > 0.5 * max(1, sum(map(len, _HIGH_LETTERS.findall(text)))) or _LONE_WORD.search(text) is not None
+
+
 def _words(text: str) -> list[tuple[int, int, str, float]]:
     """Russian or Arabic read as western: most accented letters must lie in
     words that look like the language, else it is something else."""
@@ -531,7 +540,7 @@ WESTERN_RUNS = {w: re.compile("(?<=[A-Za-z])[" + "".join(re.escape(c) for c in S
 
 
 #: What the candidates ask for, but for UTF-8 read as cp866 or as a two-byte encoding.
-_ODD = re.compile("|".join([*(p.pattern[:-1] for n, p in UTF8_RUNS.items() if n != "cp866"), _ROW.pattern, _TWO_PAIRS.pattern, *(p.pattern for p in WESTERN_RUNS.values()), _SHIFTED.pattern, _LONE_PAIR.pattern, _THAI_BIT.pattern]))
+_ODD = re.compile("|".join([*(p.pattern[:-1] for n, p in UTF8_RUNS.items() if n != "cp866"), _TWO_PAIRS.pattern, *(p.pattern for p in WESTERN_RUNS.values()), _SHIFTED.pattern, _LONE_PAIR.pattern, _THAI_BIT.pattern]))
 
 
 #: What each of them holds: two characters of one-byte encodings in a row, or a
@@ -545,7 +554,7 @@ def suspicious(text: str) -> bool:
     """A quick look, by the patterns of the candidates themselves: False only
     where _candidates finds nothing STRONG."""
     short = _INSIDE.sub(" ", text)
-    if _MAYBE.search(short) and _ODD.search(short) or _BOX.search(short) and UTF8_RUNS["cp866"].search(short) or _has_mac(text):
+    if _MAYBE.search(short) and (_ODD.search(short) or _wordy(short)) or _BOX.search(short) and UTF8_RUNS["cp866"].search(short) or _has_mac(text):
         return True
     return any(c[3] >= STRONG for f in (_islands, _from_double) for c in f(text))
 
@@ -554,16 +563,14 @@ def _candidates(text: str, utf8: list[tuple[int, int, str, float]] | None = None
     """(start, end, what was meant, drop of the cost); utf8 may be given."""
     out = list(_from_utf8(text)) if utf8 is None else utf8
     covered = sum(b - a for a, b, _, d in out if d >= STRONG)
-    wide = re.search(r"[^\x00-\x7f]", text)
-    if not wide:
-        return []
+    short = _INSIDE.sub(" ", text)
     out = [(a, b, new, d + 1000.0 * (d >= STRONG)) for a, b, new, d in out]
-    if _CJK.search(text):
+    if _CJK.search(short):
         out += _from_double(text)
     out += _islands(text)
     out += _mac_signs(text)
     out += _bits(text)
-    if _BESIDE.search(text) and covered < 0.5 * len(_HIGH.findall(text)):
+    if _BESIDE.search(short) and covered < 0.5 * len(_HIGH.findall(text)):
         high = len(_HIGH.findall(text))
         other = [] if _EAST.search(text) else list(_thai(text))
         if sum(b - a for a, b, _, _ in other) < 0.7 * high:
@@ -575,7 +582,7 @@ def _candidates(text: str, utf8: list[tuple[int, int, str, float]] | None = None
         out += [c for c in other if covered == 0 or c[3] >= STRONG]
     for wrong, meant in WESTERN:
         run = WESTERN_RUNS[wrong]
-        if run.search(text):
+        if run.search(short):
             got = list(_letters(text, wrong, meant, run))
             out += got
             if wrong == "cp1252" and sum(c[3] >= STRONG for c in got) > 1:
