@@ -6,7 +6,7 @@ from __future__ import annotations
 import difflib
 import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -204,3 +204,37 @@ def soft_max(a: Column, t: float = 1.0) -> Column:
 def index_gather(a: Column, idx: Column) -> Column:
     """The elements of a at 0-based places."""
     return F.transform(idx, lambda i: F.try_element_at(a, i + 1))
+
+
+def drop_repeats(a: Column) -> Column:
+    """Without repeats; the first of equal elements stays where it is."""
+    return F.array_distinct(a)
+
+
+def flat(a: Column, depth: int) -> Column:
+    """The elements of an array nested depth deep, in order."""
+    for _ in range(depth - 1):
+        a = F.flatten(a)
+    return a
+
+
+def sorted_by(a: Column, key: Callable[[Column], Column]) -> Column:
+    """a in the order of a key of its elements; equal keys keep their order."""
+    keyed = F.transform(a, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda s: s["x"])
+
+
+def crop(a: Column, start: int, end: int) -> Column:
+    """The elements from start up to, but not with, end (0-based)."""
+    return F.slice(a, start + 1, max(end - start, 0))
+
+
+def fill(a: Column, value: Column, times: int) -> Column:
+    """a with value so many times behind it."""
+    return F.concat(a, F.array_repeat(value, times))
+
+
+def mask_avg(a: Column) -> Column:
+    """The mean of the elements that are not 0; null if all are."""
+    kept = F.filter(a, lambda x: x != 0)
+    return F.try_divide(F.aggregate(kept, F.lit(0.0), lambda t, x: t + x), F.size(kept))

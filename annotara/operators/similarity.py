@@ -189,3 +189,13 @@ def unique_cells(cells: DataFrame, merge: str = "del") -> DataFrame:
     if merge == "sum":
         return cells.groupBy("row", "col").agg(F.sum("val").alias("val"))
     return cells.groupBy("row", "col").agg(F.min_by("val", "pos").alias("val"))
+
+
+def axis_indices(rows: DataFrame, array: str, axes: int) -> DataFrame:
+    """(i, j, ... up to axes, v): the elements of a nested array with their
+    0-based place on every axis."""
+    names = "ijklm"[:axes]
+    out = rows.select(F.col(array).alias("v"))
+    for n, x in enumerate(names):
+        out = out.select(*names[:n], F.posexplode("v").alias(x, "v"))
+    return out

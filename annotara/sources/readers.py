@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,14 +48,84 @@ def read_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.option("multiLine", True).json(paths)
 
 
-def read_json_array(spark: SparkSession, path: str, key: str, offset: int = 0, maxnum: int | None = None) -> DataFrame:
-    """The objects of the one top-level array {key: [...]}, from offset on, no
-    more than maxnum; their order is that of the array."""
-    body = spark.read.option("multiLine", True).json(path).select(F.posexplode(key).alias("pos", "item"))
-    keep = F.col("pos") >= offset
-    if maxnum is not None:
-        keep = keep & (F.col("pos") < offset + maxnum)
-    return body.filter(keep).select("pos", "item.*")
+def array_objects(chunks: Iterable[str], key: str) -> Iterator[str]:
+    """The objects, as text, of the one array under key of a JSON document that
+    comes in chunks; no more is held than one object and a chunk."""
+    buf, at, inside = "", 0, False
+    depth, start, quoted, escaped = 0, -1, False, False
+    head = re.compile(r'"' + re.escape(key) + r'"\s*:\s*\[')
+    for chunk in chunks:
+        buf += chunk
+        if not inside:
+            m = head.search(buf)
+            if not m:
+                buf = buf[-len(key) - 64 :]
+                continue
+            inside, at = True, m.end()
+        while at < len(buf):
+            c = buf[at]
+            at += 1
+            if quoted:
+                if escaped:
+                    escaped = False
+                elif c == "\\":
+                    escaped = True
+                elif c == '"':
+                    quoted = False
+            elif c == '"':
+                quoted = True
+            elif c == "{":
+                depth += 1
+                if depth == 1:
+                    start = at - 1
+            elif c == "}":
+                depth -= 1
+                if not depth:
+                    yield buf[start:at]
+                    start = -1
+            elif c == "]" and not depth:
+                return
+        cut = start if start >= 0 else at
+        buf, at, start = buf[cut:], at - cut, 0 if start >= 0 else -1
+
+
+class _ArrayReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.key, self.first, self.most = options["path"], options["key"], int(options["first"]), int(options["most"])
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(self.path)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        with open(partition.value, encoding="utf-8") as f:
+            for n, item in enumerate(array_objects(iter(lambda: f.read(1 << 20), ""), self.key)):
+                if n >= self.first + self.most:
+                    return
+                if n >= self.first:
+                    yield n, item
+
+
+class JsonArraySource(DataSource):
+    """One big JSON array as (pos, item), streamed in chunks."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "json_array"
+
+    def schema(self) -> str:
+        return "pos bigint, item string"
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return _ArrayReader(self.options)
+
+
+def read_json_array(spark: SparkSession, path: str, key: str, schema: str, offset: int = 0, maxnum: int | None = None) -> DataFrame:
+    """The objects of the one top-level array {key: [...]} of a file, from
+    offset on, no more than maxnum; pos is their place in the array. The file
+    is streamed: neither it nor the array is ever held as a whole."""
+    spark.dataSource.register(JsonArraySource)
+    raw = spark.read.format("json_array").option("path", path.removeprefix("file://").removeprefix("file:")).option("key", key).option("first", str(offset)).option("most", str(1 << 62 if maxnum is None else maxnum)).load()
+    return raw.select("pos", F.from_json("item", schema).alias("item")).select("pos", "item.*")
 
 
 def read_csv(spark: SparkSession, path: str, offset: int = 0, maxnum: int | None = None, **options: str) -> DataFrame:
@@ -151,9 +222,7 @@ ARTICLE = (
 )
 
 
-def articles(xml: DataFrame, col: str = "value") -> DataFrame:
-    """(pmid, title, abs, kws, mesh, chem) of article elements held as text."""
-    a = xml.select(F.from_xml(clean_xml(F.col(col)), ARTICLE).alias("x")).select("x.MedlineCitation.*")
+def _article_columns(a: DataFrame) -> DataFrame:
     named = lambda arr, f: F.transform(arr, lambda h: F.struct(h[f]["_UI"].alias("ui"), h[f]["_VALUE"].alias("name")))
     return a.select(
         F.col("PMID").alias("pmid"), F.col("Article.ArticleTitle").alias("title"), F.array_join("Article.Abstract.AbstractText", "\n").alias("abs"), F.col("KeywordList.Keyword").alias("kws"),
@@ -161,9 +230,14 @@ def articles(xml: DataFrame, col: str = "value") -> DataFrame:
     )
 
 
+def articles(xml: DataFrame, col: str = "value") -> DataFrame:
+    """(pmid, title, abs, kws, mesh, chem) of article elements held as text."""
+    return _article_columns(xml.select(F.from_xml(clean_xml(F.col(col)), ARTICLE).alias("x")).select("x.MedlineCitation.*"))
+
+
 def read_articles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Articles of .xml and .xml.gz archives, split by file and row tag."""
-    return spark.read.option("rowTag", "PubmedArticle").schema(ARTICLE).xml(paths).select(F.to_xml(F.struct("*")).alias("value")).transform(articles)
+    return _article_columns(spark.read.option("rowTag", "PubmedArticle").schema(ARTICLE).xml(paths).select("MedlineCitation.*"))
 
 
 def article_fields(arts: DataFrame) -> DataFrame:
@@ -174,6 +248,11 @@ def article_fields(arts: DataFrame) -> DataFrame:
     return wide.unpivot("pmid", ["title", "abs", "kws", "mesh", "chem"], "field", "text")
 
 
+def _strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def path_text(c: Column, path: str) -> Column:
     """The texts at an XPath, e.g. 'eList/e/text()'."""
     return F.xpath(clean_xml(c), F.lit(path))
@@ -267,8 +346,8 @@ def sample_rows(xml: DataFrame, col: str = "value") -> DataFrame:
     """(id, platform, title, type, organism, tissue, trait, data) of sample
     elements; traits are the characteristics, data the cells of a data table."""
     c = clean_xml(F.col(col))
-    one = lambda p: F.trim(F.xpath_string(c, F.lit(p)))
-    traits = F.transform(F.xpath(c, F.lit("//Characteristics/text()")), lambda x: F.trim(x))
+    one = lambda p: _strip(F.xpath_string(c, F.lit(p)))
+    traits = F.transform(F.xpath(c, F.lit("//Characteristics/text()")), _strip)
     return xml.select(
         one("//Sample/@iid").alias("id"), one("//Platform-Ref/@ref").alias("platform"), one("//Title").alias("title"), one("//Sample/Type").alias("type"), one("//Organism").alias("organism"),
         one("//Characteristics[@tag='tissue']").alias("tissue"), traits.alias("trait"), sample_table(F.xpath_string(c, F.lit("//Internal-Data"))).alias("data"),
@@ -278,8 +357,8 @@ def sample_rows(xml: DataFrame, col: str = "value") -> DataFrame:
 def platform_rows(xml: DataFrame, col: str = "value") -> DataFrame:
     """(id, title, tech, organism, manufacturer, col_desc) of platform elements."""
     c = clean_xml(F.col(col))
-    one = lambda p: F.trim(F.xpath_string(c, F.lit(p)))
-    desc = F.transform(F.xpath(c, F.lit("//Column/Description/text()")), lambda x: F.trim(x))
+    one = lambda p: _strip(F.xpath_string(c, F.lit(p)))
+    desc = F.transform(F.xpath(c, F.lit("//Column/Description/text()")), _strip)
     return xml.select(one("//Platform/@iid").alias("id"), one("//Title").alias("title"), one("//Technology").alias("tech"), one("//Organism").alias("organism"), one("//Manufacturer").alias("manufacturer"), desc.alias("col_desc"))
 
 

@@ -1,4 +1,5 @@
 import gzip
+import json
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def test_text_and_json(spark, tmp_path):
     got = {r.path[-5:]: (r.n, r.first, r["last"]) for r in readers.first_last_lines(spark, str(tmp_path)).collect()}
     assert got["a.txt"] == (2, "one", "two")
     (tmp_path / "j.json").write_text('{"k": [{"x": 1}, {"x": 2}, {"x": 3}]}')
-    assert [r.x for r in readers.read_json_array(spark, str(tmp_path / "j.json"), "k", 1, 1).collect()] == [2]
+    assert [r.x for r in readers.read_json_array(spark, str(tmp_path / "j.json"), "k", "x int", 1, 1).collect()] == [2]
     assert readers.repair_json_text('{"a": "x "y" z"}') == '{"a": "x \\"y\\" z"}'
     assert rows(spark, '{"a": "x "y" z"}', None).select(readers.repair_json(F.col("value")).alias("v")).filter("v is not null").count() == 1
     (tmp_path / "c.csv").write_text("a,b\n1,2\n3,4\n5,6\n")
@@ -87,3 +88,12 @@ def test_streams(spark, data, tmp_path):
     assert spark.sql("select count(*) as n from sess").first().n > 0
     windows.once(windows.deduplicated(st, "ts", "1 day", ["event_id"]), "dedup", str(tmp_path / "c3"))
     assert spark.sql("select count(*) as n from dedup").first().n == ev.select("event_id").distinct().count()
+
+
+def test_array_objects_in_chunks_of_any_size():
+    doc = '{"a": {"rows": 1}, "rows" : [{"x": "}]\\""}, {"y": {"z": [1, {"w": 2}]}} , {}], "b": [{"no": 1}]}'
+    want = [{"x": '}]"'}, {"y": {"z": [1, {"w": 2}]}}, {}]
+    for n in (1, 2, 7, 1000):
+        chunks = [doc[i : i + n] for i in range(0, len(doc), n)]
+        assert [json.loads(x) for x in readers.array_objects(chunks, "rows")] == want
+    assert list(readers.array_objects(['{"rows": []}'], "rows")) == [] and list(readers.array_objects(["{}"], "rows")) == []
