@@ -33,7 +33,8 @@ def clean_id(c: Column) -> Column:
         parted.rlike(r"^[A-Za-z]+:"),
         F.concat(F.upper(F.split(parted, ":", 2)[0]), F.lit(":"), F.split(parted, ":", 2)[1]),
     ).otherwise(parted)
-    return F.when(F.length(bare) > 0, upper)
+    # Most are written so already: one look instead of all of the above.
+    return F.when(c.rlike(r"^[A-Z]+:[0-9A-Za-z]+$"), c).otherwise(F.when(F.length(bare) > 0, upper))
 
 
 def links(rows: DataFrame, node: str, parents: dict[str, str]) -> DataFrame:
@@ -44,7 +45,8 @@ def links(rows: DataFrame, node: str, parents: dict[str, str]) -> DataFrame:
     keeps the least, so the result does not depend on row order.
     """
     arms = F.explode(F.array(*[F.struct(F.lit(k).alias("link"), clean_id(F.col(c)).alias("parent")) for k, c in parents.items()]))
-    e = rows.select(clean_id(F.col(node)).alias("node"), arms.alias("x")).select("x.link", "node", "x.parent")
+    own = rows.filter(F.coalesce(*[F.col(c) for c in parents.values()]).isNotNull()).withColumn("_node", clean_id(F.col(node)))
+    e = own.select(F.col("_node").alias("node"), arms.alias("x")).select("x.link", "node", "x.parent")
     return e.filter("node is not null and parent is not null").groupBy("link", "node").agg(F.min("parent").alias("parent"))
 
 
