@@ -78,7 +78,12 @@ def align(annots: DataFrame, toks: DataFrame, error: int = 0) -> DataFrame:
     stop = ends.groupBy("doc", "annot", "as", "ae").agg(F.min("i").alias("last"))
     # An end that falls between tokens: the next token's end lies beyond it.
     after = first.join(stop, ["doc", "annot", "as", "ae"], "left_anti")
-    nxt = after.join(t, "doc").filter((F.col("i") >= F.col("first")) & (F.col("ae") < F.col("te"))).groupBy("doc", "annot", "as", "ae").agg(F.min("i").alias("last"))
+    none = F.lit(None)
+    both = t.select("doc", F.col("te").alias("at"), F.lit(1).alias("kind"), "i", none.cast(dict(annots.dtypes)["annot"]).alias("annot"), none.cast("int").alias("as"), none.cast("int").alias("first")).unionByName(
+        after.select("doc", F.col("ae").alias("at"), F.lit(0).alias("kind"), none.cast("int").alias("i"), "annot", F.col("as").cast("int"), F.col("first").cast("int"))
+    )
+    ahead = F.first("i", True).over(Window.partitionBy("doc").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    nxt = both.withColumn("next", ahead).filter("kind = 0 and next is not null").select("doc", "annot", "as", F.col("at").alias("ae"), F.greatest("next", "first").alias("last"))
     found = first.join(stop.unionByName(nxt), ["doc", "annot", "as", "ae"], "left").join(last_tok, "doc")
     return found.select("doc", "annot", F.explode(F.sequence("first", F.coalesce("last", "max_i"))).alias("i")).distinct()
 

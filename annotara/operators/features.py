@@ -283,3 +283,13 @@ def enriched(tokens: DataFrame, near: DataFrame) -> DataFrame:
     own = tokens.select("doc", F.struct(F.lit(0).alias("part"), "pos", F.lit(0).alias("rank"), F.col("term").alias("w")).alias("x"))
     both = own.unionByName(more.select("doc", F.struct("x.part", "x.pos", F.col("x.rank").cast("int").alias("rank"), "x.w").alias("x")))
     return both.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda s: s["w"]), " ").alias("text"))
+
+
+def all_weights(weights: DataFrame, features: DataFrame) -> DataFrame:
+    """(model, feat, w) of every feature (feat) for every model: those a model
+    did not select stand one below its least weight."""
+    least = weights.groupBy("model").agg((F.min("w") - 1).alias("least"))
+    n = partitions(weights.sparkSession)
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    every = features.select("feat", F.pmod(F.xxhash64("feat"), F.lit(n)).cast("int").alias("salt")).distinct().join(spread, "salt")
+    return every.join(weights, ["model", "feat"], "left").select("model", "feat", F.coalesce("w", "least").alias("w"))

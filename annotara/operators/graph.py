@@ -90,6 +90,43 @@ def similar_terms(triples: DataFrame, label_preds: list[str], preds: list[str])
     return out.select("label", "similar").distinct()
 
 
+def neighbours_by_label(triples: DataFrame, asked: DataFrame, label_preds: list[str], how: str = "exact", lang: str = "", preds: list[str] | None = None) -> DataFrame:
+    """(x): labels of what stands one step, in either direction, from a subject
+    with a label asked for (asked: one column, label). exact: the label itself;
+    fuzzy: a pattern met anywhere in it, whatever the case. preds narrows the
+    predicates; blank nodes are left out."""
+    lab = triples.filter(F.col("p").isin(label_preds)).filter("s is not null and o is not null and not startswith(s, '_:')")
+    near = lab.select(F.col("s").alias("id"), F.col("o").alias("x")).distinct()
+    own = lab.filter(_lang(lang)).select(F.col("s").alias("id"), F.col("o").alias("label")).distinct()
+    seeds = own.join(asked.select("label").distinct(), "label") if how == "exact" else _like(own, "label", asked)
+    e = undirected(triples, preds) if preds is not None else undirected(triples, [r[0] for r in triples.select("p").distinct().collect() if r[0] is not None])
+    return seeds.select(F.col("id").alias("a")).distinct().join(e, "a").select(F.col("b").alias("id")).join(near, "id").select("x").distinct()
+
+
+def neighbours_by_node(triples: DataFrame, asked: DataFrame, how: str = "exact", preds: list[str] | None = None) -> DataFrame:
+    """(x): nodes one step, in either direction, from the nodes asked for
+    (asked: one column, label), by the node's own text; no labels are used."""
+    e = undirected(triples, preds) if preds is not None else undirected(triples, [r[0] for r in triples.select("p").distinct().collect() if r[0] is not None])
+    e = e.filter("not startswith(a, '_:') and not startswith(b, '_:')")
+    hit = e.join(asked.select(F.col("label").alias("a")).distinct(), "a") if how == "exact" else _like(e, "a", asked)
+    return hit.select(F.col("b").alias("x")).distinct()
+
+
+#: Patterns that one call of a fuzzy search takes.
+MAX_PATTERNS = 1000
+
+
+def _like(rows: DataFrame, c: str, asked: DataFrame) -> DataFrame:
+    """Rows whose column meets one of a stated, short list of patterns."""
+    patterns = [r[0] for r in asked.select("label").distinct().limit(MAX_PATTERNS + 1).collect() if r[0]]
+    if len(patterns) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns")
+    hit = F.lit(False)
+    for x in patterns:
+        hit = hit | F.rlike(c, F.lit(f"(?i){x}"))
+    return rows.filter(hit)
+
+
 def shortest(edges: DataFrame, sources: DataFrame, max_length: int = 100, follow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(src, dst, d): least hops from each source (id) to all it reaches within
     max_length, by breadth first rounds; a frontier is deduplicated and rid of

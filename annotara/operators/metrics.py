@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annotara.operators import ordered
+from annotara.session import partitions
 
 EPS = 2.220446049250313e-16
 
@@ -235,3 +236,52 @@ def precision_at(ranked: DataFrame, cutoffs: list[int]) -> DataFrame:
     hit = ranked.select("query", "rank", "relevant", ks).filter("rank <= k").groupBy("query", "k").agg(F.sum("relevant").cast("double").alias("h"))
     j = hit.join(total, "query")
     return j.groupBy("k").agg(F.avg(F.col("h") / F.col("k")).alias("precision"), F.avg(F.coalesce(F.try_divide(F.col("h"), F.col("r")), F.lit(0.0))).alias("recall"))
+
+
+def _log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function of x >= 1, by Stirling's series from
+    x + 8 on and the steps down to x; right to about 1e-13 of its size."""
+    z = x + 8
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5))) - 1 / (1680 * F.pow(z, F.lit(7)))
+    return reduce(lambda t, i: t - F.log(x + i), range(8), series)
+
+
+#: Terms of the expected mutual information that one row sums.
+TERMS = 1000
+
+
+def adjusted_mutual_info(table: DataFrame) -> DataFrame:
+    """(ami) of (c, k, n) counts: mutual information less what chance gives,
+    over the mean of the two entropies less the same; 1 where both are constant.
+
+    The expected value sums over all counts a pair of margins can have; they are
+    dealt into rows of TERMS terms, summed within a row and added up.
+    """
+    total = float(table.agg(F.sum("n")).first()[0] or 0.0)
+    n = F.lit(total)
+    a = table.groupBy("c").agg(F.sum("n").alias("a"))
+    b = table.groupBy("k").agg(F.sum("n").alias("b"))
+    x = F.col("n")
+    mi = table.filter("n > 0").join(a, "c").join(b, "k").agg(F.coalesce(F.sum(x / n * F.log(x * n / (F.col("a") * F.col("b")))), F.lit(0.0)).alias("mi"))
+    h = lambda t, c: t.agg(F.coalesce(-F.sum(F.col(c) / n * F.log(F.col(c) / n)), F.lit(0.0)).alias(f"h_{c}"))
+    # Equal margins give equal terms: pairs of distinct margins, with how many there are.
+    ma, mb = a.groupBy("a").agg(F.count(F.lit(1)).alias("na")), b.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
+    blocks = partitions(table.sparkSession)
+    left = ma.select("a", "na", F.pmod(F.hash("a"), F.lit(blocks)).alias("g"))
+    right = mb.select("b", "nb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"))
+    low, high = F.greatest(F.lit(1.0), F.col("a") + F.col("b") - n), F.least("a", "b")
+    rows = left.join(right, "g").select("a", "b", (F.col("na") * F.col("nb")).alias("m"), low.alias("low"), high.alias("high")).filter("low <= high")
+    rows = rows.withColumn("from", F.explode(F.sequence(F.col("low").cast("bigint"), F.col("high").cast("bigint"), F.lit(TERMS).cast("bigint"))))
+    same = sum((_log_gamma(v + 1) for v in (F.col("a"), F.col("b"), n - F.col("a"), n - F.col("b"))), F.lit(0.0)) - _log_gamma(n + 1)
+
+    def term(i: Column) -> Column:
+        v = i.cast("double")
+        odds = F.col("same") - sum((_log_gamma(w + 1) for w in (v, F.col("a") - v, F.col("b") - v, n - F.col("a") - F.col("b") + v)), F.lit(0.0))
+        return v / n * F.log(n * v / (F.col("a") * F.col("b"))) * F.exp(odds)
+
+    ends = F.sequence("from", F.least(F.col("from") + TERMS - 1, F.col("high").cast("bigint")))
+    part = rows.withColumn("same", same).select((F.col("m") * F.aggregate(ends, F.lit(0.0), lambda t, i: t + term(i))).alias("e"))
+    key = F.lit(1).alias("one")
+    r = mi.select(key, "mi").join(h(a, "a").select(key, "h_a"), "one").join(h(b, "b").select(key, "h_b"), "one").join(part.agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("e")).select(key, "e"), "one")
+    span = (F.col("h_a") + F.col("h_b")) / 2 - F.col("e")
+    return r.select(F.when(F.greatest("h_a", "h_b") == 0, 1.0).otherwise(F.coalesce(F.try_divide(F.col("mi") - F.col("e"), span), F.lit(1.0))).alias("ami"))

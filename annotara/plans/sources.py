@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annotara.functions import text as T
-from annotara.operators import annotate, features, metrics, similarity
+from annotara.operators import annotate, features, graph, language, metrics, similarity
+from annotara.plans import oracles
 from annotara.session import checkpoint_dir, table
 from annotara.sources import payloads, readers, sinks
 
@@ -426,3 +427,182 @@ def q_fuzzy(s, d):
     x = table(s, d, "events").select("event_id", "event_type", (F.col("value") / 100).alias("u"))
     members = x.select(F.col("event_id").alias("doc"), F.posexplode(F.array("u", 1 - F.col("u"))).alias("cluster", "u"))
     return metrics.fuzzy_table(x.select(F.col("event_id").alias("doc"), F.col("event_type").alias("label")), members).select("c", "k", F.round("n", 3).alias("n"))
+
+
+# --- more payloads ----------------------------------------------------------------------
+
+
+@query("scored_matches", f"select row_no as doc, replace(node_id, ':', '_') as id, 2::int as start, (2 + length(lb))::int as \"end\", 0.5::double as conf from {_NAMED}")
+def q_scored(s, d):
+    item = F.array(F.lit("2"), (2 + F.length("lb")).cast("string"), F.col("node_id"), F.lit("0.5"))
+    return payloads.scored_matches(_named(s, d).select("row_no", F.to_json(F.array(item)).alias("body")), "row_no", "body")
+
+
+@query("phenotype_tables", f"select row_no as doc, replace(node_id, ':', '_') as id, lb as name, 3::int as n, 'seen.' as text from {_NAMED} and node_id not like '%7'")
+def q_phenotypes(s, d):
+    x = _named(s, d)
+    body = _wrap("HPO ID\tPhenotype name\tNo. occurrences\tEarliness\tExample sentence\n", F.col("node_id"), "\t", F.col("lb"), "\t3\t1\tseen.\n")
+    return payloads.phenotype_table(x.select("row_no", body.alias("body")), "row_no", "body", x.filter("node_id like '%7'").select(F.col("node_id").alias("id")))
+
+
+@query("numbered_lines", "with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from documents where text is not null) select row_number() over (order by doc_id, n) - 1 as i, line from l")
+def q_numbered(s, d):
+    return payloads.numbered_lines(table(s, d, "documents").filter("text is not null"), "doc_id", "text")
+
+
+@query("evidence_nodes", f"select 'PMID:' || row_no as subject, node_id as object, 1::int as n from {_NAMED} and node_id like 'VPH%'")
+def q_evidence(s, d):
+    nodes = F.array(*[F.struct(F.lit(x).alias("id")) for x in ("MONARCH:1", "MONARCH:1", "X:2")])
+    item = F.struct(F.struct(_wrap("PMID:", F.col("row_no")).alias("id")).alias("subject"), F.struct(F.col("node_id").alias("id")).alias("object"), F.struct(nodes.alias("nodes")).alias("evidence_graph"))
+    return payloads.evidence_nodes(_named(s, d).select(F.to_json(F.struct(F.array(item).alias("associations"))).alias("body")), "body", "MONARCH", ["vph"])
+
+
+@query("result_grids", f"select row_no::varchar as doc, 0::int as row, node_id || '|' || lb as v from {_NAMED}")
+def q_grid(s, d):
+    x = _named(s, d).select("row_no", _wrap("<table id='other'><tr><td>no</td></tr></table><table id='resultgrid'><tr><td>Id</td><td>Name</td></tr><tr><td><a href='x'>", F.col("node_id"), "</a></td><td> ", _safe("lb"), "</td></tr><tr><td>No such match</td></tr></table>").alias("h"))
+    return payloads.html_grid(x, "row_no", "h").select("doc", "row", F.array_join("cells", "|").alias("v"))
+
+
+@query("omim_references", "select r_name as rec, n_nationkey::varchar as pmid from nation join region on n_regionkey = r_regionkey")
+def q_refs(s, d):
+    n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    refs = F.array_join(F.collect_list(_wrap("<reference><pubmedID> ", F.col("n_nationkey"), "\n</pubmedID></reference>")), "")
+    x = n.groupBy("r_name").agg(_wrap("<omim><referenceLists><referenceList>", refs, "</referenceList></referenceLists></omim>").alias("value"))
+    return readers.reference_ids(x, "r_name").select("rec", "pmid")
+
+
+# --- language ------------------------------------------------------------------------------
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _treebank(c: str) -> str:
+    for pattern, put in language.TREEBANK:
+        c = f"regexp_replace({c}, {_sql_text(pattern)}, {_sql_text(put.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2').replace('$3', chr(92) + '3'))}, 'g')"
+    return f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda t: t <> '')"
+
+
+_SENT = "string_split(regexp_replace({c}, '([.!?][\"”’)\\]]*)\\s+([\\p{{Lu}}0-9\"“(])', '\\1\x01\\2', 'g'), '\x01')"
+
+
+@query("treebank_tokens", f"select row_no, array_to_string({_treebank('title')}, '|') as v from geo_series where title is not null")
+def q_treebank(s, d):
+    return table(s, d, "geo_series").filter("title is not null").select("row_no", F.array_join(language.treebank_tokens(F.col("title")), "|").alias("v"))
+
+
+@query("rule_sentences", f"select doc_id, unnest({_SENT.format(c='text')}) as v from documents")
+def q_sentences(s, d):
+    return table(s, d, "documents").select("doc_id", F.explode(language.sentence_list(F.col("text"))).alias("v"))
+
+
+@query("word_tokens", f"select doc_id, array_to_string(flatten(list_transform({_SENT.format(c='text')}, lambda x: {_treebank('x')})), '|') as v from documents where text is not null")
+def q_word_tokens(s, d):
+    return table(s, d, "documents").filter("text is not null").select("doc_id", F.array_join(language.word_tokens(F.col("text")), "|").alias("v"))
+
+
+_TOKS = "toks as (select doc_id as doc, unnest(t) as term, unnest(range(len(t))) as pos from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as t from documents))"
+_FORMS = " union all ".join(f"select term, {i} as i, left(term, length(term) - {len(e)}) || '{r}' as form from words where suffix(term, '{e}')" for i, (e, r) in enumerate([("", ""), *language.ENDINGS["n"]]))
+
+
+@query("lemmas", f"with {_TOKS}, words as (select distinct term from toks), lex as (select distinct lower(word) as word from w2v_cache where word is not null union select distinct regexp_extract(term, '^(.*)s$', 1) from words where suffix(term, 's')), forms as ({_FORMS}), best as (select term, min_by(form, i) as lemma from forms join lex on form = word where form <> '' group by 1) select doc, pos::int as pos, term, coalesce(lemma, term) as lemma from toks left join best using (term)")
+def q_lemmas(s, d):
+    toks = features.token_rows(table(s, d, "documents"), "doc_id", "text")
+    known = table(s, d, "w2v_cache").filter("word is not null").select(F.lower("word").alias("word"))
+    bare = toks.filter("endswith(term, 's')").select(F.regexp_extract("term", "^(.*)s$", 1).alias("word"))
+    return language.lemmas(toks, known.unionByName(bare)).select("doc", "pos", "term", "lemma")
+
+
+_CLOSED = " ".join(f"when lower(w) in ({', '.join(map(_sql_text, ws))}) then '{t}'" for t, ws in language.CLOSED.items())
+_ENDS = " ".join(f"when suffix(lower(w), '{e}') and length(w) > {len(e) + 2} then '{t}'" for e, t in language.SUFFIXES)
+
+
+@query("word_classes", f"with t as (select row_no, {_treebank('title')} as t from geo_series where title is not null), x as (select row_no, unnest(t) as w, unnest(range(len(t)))::int as pos from t) select row_no, pos, w, case when regexp_matches(w, '^[+-]?[0-9][0-9.,]*$') then 'CD' when regexp_matches(w, '^[^\\p{{L}}\\p{{N}}]+$') then 'SYM' {_CLOSED} when regexp_matches(w, '^\\p{{Lu}}') then 'NNP' {_ENDS} else 'NN' end as tag from x")
+def q_classes(s, d):
+    x = table(s, d, "geo_series").filter("title is not null").select("row_no", F.posexplode(language.treebank_tokens(F.col("title"))).alias("pos", "w"))
+    return x.select("row_no", "pos", "w", language.word_class(F.col("w")).alias("tag"))
+
+
+_LSPANS = f"(select doc, i // 10 as sent, i % 10 as i, start, \"end\" from {oracles._SPACED})"
+
+
+@query("sentence_alignment", f"""with t as (select *, row_number() over (partition by doc order by sent, i) - 1 as n from {_LSPANS}), a as (select doc, sent, i, n, start + 1 as s, "end" + 2 as e from (select *, row_number() over (partition by doc order by sent, i) - 1 as n from {_LSPANS} where "end" - start >= 6)),
+f as (select a.doc, a.n as an, a.sent as asent, a.i as annot, a.e, min(t.n) as first from a join t on a.doc = t.doc and (t.start = a.s or (t.start < a.s and a.s < t."end")) group by all),
+l as (select f.doc, an, asent, annot, first, min(t.n) as last from f left join t on f.doc = t.doc and t.n >= first and (t."end" = f.e or f.e < t."end") group by all),
+m as (select doc, max(n) as m from t group by 1), c as (select l.doc, asent, annot, unnest(range(first, coalesce(last, m) + 1)) as n from l join m using (doc))
+select c.doc, asent::int as asent, annot::int as annot, t.sent::int as tsent, t.i::int as tok from c join t on c.doc = t.doc and c.n = t.n""")
+def q_sentence_alignment(s, d):
+    t = annotate.spans_of_tokens(table(s, d, "documents"), "doc_id", "text")
+    t = t.select("doc", F.floor(F.col("i") / 10).cast("int").alias("sent"), (F.col("i") % 10).cast("int").alias("i"), "start", "end")
+    a = t.filter("`end` - start >= 6").select("doc", "sent", "i", (F.col("start") + 1).alias("start"), (F.col("end") + 2).alias("end"))
+    return language.align_lists(a, t)
+
+
+@query("label_hits", "with w as (select distinct unnest(string_split(title, ' ')) as token from geo_series where title is not null), l as (select distinct node_id as id, lb as label from concepts where lb is not null and node_id is not null) select token, id, label from w join l on contains(lower(label), lower(token)) where length(token) >= 4")
+def q_hits(s, d):
+    words = table(s, d, "geo_series").select(F.explode(F.split("title", " ")).alias("token")).filter("length(token) >= 4")
+    labels = table(s, d, "concepts").filter("lb is not null and node_id is not null").select(F.col("node_id").alias("id"), F.col("lb").alias("label"))
+    return language.label_hits(words, labels)
+
+
+# --- neighbours by label or node ---------------------------------------------------------------
+
+_NLB = "lb as (select distinct s as id, o as x, lower(o_lang) as lang from triples where p = 'lb' and s is not null and o is not null and not starts_with(s, '_:'))"
+_NE = "e0 as (select s as a, o as b, p from triples where s is not null and o is not null and p is not null and s <> o), e as (select a, b, p from e0 union select b, a, p from e0)"
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    """Labels of the nodes of one ontology."""
+    own = table(s, d, "concepts").filter("onto = 'VPH'").select(F.col("node_id").alias("s"))
+    return table(s, d, "triples").filter("p = 'lb'").join(own, "s", "left_semi").select(F.col("o").alias("label"))
+
+
+@query("label_neighbours_exact", f"with {_NLB}, {_NE}, q as (select distinct o as label from triples where p = 'lb' and s in (select node_id from concepts where onto = 'VPH')) select distinct n.x from lb l join q on l.x = q.label join e on e.a = l.id join lb n on n.id = e.b")
+def q_nb_exact(s, d):
+    return graph.neighbours_by_label(table(s, d, "triples"), _asked(s, d), ["lb"])
+
+
+@query("label_neighbours_fuzzy", f"with {_NLB}, {_NE} select distinct n.x from lb l join e on e.a = l.id join lb n on n.id = e.b where regexp_matches(l.x, '(?i)SYNDROME|ase$') and e.p in ('rc', 'co', 'ref') and l.lang = 'en'")
+def q_nb_fuzzy(s, d):
+    asked = s.createDataFrame([("SYNDROME",), ("ase$",)], "label string")
+    return graph.neighbours_by_label(table(s, d, "triples"), asked, ["lb"], "fuzzy", "en", ["rc", "co", "ref"])
+
+
+@query("node_neighbours_exact", f"with {_NE} select distinct b as x from e where a in (select node_id from concepts where onto = 'VPH') and not starts_with(a, '_:') and not starts_with(b, '_:')")
+def q_nn_exact(s, d):
+    return graph.neighbours_by_node(table(s, d, "triples"), table(s, d, "concepts").filter("onto = 'VPH'").select(F.col("node_id").alias("label")))
+
+
+@query("node_neighbours_fuzzy", f"with {_NE} select distinct b as x from e where regexp_matches(a, '(?i)vph:.*7$') and p in ('rc', 'co') and not starts_with(a, '_:') and not starts_with(b, '_:')")
+def q_nn_fuzzy(s, d):
+    return graph.neighbours_by_node(table(s, d, "triples"), s.createDataFrame([("vph:.*7$",)], "label string"), "fuzzy", ["rc", "co"])
+
+
+# --- evaluation -----------------------------------------------------------------------------------
+
+
+@query("all_weights", "with w as (select l_linestatus as model, l_quantity::int as feat, avg(l_discount) as w from lineitem where l_quantity < 30 group by 1, 2), f as (select distinct l_quantity::int as feat from lineitem), m as (select model, min(w) - 1 as least from w group by 1) select m.model, f.feat, round(coalesce(w.w, least), 6) as w from m cross join f left join w on w.model = m.model and w.feat = f.feat")
+def q_weights(s, d):
+    x = table(s, d, "lineitem").select(F.col("l_linestatus").alias("model"), F.col("l_quantity").cast("int").alias("feat"), "l_discount", "l_quantity")
+    w = x.filter("l_quantity < 30").groupBy("model", "feat").agg(F.avg("l_discount").alias("w"))
+    return features.all_weights(w, x.select("feat")).select("model", "feat", F.round("w", 6).alias("w"))
+
+
+_MARG = "t as (select l_returnflag as c, l_linestatus as k, count(*)::double as n from lineitem group by 1, 2), n as (select sum(n) as n from t), a as (select c, sum(n) as a from t group by 1), b as (select k, sum(n) as b from t group by 1)"
+
+
+@query("adjusted_mutual_info", f"""with {_MARG}, mi as (select sum(t.n / n.n * ln(t.n * n.n / (a * b))) as mi from t join a using (c) join b using (k), n), h as (select (select -sum(a / n.n * ln(a / n.n)) from a, n) as ha, (select -sum(b / n.n * ln(b / n.n)) from b, n) as hb),
+p as (select a, b, n.n as n, unnest(range(greatest(1, a + b - n.n)::bigint, least(a, b)::bigint + 1))::double as x from a, b, n),
+e as (select sum(x / n * ln(n * x / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(a - x + 1) - lgamma(b - x + 1) - lgamma(n - a - b + x + 1))) as e from p)
+select round((mi - e) / ((ha + hb) / 2 - e), 6) as ami from mi, h, e""")
+def q_ami(s, d):
+    return metrics.adjusted_mutual_info(metrics.cluster_table(table(s, d, "lineitem"), "l_returnflag", "l_linestatus")).select(F.round("ami", 6).alias("ami"))
+
+
+_SQ = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))"
+
+
+@query("squared_pairs", f"select a.vec_id as i, b.vec_id as j, round({_SQ}, 5) as d from embeddings a join embeddings b on a.vec_id < b.vec_id where {_SQ} <= 1.44")
+def q_squared(s, d):
+    return similarity.pair_distances(table(s, d, "embeddings"), "vec_id", "embedding", "sqeuclidean", within=1.44).select("i", "j", F.round("d", 5).alias("d"))

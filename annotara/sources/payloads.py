@@ -8,6 +8,7 @@ input order and multiplicity come back by joining the ids.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -143,3 +144,88 @@ def interactions(rows: DataFrame, body: str, taxa: list[int]) -> DataFrame:
     x = rows.select(F.explode(F.map_values(F.from_json(body, s))).alias("r")).select("r.*")
     keep = x.filter(F.col("ORGANISM_A").isin(taxa) & F.col("ORGANISM_B").isin(taxa))
     return keep.groupBy(F.col("OFFICIAL_SYMBOL_A").alias("a"), F.col("OFFICIAL_SYMBOL_B").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def scored_matches(rows: DataFrame, doc: str, body: str) -> DataFrame:
+    """(doc, id, start, end, conf) of [start, end, id, confidence] matches."""
+    x = rows.select(F.col(doc).alias("doc"), F.explode(F.from_json(body, "array<array<string>>")).alias("m"))
+    at = lambda i: F.try_element_at("m", F.lit(i))
+    return x.select("doc", F.replace(at(3), F.lit(":"), F.lit("_")).alias("id"), at(1).cast("int").alias("start"), at(2).cast("int").alias("end"), at(4).cast("double").alias("conf"))
+
+
+def phenotype_table(rows: DataFrame, doc: str, body: str, common: DataFrame | None = None) -> DataFrame:
+    """(doc, id, name, n, text) of tables by tabs with a header: id, name, number
+    of occurrences, example, then more. Ids of common (id) are left out."""
+    x = rows.select(F.col(doc).alias("doc"), F.posexplode(F.split(body, r"\r?\n")).alias("line", "v")).filter("line > 0 and trim(v) <> ''").select("doc", F.split("v", "\t").alias("c"))
+    at = lambda i: F.try_element_at("c", F.lit(i))
+    if common is not None:
+        x = x.withColumn("id", at(1)).join(common.select("id").distinct(), "id", "left_anti")
+    return x.select("doc", F.replace(at(1), F.lit(":"), F.lit("_")).alias("id"), at(2).alias("name"), at(3).cast("int").alias("n"), F.try_element_at("c", F.lit(-1)).alias("text"))
+
+
+def numbered_lines(rows: DataFrame, order: str, text: str) -> DataFrame:
+    """(i, line): the lines of all texts, in the order of a key, numbered on."""
+    from annotara.operators import ordered
+
+    lines = rows.select(order, F.posexplode(F.split(text, "\n")).alias("_n", "line"))
+    return ordered.numbered(lines, [F.col(order), F.col("_n")], "i").select("i", "line")
+
+
+def evidence_nodes(rows: DataFrame, body: str, prefix: str, ontologies: list[str] | None = None) -> DataFrame:
+    """(subject, object, n): associations with the number of distinct nodes of
+    evidence whose id begins with prefix; ontologies keeps objects of theirs."""
+    s = "associations array<struct<subject: struct<id: string>, object: struct<id: string>, evidence_graph: struct<nodes: array<struct<id: string>>>>>"
+    x = rows.select(F.explode(F.from_json(body, s)["associations"]).alias("a"))
+    ids = F.transform(F.coalesce("a.evidence_graph.nodes", F.array().cast("array<struct<id:string>>")), lambda e: e["id"])
+    out = x.select(F.col("a.subject.id").alias("subject"), F.col("a.object.id").alias("object"), F.size(F.array_distinct(F.filter(ids, lambda v: v.startswith(prefix)))).alias("n"))
+    keep = F.lit(not ontologies)
+    for o in ontologies or []:
+        keep = keep | F.startswith("object", F.lit(o.upper()))
+    return out.filter(keep)
+
+
+class _Grid(HTMLParser):
+    """The cells of the rows of a table with an id, row by row."""
+
+    def __init__(self, ident: str) -> None:
+        super().__init__()
+        self.ident, self.inside, self.cell, self.rows = ident, False, False, []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "table":
+            self.inside = dict(attrs).get("id") == self.ident
+        elif self.inside and tag == "tr":
+            self.rows.append([])
+        elif self.inside and tag in ("td", "th") and self.rows:
+            self.cell = True
+            self.rows[-1].append("")
+
+    def handle_data(self, data: str) -> None:
+        if self.cell:
+            self.rows[-1][-1] += data
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("td", "th"):
+            self.cell = False
+        elif tag == "table":
+            self.inside = False
+
+
+def html_grid(rows: DataFrame, doc: str, html: str, ident: str = "resultgrid") -> DataFrame:
+    """(doc, row, cells) of the result grid of a page: its rows but the header
+    and those that say that nothing matched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, r, c = [], [], []
+            for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                p = _Grid(ident)
+                p.feed(h or "")
+                for i, cells in enumerate(p.rows[1:]):
+                    if cells and not re.match("No .* match", cells[0].strip()):
+                        d.append(k)
+                        r.append(i)
+                        c.append([x.strip() for x in cells])
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.string()), pa.array(r, pa.int32()), pa.array(c, pa.list_(pa.string()))], names=["doc", "row", "cells"])
+
+    return rows.select(F.col(doc).cast("string"), F.col(html)).mapInArrow(run, "doc string, row int, cells array<string>")

@@ -379,3 +379,10 @@ def renamed(rows: DataFrame, names: dict[str, str], fields: str = "fields") -> D
     missing keys give '', lists of one their element, longer ones joined."""
     pick = lambda k: F.coalesce(F.array_join(F.try_element_at(fields, F.lit(k)), ";;"), F.lit(""))
     return rows.select(*[pick(k).alias(v) for k, v in names.items()])
+
+
+def reference_ids(xml: DataFrame, key: str, col: str = "value") -> DataFrame:
+    """(rec, pos, pmid) of reference lists held as XML: the references that have
+    a number, in order."""
+    lists = F.xpath(clean_xml(F.col(col)), F.lit("//referenceList/reference/pubmedID/text()"))
+    return xml.select(F.col(key).alias("rec"), F.posexplode(F.transform(lists, _strip)).alias("pos", "pmid")).filter("pmid <> ''")
