@@ -3,8 +3,9 @@
 Method: each record is stream-parsed, token by token with a stack, into
 (path, ordinals, value) triples; paths are grouped by their repeated ancestor,
 and each group is pivoted into one table whose key is the record and the
-positions. Only paths asked for leave the parser, so what is shuffled is the
-size of the result and not of the records.
+positions. pivot() takes the ancestors wanted, and then only their paths leave
+the parser, so that what is shuffled is the size of the result; derive() finds
+every repeated ancestor in the paths themselves and keeps all fields.
 
 Defined cases: null, empty and broken JSON give no triples after the point
 where it breaks; a lone object where an array is declared counts as an array of
@@ -118,9 +119,10 @@ def triples(text: str | None, arrays: frozenset[str], wrappers: frozenset[str],
             return
 
 
-def shred(df: DataFrame, rec_id: str, json: str, paths: list[str], arrays: list[str], wrappers: list[str]) -> DataFrame:
-    """(rec_id, path, ordinals, value) of the wanted paths of every record."""
-    wanted, arr, wrap = frozenset(paths), frozenset(arrays), frozenset(wrappers)
+def shred(df: DataFrame, rec_id: str, json: str, paths: list[str] | None, arrays: list[str], wrappers: list[str]) -> DataFrame:
+    """(rec_id, path, ordinals, value) of the wanted paths of every record, or
+    of all that there are."""
+    wanted, arr, wrap = None if paths is None else frozenset(paths), frozenset(arrays), frozenset(wrappers)
     schema = pa.schema([("rec_id", pa.int64()), ("path", pa.string()), ("ordinals", pa.list_(pa.int64())), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +130,7 @@ def shred(df: DataFrame, rec_id: str, json: str, paths: list[str], arrays: list[
             rec, ps, os, vs = [], [], [], []
             for r, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for p, o, v in triples(text, arr, wrap):
-                    if p in wanted:
+                    if wanted is None or p in wanted:
                         rec.append(r)
                         ps.append(p)
                         os.append(list(o))
@@ -160,6 +162,22 @@ def pivot(shredded: DataFrame, ancestors: dict[str, tuple[str, dict[str, str]]])
     return tagged.groupBy("kind", "rec_id", "ordinals").agg(*[F.max(c).alias(c) for c in fields])
 
 
+def derive(shredded: DataFrame) -> DataFrame:
+    """(tbl, rec_id, ordinals, parent, fields): a table for every repeated
+    ancestor that the paths have, '' for the records themselves. A row is one
+    object or element with its place, the place of what holds it, and its own
+    scalars by their path under the ancestor; of a key met twice in one object
+    the greatest value stays. An element that is a scalar is the field ''."""
+    tbl = F.regexp_extract("path", r"^(?:.*\[\])?", 0)
+    field = F.regexp_replace(F.substr("path", F.length("tbl") + 1), r"^\.", "")
+    each = shredded.withColumn("tbl", tbl).select("tbl", "rec_id", "ordinals", field.alias("field"), "value").repartition("rec_id")
+    one = each.groupBy("tbl", "rec_id", "ordinals", "field").agg(F.max("value").alias("value"))
+    entry = F.when(F.col("value").isNotNull(), F.struct("field", "value"))
+    rows = one.groupBy("tbl", "rec_id", "ordinals").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("fields"))
+    above = F.when(F.size("ordinals") > 0, F.slice("ordinals", 1, F.size("ordinals") - 1))
+    return rows.select("tbl", "rec_id", "ordinals", above.alias("parent"), "fields")
+
+
 #: Array names, wrapper names and ancestors of the two record kinds here.
 OMIM_ARRAYS = ["entryList", "referenceLists", "referenceList"]
 OMIM_WRAPPERS = ["omim", "entry", "reference"]
@@ -178,11 +196,23 @@ def _paths(tables: dict[str, tuple[str, dict[str, str]]]) -> list[str]:
     return [x for a, cols in tables.values() for x in (a, *[f"{a}.{p}" for p in cols.values()])]
 
 
+def _bodies(bioc: DataFrame) -> DataFrame:
+    """(row_no, body): the passages as JSON, nulls kept in their places."""
+    return bioc.select("row_no", F.to_json(F.struct(F.col("passages").alias("passages")), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def all_tables(omim: DataFrame, bioc: DataFrame) -> DataFrame:
+    """(src, tbl, rec_id, ordinals, parent, fields) of both record kinds, with
+    every table their paths have: authors, flags, locations, relations too."""
+    a = derive(shred(omim, "response_id", "omim", None, OMIM_ARRAYS, OMIM_WRAPPERS)).select(F.lit("omim").alias("src"), "*")
+    b = derive(shred(_bodies(bioc), "row_no", "body", None, ["passages", "annotations", "relations", "locations", "nodes"], [])).select(F.lit("bioc").alias("src"), "*")
+    return a.unionByName(b)
+
+
 def flat_records(omim: DataFrame, bioc: DataFrame) -> DataFrame:
     """(kind, rec_id, pos1, pos2, ident) of entries, references, passages and
     annotations; -1 and '' stand for none."""
     a = pivot(shred(omim, "response_id", "omim", _paths(OMIM_TABLES), OMIM_ARRAYS, OMIM_WRAPPERS), OMIM_TABLES)
-    packed = bioc.select("row_no", F.to_json(F.struct(F.col("passages").alias("passages")), {"ignoreNullFields": "false"}).alias("body"))
-    b = pivot(shred(packed, "row_no", "body", _paths(BIOC_TABLES), ["passages", "annotations"], []), BIOC_TABLES)
+    b = pivot(shred(_bodies(bioc), "row_no", "body", _paths(BIOC_TABLES), ["passages", "annotations"], []), BIOC_TABLES)
     pos = lambda i: F.coalesce(F.try_element_at("ordinals", F.lit(i)), F.lit(-1)).cast("bigint")
     return a.unionByName(b).select("kind", "rec_id", pos(1).alias("pos1"), pos(2).alias("pos2"), F.coalesce("ident", F.lit("")).alias("ident"))

@@ -34,6 +34,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_records(table(spark, d, "omim_responses"), table(spark, d, "bioc_docs"))
 
 
+def p3_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every table that the paths of both record kinds have, all fields kept."""
+    out = nested.all_tables(table(spark, d, "omim_responses"), table(spark, d, "bioc_docs"))
+    place = lambda c: F.array_join(c, ".").alias(c)
+    return out.select("src", "tbl", "rec_id", place("ordinals"), place("parent"), F.to_json("fields").alias("fields"))
+
+
+def p3_locations(spark: SparkSession, d: str) -> DataFrame:
+    """One of those tables: the places of annotations, with their parents' positions."""
+    out = nested.all_tables(table(spark, d, "omim_responses"), table(spark, d, "bioc_docs")).filter("src = 'bioc' and tbl = 'passages[].annotations[].locations[]'")
+    pos = lambda i: F.element_at("ordinals", i)
+    return out.select(F.col("rec_id").alias("row_no"), pos(1).alias("passage"), pos(2).alias("annotation"), pos(3).alias("pos"), F.col("fields")["offset"].cast("int").alias("offset"), F.col("fields")["length"].cast("int").alias("length"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Keywords, one per row with position."""
     return packed.unpack(packed.packed_fields(table(spark, d, "geo_series")), ["row_no", "src"]).select("row_no", "src", "pos", "val")
@@ -85,10 +99,12 @@ select 'entry' as kind, rec as rec_id, pos as pos1, -1::bigint as pos2, coalesce
 union all select 'entry_ref', rec, up, pos, coalesce(e->>'pubmedID', '') from er union all select 'list_ref', rec, up, pos, coalesce(e->>'pubmedID', '') from lr
 union all select 'passage', row_no, i, -1, coalesce(p.offset::varchar, '') from pa union all select 'annotation', row_no, i, k, coalesce(a.infons.concept, '') from an"""
 
-QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_locations": p3_locations, "p3_tables": p3_tables, "p6_found": p6_found}
 
 SQL = {
     "p3_found": _P3,
+    "p3_locations": """with pa as (select row_no, unnest(passages) as p, unnest(range(len(passages))) as i from bioc_docs), an as (select row_no, i, unnest(p.annotations) as a, unnest(range(len(p.annotations))) as k from pa where p is not null),
+lo as (select row_no, i, k, unnest(a.locations) as l, unnest(range(len(a.locations))) as n from an where a is not null) select row_no, i as passage, k as annotation, n as pos, l.offset as offset, l.length as length from lo where l is not null""",
     "p2_found": f"""{_TREE},
 walk(link, node, cur) as (
   select e.link, e.node, e.parent from edges e where not exists (select 1 from tree t where t.link = e.link and t.node = e.node)

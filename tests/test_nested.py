@@ -36,3 +36,20 @@ def test_deep_and_long():
     assert len(list(N.triples(deep, A, W))) == 1
     many = json.dumps({"entryList": [{"mimNumber": i} for i in range(20000)]})
     assert sum(p == "entryList[].mimNumber" for p, _, _ in N.triples(many, A, W)) == 20000
+
+
+def test_tables_from_the_paths(spark):
+    body = '{"a": 1, "rows": [{"x": "p", "in": {"y": 2, "tags": ["s", null, "t"]}}, null, {"x": null, "subs": [{"z": 3}, {}]}], "a": 0}'
+    df = spark.createDataFrame([(7, body, "clash"), (8, None, None), (9, "", "x"), (10, "[", "x"), (11, '{"rows": {"x": "lone"}}', "x")], "id bigint, body string, path string")
+    got = {(r.tbl, r.rec_id, tuple(r.ordinals)): (None if r.parent is None else tuple(r.parent), dict(r.fields)) for r in N.derive(N.shred(df, "id", "body", None, ["rows"], [])).collect()}
+    assert got == {
+        ("", 7, ()): (None, {"a": "1"}),
+        ("rows[]", 7, (0,)): ((), {"x": "p", "in.y": "2"}),
+        ("rows[].in.tags[]", 7, (0, 0)): ((0,), {"": "s"}),
+        ("rows[].in.tags[]", 7, (0, 2)): ((0,), {"": "t"}),
+        ("rows[]", 7, (2,)): ((), {}),
+        ("rows[].subs[]", 7, (2, 0)): ((2,), {"z": "3"}),
+        ("rows[].subs[]", 7, (2, 1)): ((2,), {}),
+        ("rows[]", 11, (0,)): ((), {"x": "lone"}),
+    }
+    assert N.derive(N.shred(df.limit(0), "id", "body", None, ["rows"], [])).count() == 0
