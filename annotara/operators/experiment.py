@@ -108,3 +108,10 @@ def histogram(rows: DataFrame, c: str, bins: int) -> DataFrame:
     at = F.least(F.floor((F.col(c).cast("double") - lo) / ((hi - lo) / bins if hi > lo else 1.0)), F.lit(bins - 1)).cast("int")
     per = rows.filter(F.col(c).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return per.withColumn("cumulative", F.sum("n").over(Window.orderBy("bin")))
+
+
+def distribution(rows: DataFrame, by: str, c: str, shares: list[float]) -> DataFrame:
+    """(by, n, mean, std, quantiles) of a column within groups, what a violin or
+    a box is drawn from; exact quantiles by linear interpolation."""
+    v = F.col(c).cast("double")
+    return rows.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, F.array(*[F.lit(x) for x in shares])).alias("quantiles"))

@@ -58,3 +58,8 @@ def merge_pairs(leaves: DataFrame, order: str) -> DataFrame:
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     """A batch column: size rows each in order, the rest in the last."""
     return ordered.numbered(rows, [F.col(order)], "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("bigint"))
+
+
+def modify(listing: DataFrame, wanted: Column, **columns: Column) -> DataFrame:
+    """listing with columns changed where a predicate holds, the rest as it is."""
+    return listing.withColumns({k: F.when(wanted, v).otherwise(F.col(k)) for k, v in columns.items()})

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annotara.functions import text as T
-from annotara.operators import annotate, features, graph, language, metrics, similarity
+from annotara.operators import annotate, experiment, features, graph, language, metrics, similarity, trees
 from annotara.plans import oracles
 from annotara.session import checkpoint_dir, table
 from annotara.sources import payloads, readers, sinks
@@ -606,3 +606,65 @@ _SQ = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[
 @query("squared_pairs", f"select a.vec_id as i, b.vec_id as j, round({_SQ}, 5) as d from embeddings a join embeddings b on a.vec_id < b.vec_id where {_SQ} <= 1.44")
 def q_squared(s, d):
     return similarity.pair_distances(table(s, d, "embeddings"), "vec_id", "embedding", "sqeuclidean", within=1.44).select("i", "j", F.round("d", 5).alias("d"))
+
+
+# --- pages, answers, graphs --------------------------------------------------------------------------
+
+
+@query("word_list", f"select distinct lb as word from {_NAMED}")
+def q_wordlist(s, d):
+    p = _path(s)
+    _named(s, d).select(_wrap("  ", F.col("lb"), "\t").alias("value")).write.text(p)
+    return readers.word_list(s, p)
+
+
+@query("result_pages", "select row_number() over (order by s_suppkey) - 1 as pos, s_suppkey as id, s_name as name from supplier")
+def q_pages(s, d):
+    """Pages of seven as a search server gives them."""
+    x = trees.batches(table(s, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", 7)
+    docs = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda r: F.struct(r["s_suppkey"].alias("id"), r["s_name"].alias("name")))
+    body = F.to_json(F.struct(F.struct((F.col("batch") * 7).alias("start"), F.col("docs")).alias("response")))
+    return readers.result_pages(x.groupBy("batch").agg(docs.alias("docs")).select(body.alias("body")), "body", "response.docs", "id bigint, name string", "response.start")
+
+
+@query("concept_search", f"select 0::bigint as pos, node_id as ui, lb as name from {_NAMED}")
+def q_search(s, d):
+    item = F.struct(F.col("node_id").alias("ui"), F.lit("x").alias("rootSource"), F.col("lb").alias("name"))
+    return readers.result_pages(_named(s, d).select(F.to_json(F.struct(F.struct(F.array(item).alias("results")).alias("result"))).alias("body")), "body", "result.results", "ui string, name string")
+
+
+@query("sparql_answers", "select s, o, null::varchar as s_lang, o_lang from triples where s is not null and o is not null")
+def q_sparql(s, d):
+    t = table(s, d, "triples").filter("s is not null and o is not null")
+    term = lambda c, kind, lang: F.struct(F.lit(kind).alias("type"), F.col(c).alias("value"), lang.alias("xml:lang"))
+    binding = F.struct(term("s", "uri", F.lit(None).cast("string")).alias("s"), term("o", "literal", F.col("o_lang")).alias("o"))
+    body = F.to_json(F.struct(F.struct(F.array(binding).alias("bindings")).alias("results")))
+    return readers.sparql_bindings(t.select(body.alias("body")), "body", ["s", "o"])
+
+
+@query("rdf_documents", f"select 'urn:' || node_id as s, 'urn:v#lb' as p, lb as o, 'en' as o_lang, true as o_is_literal from {_NAMED} union select 'urn:' || node_id, 'urn:v#onto', 'urn:' || onto, null, false from {_NAMED} union select 'urn:' || node_id, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:v#Concept', null, false from {_NAMED}")
+def q_rdf(s, d):
+    x = _named(s, d).select(_wrap('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:v="urn:v#"><v:Concept rdf:about="urn:', F.col("node_id"), '"><v:lb xml:lang="en">', _safe("lb"), '</v:lb><v:onto rdf:resource="urn:', F.col("onto"), '"/></v:Concept></rdf:RDF>').alias("value"))
+    return readers.rdf_xml(x)
+
+
+@query("tree_changes", "select 'R:' || r_regionkey as root, 'R:' || r_regionkey as node, 0::bigint as depth from region where r_regionkey in (select n_regionkey from nation) union all select 'R:' || n_regionkey, lower('N:' || n_nationkey) || '*', 1 from nation")
+def q_changes(s, d):
+    n = table(s, d, "nation").select(F.concat(F.lit("N:"), "n_nationkey").alias("node"), F.concat(F.lit("R:"), "n_regionkey").alias("parent"))
+    out = trees.modify(trees.preorder(n), F.col("depth") > 0, node=F.concat(F.lower("node"), F.lit("*")))
+    return out.select("root", "node", "depth")
+
+
+@query("distributions", "select o_orderpriority, count(o_totalprice) as n, round(avg(o_totalprice), 4) as mean, round(stddev_pop(o_totalprice), 4) as std, round(quantile_cont(o_totalprice, 0.25), 4) as low, round(quantile_cont(o_totalprice, 0.5), 4) as median, round(quantile_cont(o_totalprice, 0.75), 4) as high from orders group by 1")
+def q_dist(s, d):
+    x = experiment.distribution(table(s, d, "orders"), "o_orderpriority", "o_totalprice", [0.25, 0.5, 0.75])
+    q = lambda i: F.round(F.col("quantiles")[i], 4)
+    return x.select("o_orderpriority", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), q(0).alias("low"), q(1).alias("median"), q(2).alias("high"))
+
+
+_L1 = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::double - z[2]::double)))"
+
+
+@query("manhattan_pairs", f"select a.vec_id as i, b.vec_id as j, round({_L1}, 5) as d from embeddings a join embeddings b on a.vec_id < b.vec_id where {_L1} <= 7.5")
+def q_manhattan(s, d):
+    return similarity.pair_distances(table(s, d, "embeddings"), "vec_id", "embedding", "manhattan", within=7.5).select("i", "j", F.round("d", 5).alias("d"))

@@ -12,9 +12,11 @@ import json
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -386,3 +388,67 @@ def reference_ids(xml: DataFrame, key: str, col: str = "value") -> DataFrame:
     a number, in order."""
     lists = F.xpath(clean_xml(F.col(col)), F.lit("//referenceList/reference/pubmedID/text()"))
     return xml.select(F.col(key).alias("rec"), F.posexplode(F.transform(lists, _strip)).alias("pos", "pmid")).filter("pmid <> ''")
+
+
+def word_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(word): the distinct lines of word list files without blanks at their ends."""
+    return read_text(spark, paths).select(_strip(F.col("value")).alias("word")).filter("word <> ''").distinct()
+
+
+def result_pages(pages: DataFrame, body: str, items: str, schema: str, start: str | None = None) -> DataFrame:
+    """(pos, fields...) of saved pages of a paged answer: the items under a path
+    such as 'response.docs', each with its place in the whole, which is the
+    page's first place (under start, 0 if the answer has none) plus its own."""
+    names = items.split(".")
+    nested = f"{names[-1]} array<struct<{schema}>>"
+    for n in reversed(names[:-1]):
+        nested = f"{n} struct<{nested}>"
+    first = F.coalesce(F.get_json_object(body, f"$.{start}").cast("bigint"), F.lit(0)) if start else F.lit(0)
+    got = F.from_json(body, nested)
+    for n in names:
+        got = got[n]
+    x = pages.select(first.alias("_first"), F.posexplode(got).alias("_at", "_item"))
+    return x.select((F.col("_first") + F.col("_at")).cast("bigint").alias("pos"), "_item.*")
+
+
+def sparql_bindings(answers: DataFrame, body: str, names: list[str]) -> DataFrame:
+    """One row per solution of SPARQL answers in JSON: the values of the named
+    variables, with their languages; a variable that is not bound is null."""
+    rows = answers.select(F.explode(F.from_json(body, "results struct<bindings: array<map<string, struct<type: string, value: string, `xml:lang`: string>>>>")["results"]["bindings"]).alias("b"))
+    return rows.select(*[F.col("b")[n]["value"].alias(n) for n in names], *[F.col("b")[n]["xml:lang"].alias(f"{n}_lang") for n in names])
+
+
+_RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+
+
+def _described(text: str | None) -> Iterator[tuple[str, str, str, str | None, bool]]:
+    """The triples of RDF/XML, one node element after the other."""
+    if not text:
+        return
+    address = lambda tag: tag[1:].replace("}", "")
+    for _, node in ElementTree.iterparse(io.StringIO(text)):
+        s = node.get(f"{_RDF}about") or node.get(f"{_RDF}ID") or (f"_:{node.get(f'{_RDF}nodeID')}" if node.get(f"{_RDF}nodeID") else None)
+        if s is None or node.tag == f"{_RDF}RDF":
+            continue
+        if node.tag != f"{_RDF}Description":
+            yield s, f"{_RDF[1:-1]}type", address(node.tag), None, False
+        for child in node:
+            o = child.get(f"{_RDF}resource") or (f"_:{child.get(f'{_RDF}nodeID')}" if child.get(f"{_RDF}nodeID") else None)
+            if o is not None:
+                yield s, address(child.tag), o, None, False
+            elif not len(child):
+                yield s, address(child.tag), child.text or "", child.get("{http://www.w3.org/XML/1998/namespace}lang"), True
+        node.clear()
+
+
+def rdf_xml(documents: DataFrame, col: str = "value") -> DataFrame:
+    """(s, p, o, o_lang, o_is_literal) of RDF/XML documents; a graph is a set.
+    Node elements give their class, properties a resource or a literal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [t for text in b.column(0).to_pylist() for t in _described(text)]
+            cols = list(zip(*got)) if got else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["s", "p", "o", "o_lang", "o_is_literal"])
+
+    return documents.select(col).mapInArrow(run, "s string, p string, o string, o_lang string, o_is_literal boolean").distinct()
