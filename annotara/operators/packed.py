@@ -123,7 +123,8 @@ def present(text: str) -> list[str]:
 
 
 def _apart(d: str, others: tuple[str, ...]) -> bool:
-    return all(d.strip() not in o and o.strip() not in d for o in others)
+    bare = lambda x: x.strip() or x
+    return all(bare(d) not in o and bare(o) not in d for o in others)
 
 
 def dialects(text: str) -> list[Dialect]:
@@ -177,12 +178,12 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split_join(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
-    """rows joined with table (one row per key, n of rows in column n). Keys of
+    """rows, all of them, with table (one row per key, n of rows in column n). Keys of
     more rows than a task has on average are fewer than there are tasks; they
     are met by a broadcast of that size, so no task holds a hot key."""
     total = table.agg(F.sum(n)).first()[0] or 0
     hot = table.filter(F.col(n) * partitions(rows.sparkSession) > total)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key, "left")
     return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
@@ -198,7 +199,7 @@ def _best(state: DataFrame, votes: DataFrame) -> DataFrame:
     each = state.select("fid", F.posexplode(F.arrays_zip(F.col("words").alias("val"), F.col("owns").alias("own"))).alias("w", "x")).select("fid", "w", "x.val", "x.own")
     seen = _split_join(each, votes, "val", "rows")
     # A field's own votes for a value are left out.
-    rest = F.greatest(F.col("votes") - F.col("own"), F.lit(0.0))
+    rest = F.greatest(F.coalesce("votes", F.lit(0.0)) - F.col("own"), F.lit(0.0))
     char = F.pow(F.lit(2.0), -F.lit(CHAR_BITS) * F.least(F.length("val") + 1, F.lit(150)))
     bits = -F.log2((rest + PRIOR * char) / (total + PRIOR)) + F.greatest(F.length("val") - 149, F.lit(0)) * CHAR_BITS
     costs = seen.groupBy("fid").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", bits.alias("b")))), lambda x: x["b"]).alias("costs"))

@@ -41,3 +41,25 @@ def test_very_long_field(spark):
     long = ";".join(["alpha", "beta two"] * 3000)
     df = spark.createDataFrame([(1, "k", 0, long), (2, "k", 0, "alpha"), (3, "k", 0, "beta two")], "row_no bigint, src string, nth int, field string")
     assert P.unpack(df, ["row_no", "src"]).filter("row_no = 1").count() == 6000
+
+
+def test_three_delimiters_and_hot_values(spark):
+    words = ["alpha", "beta two", "gamma", "delta", "epsilon"]
+    rows = [(i, "k", 0, words[i % 5]) for i in range(50)] + [(i, "k", 1, f"{words[i % 5]}; {words[(i + 1) % 5]}") for i in range(50)]
+    rows += [(i, "k", 2, f"{words[(i + 2) % 5]} | {words[i % 5]}, {words[(i + 3) % 5]}") for i in range(50)]
+    rows += [(1000 + i, "k", 0, "alpha") for i in range(200)]
+    rows += [(100, "k", 0, "delta; alpha | gamma, beta two"), (101, "k", 0, "beta two; delta | alpha, gamma\tepsilon")]
+    df = spark.createDataFrame(rows, "row_no bigint, src string, nth int, field string")
+    got = {}
+    for r in P.unpack(df, ["row_no", "src"]).orderBy("row_no", "pos").collect():
+        got.setdefault(r.row_no, []).append(r.val)
+    assert got[100] == ["delta", "alpha", "gamma", "beta two"]
+    assert got[101] == ["beta two", "delta", "alpha", "gamma", "epsilon"]
+    assert all(got[1000 + i] == ["alpha"] for i in range(200)) and len(got) == 252
+
+
+def test_plain_split_equals_the_walk(monkeypatch):
+    text = " a;; b ,c|d ; e , "
+    for d in ((), (";",), (",", ";"), (";;", ","), ("|", ";", ",")):
+        plain = P.split_field(text, d, False)
+        assert plain == P.split_field(text, d, True)
