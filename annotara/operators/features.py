@@ -7,14 +7,14 @@ contingency of a feature and a label comes from one joint count and marginals.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annotara.functions import text as T
-from annotara.operators import ordered
-from annotara.session import cut, partitions
+from annotara.session import partitions
 
 
 def token_rows(docs: DataFrame, key: str, text: str, pattern: str = T.TOKEN) -> DataFrame:
@@ -62,7 +62,7 @@ def top_terms(weights: DataFrame, k: int) -> DataFrame:
     return weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc", "rank", "term", F.round("w", 4).alias("w"))
 
 
-#: Labels of a block: what a term meets at once.
+#: Labels of a block on average: what a term meets at once.
 LABEL_BLOCK = 1000
 
 
@@ -71,11 +71,11 @@ def _margins(labels: DataFrame) -> tuple[DataFrame, int]:
     many blocks there are; each block is there once for every salt, so that the
     terms that meet it are spread over all tasks."""
     ny = labels.groupBy("label").agg(F.count(F.lit(1)).alias("ny"))
-    n = ordered.numbered(ny, [F.col("label")], "nth")
-    blocks = n.groupBy(F.floor(F.col("nth") / LABEL_BLOCK).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("label", "ny"))).alias("margins"))
-    blocks = cut(blocks)
+    blocks = ceil(ny.count() / LABEL_BLOCK)
+    block = F.pmod(F.xxhash64("label"), F.lit(max(blocks, 1))).cast("int").alias("block")
+    rows = ny.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("label", "ny"))).alias("margins"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(partitions(labels.sparkSession) - 1))).alias("salt")
-    return blocks.select("block", salts, "margins"), blocks.count()
+    return rows.select("block", salts, "margins"), blocks
 
 
 def _with_margins(features: DataFrame, labels: DataFrame) -> DataFrame:

@@ -76,9 +76,9 @@ def annotation_values(triples: DataFrame, prop_label: str, label_preds: list[str
     return vals.join(lab, "id").distinct()
 
 
-def undirected(triples: DataFrame, preds: list[str]) -> DataFrame:
-    """(a, b) both ways, loops and repeats dropped."""
-    e = triples.filter(F.col("p").isin(preds)).filter("s is not null and o is not null and s <> o").select(F.col("s").alias("a"), F.col("o").alias("b"))
+def undirected(triples: DataFrame, preds: list[str] | None) -> DataFrame:
+    """(a, b) both ways, loops and repeats dropped; None takes any predicate."""
+    e = triples.filter(F.col("p").isNotNull() if preds is None else F.col("p").isin(preds)).filter("s is not null and o is not null and s <> o").select(F.col("s").alias("a"), F.col("o").alias("b"))
     return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
@@ -99,14 +99,14 @@ def neighbours_by_label(triples: DataFrame, asked: DataFrame, label_preds: list[
     near = lab.select(F.col("s").alias("id"), F.col("o").alias("x")).distinct()
     own = lab.filter(_lang(lang)).select(F.col("s").alias("id"), F.col("o").alias("label")).distinct()
     seeds = own.join(asked.select("label").distinct(), "label") if how == "exact" else _like(own, "label", asked)
-    e = undirected(triples, preds) if preds is not None else undirected(triples, [r[0] for r in triples.select("p").distinct().collect() if r[0] is not None])
+    e = undirected(triples, preds)
     return seeds.select(F.col("id").alias("a")).distinct().join(e, "a").select(F.col("b").alias("id")).join(near, "id").select("x").distinct()
 
 
 def neighbours_by_node(triples: DataFrame, asked: DataFrame, how: str = "exact", preds: list[str] | None = None) -> DataFrame:
     """(x): nodes one step, in either direction, from the nodes asked for
     (asked: one column, label), by the node's own text; no labels are used."""
-    e = undirected(triples, preds) if preds is not None else undirected(triples, [r[0] for r in triples.select("p").distinct().collect() if r[0] is not None])
+    e = undirected(triples, preds)
     e = e.filter("not startswith(a, '_:') and not startswith(b, '_:')")
     hit = e.join(asked.select(F.col("label").alias("a")).distinct(), "a") if how == "exact" else _like(e, "a", asked)
     return hit.select(F.col("b").alias("x")).distinct()
