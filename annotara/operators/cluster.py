@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotara.operators import graph, ordered
+from annotara.operators import experiment, graph, ordered
 from annotara.session import cut
 
 
@@ -17,7 +17,7 @@ def fuzzy_means(rows: DataFrame, key: str, vec: str, k: int, m: float = 2.0, rou
     from the rows of least hash; rows must share one dimension.
     """
     base = rows.select(F.col(key).alias("doc"), F.transform(vec, lambda x: x.cast("double")).alias("v")).filter(F.col("v").isNotNull())
-    start = base.orderBy(F.xxhash64("doc"), "doc").limit(k).collect()
+    start = base.orderBy(experiment.hashed(F.col("doc")), "doc").limit(k).collect()
     centres = [list(r.v) for r in start]
     exponent = 1.0 / (m - 1)
 

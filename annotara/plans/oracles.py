@@ -110,3 +110,21 @@ least_of as (select v, min(w) as m from (select a as v, w from kept union all se
 fine as (select k.a, k.b from kept k join least_of x on x.v = k.a join least_of y on y.v = k.b where not ((coalesce((k.w - x.m) / nullif(x.m, 0), 0) > 1 and y.m < k.w) or (coalesce((k.w - y.m) / nullif(y.m, 0), 0) > 1 and x.m < k.w))),
 fe as (select a, b from fine union select b, a from fine), c(src, v) as (select distinct a, a from fe union select c.src, fe.b from c join fe on fe.a = c.v), roots as (select src as id, min(v) as cluster from c group by 1)
 select vec_id as id, coalesce(cluster, -1) as cluster from embeddings left join roots on id = vec_id"""
+
+SQL["place_tree"] = """select 'R:' || r_regionkey as node, 'R:' || r_regionkey as root, 0::bigint as depth from region where r_regionkey in (select n_regionkey from nation)
+union all select 'N:' || n_nationkey, 'R:' || n_regionkey, 1 from nation union all select 'C:' || c_custkey, 'R:' || n_regionkey, 2 from customer join nation on c_nationkey = n_nationkey"""
+
+
+def _fuzzy_rounds(rounds: int) -> str:
+    """Memberships and centres of every round as common table expressions."""
+    parts = []
+    for r in range(rounds + 1):
+        dist = f"select v.doc, c.k, greatest(sum((v.x - c.x) * (v.x - c.x)), 1e-12) as d from v join c{r} c using (i) group by 1, 2"
+        parts.append(f"u{r} as (select doc, k, (1 / d) / sum(1 / d) over (partition by doc) as u from ({dist}))")
+        parts.append(f"c{r + 1} as (select k, i, sum(u * u * x) / sum(u * u) as x from u{r} join v using (doc) group by 1, 2)")
+    return ", ".join(parts)
+
+
+SQL["fuzzy_means"] = f"""with v as (select vec_id as doc, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings),
+s as (select vec_id as doc, row_number() over (order by {_MD5.format(k='vec_id')}, vec_id) - 1 as k from embeddings), c0 as (select k, i, x from v join s using (doc) where k < 4), {_fuzzy_rounds(5)}
+select doc, k::int as cluster, round(u, 6) as u from u5"""

@@ -543,7 +543,7 @@ def q_blend(s, d):
 
 @query("fuzzy_means")
 def q_fcm(s, d):
-    m, _ = cluster.fuzzy_means(table(s, d, "embeddings"), "vec_id", "embedding", 4, rounds=5)
+    m, _ = cluster.fuzzy_means(table(s, d, "embeddings"), "vec_id", "embedding", 4, rounds=5, error=0.0)
     return m.select("doc", "cluster", R("u").alias("u"))
 
 
