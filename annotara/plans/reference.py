@@ -293,16 +293,17 @@ def q_signed(s, d):
     return table(s, d, "events").select("event_id", T.signed_label(F.col("value") - 50, 20).alias("v"))
 
 
-@query("unit_vectors", "select vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::double))) , 4) as l1 from embeddings")
+_ELEMENTS = "e as (select vec_id, unnest(embedding)::double as x, unnest(range(len(embedding)))::int as i from embeddings)"
+
+
+@query("unit_vectors", f"with {_ELEMENTS} select vec_id, i, round(coalesce(x / nullif(sum(abs(x)) over (partition by vec_id), 0), 0), 6) as x from e")
 def q_unit(s, d):
-    x = table(s, d, "embeddings").withColumn("n", T.unit_norm(F.col("embedding")))
-    # The norm put back together from the scaled vector's first element.
-    return x.select("vec_id", R(F.try_divide(F.col("embedding")[0].cast("double"), F.col("n")[0]), 4).alias("l1"))
+    return table(s, d, "embeddings").select("vec_id", F.posexplode(T.unit_norm(F.col("embedding"))).alias("i", "x")).select("vec_id", "i", R("x").alias("x"))
 
 
-@query("softmax_first", "select vec_id, round(exp(embedding[1]::double) / list_sum(list_transform(embedding, lambda x: exp(x::double))), 6) as p from embeddings")
+@query("softmax", f"with {_ELEMENTS} select vec_id, i, round(exp(x) / sum(exp(x)) over (partition by vec_id), 6) as p from e")
 def q_soft(s, d):
-    return table(s, d, "embeddings").select("vec_id", R(T.soft_max(F.col("embedding"))[0]).alias("p"))
+    return table(s, d, "embeddings").select("vec_id", F.posexplode(T.soft_max(F.col("embedding"))).alias("i", "p")).select("vec_id", "i", R("p").alias("p"))
 
 
 # --- metrics ------------------------------------------------------------------
@@ -607,9 +608,9 @@ def q_ids(s, d):
     return graph.ids_by_label(table(s, d, "triples"), "OID ", ["lb", "pt"])
 
 
-@query("labels_of", "select distinct s as id, o as label from triples where p in ('lb', 'pt') and lower(o_lang) = 'en' and s in (select node_id from concepts where onto = 'QMD')")
+@query("labels_of", "select distinct s as id, o as label from triples where p in ('lb', 'pt') and lower(o_lang) = 'en' and s in (select node_id from concepts)")
 def q_labels(s, d):
-    ids = table(s, d, "concepts").filter("onto = 'QMD'").select(F.col("node_id").alias("id"))
+    ids = table(s, d, "concepts").select(F.col("node_id").alias("id"))
     return graph.labels_of(table(s, d, "triples"), ids, ["lb", "pt"], "en")
 
 
