@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Width of the buckets that turn an interval join into an equi-join.
@@ -62,30 +62,40 @@ def locate_tokens(docs: DataFrame, key: str, text: str, pattern: str = r"\w\w+",
 
 def align(annots: DataFrame, toks: DataFrame, error: int = 0) -> DataFrame:
     """(doc, annot, i): the tokens each annotation (doc, annot, start, end)
-    covers. Start token: the first whose start is within error, or that the
-    start lies strictly inside of; end: the first from there whose end is within
-    error or beyond; none: to the last token of the document."""
-    a = annots.select("doc", "annot", F.col("start").alias("as"), F.col("end").alias("ae"))
-    a = a.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("as") - error) / BUCKET), F.floor((F.col("as") + error) / BUCKET))))
-    t = toks.select("doc", "i", F.col("start").alias("ts"), F.col("end").alias("te"))
-    tb = t.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("ts") / BUCKET), F.floor(F.col("te") / BUCKET))))
-    near = a.join(tb, ["doc", "bucket"]).filter((F.abs(F.col("ts") - F.col("as")) <= error) | ((F.col("ts") < F.col("as")) & (F.col("as") < F.col("te"))))
-    first = near.groupBy("doc", "annot", "as", "ae").agg(F.min("i").alias("first"))
-    # Ends: the first token from there whose end is not before the annotation's.
-    last_tok = toks.groupBy("doc").agg(F.max("i").alias("max_i"))
-    fb = first.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("ae") - error) / BUCKET), F.floor((F.col("ae") + error) / BUCKET))))
-    ends = fb.join(tb, ["doc", "bucket"]).filter((F.col("i") >= F.col("first")) & ((F.abs(F.col("te") - F.col("ae")) <= error) | ((F.col("ae") < F.col("te")) & (F.col("ts") <= F.col("ae") + error))))
-    stop = ends.groupBy("doc", "annot", "as", "ae").agg(F.min("i").alias("last"))
-    # An end that falls between tokens: the next token's end lies beyond it.
-    after = first.join(stop, ["doc", "annot", "as", "ae"], "left_anti")
-    none = F.lit(None)
-    both = t.select("doc", F.col("te").alias("at"), F.lit(1).alias("kind"), "i", none.cast(dict(annots.dtypes)["annot"]).alias("annot"), none.cast("int").alias("as"), none.cast("int").alias("first")).unionByName(
-        after.select("doc", F.col("ae").alias("at"), F.lit(0).alias("kind"), none.cast("int").alias("i"), "annot", F.col("as").cast("int"), F.col("first").cast("int"))
-    )
-    ahead = F.first("i", True).over(Window.partitionBy("doc").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    nxt = both.withColumn("next", ahead).filter("kind = 0 and next is not null").select("doc", "annot", "as", F.col("at").alias("ae"), F.greatest("next", "first").alias("last"))
-    found = first.join(stop.unionByName(nxt), ["doc", "annot", "as", "ae"], "left").join(last_tok, "doc")
-    return found.select("doc", "annot", F.explode(F.sequence("first", F.coalesce("last", "max_i"))).alias("i")).distinct()
+    covers, of tokens (doc, i, start, end) whose places rise with i. Start
+    token: the first whose start is within error, or that the start lies
+    strictly inside of; end: the first from there whose end is within error or
+    beyond; none: to the last token of the document.
+
+    Two as-of steps over tokens and annotations in the order of their places,
+    so both are moved once, by document, and no token meets an annotation it
+    has nothing to do with.
+    """
+    own = ["annot", "as", "ae", "first"]
+    kinds = dict(annots.dtypes)
+    none = lambda t: F.lit(None).cast(t)
+    blank = [none(kinds["annot"]).alias("annot"), none("int").alias("as"), none("int").alias("ae"), none("int").alias("first")]
+
+    def among(rows: DataFrame, rows_at: Column, toks_at: str) -> DataFrame:
+        """rows and tokens by place, rows before the tokens of the same place."""
+        t = toks.select("doc", F.col(toks_at).cast("int").alias("at"), F.lit(1).alias("kind"), F.col("i").cast("int").alias("i"), F.col("start").cast("int").alias("ts"), F.col("end").cast("int").alias("te"), *blank)
+        return t.unionByName(rows.select("doc", rows_at.cast("int").alias("at"), F.lit(0).alias("kind"), none("int").alias("i"), none("int").alias("ts"), none("int").alias("te"), *own))
+
+    by = Window.partitionBy("doc").orderBy("at", "kind")
+    back, ahead = by.rowsBetween(Window.unboundedPreceding, Window.currentRow), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    tok = F.when(F.col("kind") == 1, F.struct("i", "ts", "te"))
+    a = annots.select("doc", "annot", F.col("start").cast("int").alias("as"), F.col("end").cast("int").alias("ae"), none("int").alias("first"))
+    inside = F.when(F.col("last.te") > F.col("as"), F.col("last.i"))  # the token the start lies in
+    placed = among(a, F.col("as"), "start").withColumn("last", F.last(tok, True).over(back))
+    if error:
+        placed = placed.filter("kind = 0").select("doc", "annot", "as", "ae", inside.alias("first"))
+        near = among(placed, F.col("as") - error, "start").withColumn("next", F.first(tok, True).over(ahead)).filter("kind = 0")
+    else:
+        near = placed.withColumn("next", F.first(tok, True).over(ahead)).filter("kind = 0").withColumn("first", inside)
+    begun = near.withColumn("first", F.least("first", F.when(F.col("next.ts") <= F.col("as") + error, F.col("next.i")))).filter("first is not null").select("doc", *own)
+    ended = among(begun, F.col("ae") - error, "end").withColumn("next", F.first(tok, True).over(ahead)).withColumn("most", F.max("i").over(Window.partitionBy("doc"))).filter("kind = 0")
+    last = F.greatest(F.coalesce("next.i", "most"), F.col("first"))
+    return ended.select("doc", "annot", F.explode(F.sequence("first", last)).alias("i")).dropDuplicates(["doc", "annot", "i"])
 
 
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
