@@ -81,19 +81,21 @@ def align(annots: DataFrame, toks: DataFrame, error: int = 0) -> DataFrame:
         t = toks.select("doc", F.col(toks_at).cast("int").alias("at"), F.lit(1).alias("kind"), F.col("i").cast("int").alias("i"), F.col("start").cast("int").alias("ts"), F.col("end").cast("int").alias("te"), *blank)
         return t.unionByName(rows.select("doc", rows_at.cast("int").alias("at"), F.lit(0).alias("kind"), none("int").alias("i"), none("int").alias("ts"), none("int").alias("te"), *own))
 
-    by = Window.partitionBy("doc").orderBy("at", "kind")
-    back, ahead = by.rowsBetween(Window.unboundedPreceding, Window.currentRow), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Both frames run from their first row on: what is ahead is read backwards.
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("doc").orderBy("at", "kind").rowsBetween(*upto)
+    ahead = Window.partitionBy("doc").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(*upto)
     tok = F.when(F.col("kind") == 1, F.struct("i", "ts", "te"))
     a = annots.select("doc", "annot", F.col("start").cast("int").alias("as"), F.col("end").cast("int").alias("ae"), none("int").alias("first"))
     inside = F.when(F.col("last.te") > F.col("as"), F.col("last.i"))  # the token the start lies in
     placed = among(a, F.col("as"), "start").withColumn("last", F.last(tok, True).over(back))
     if error:
         placed = placed.filter("kind = 0").select("doc", "annot", "as", "ae", inside.alias("first"))
-        near = among(placed, F.col("as") - error, "start").withColumn("next", F.first(tok, True).over(ahead)).filter("kind = 0")
+        near = among(placed, F.col("as") - error, "start").withColumn("next", F.last(tok, True).over(ahead)).filter("kind = 0")
     else:
-        near = placed.withColumn("next", F.first(tok, True).over(ahead)).filter("kind = 0").withColumn("first", inside)
+        near = placed.withColumn("next", F.last(tok, True).over(ahead)).filter("kind = 0").withColumn("first", inside)
     begun = near.withColumn("first", F.least("first", F.when(F.col("next.ts") <= F.col("as") + error, F.col("next.i")))).filter("first is not null").select("doc", *own)
-    ended = among(begun, F.col("ae") - error, "end").withColumn("next", F.first(tok, True).over(ahead)).withColumn("most", F.max("i").over(Window.partitionBy("doc"))).filter("kind = 0")
+    ended = among(begun, F.col("ae") - error, "end").withColumn("next", F.last(tok, True).over(ahead)).withColumn("most", F.max("i").over(Window.partitionBy("doc"))).filter("kind = 0")
     last = F.greatest(F.coalesce("next.i", "most"), F.col("first"))
     return ended.select("doc", "annot", F.explode(F.sequence("first", last)).alias("i")).dropDuplicates(["doc", "annot", "i"])
 
