@@ -96,10 +96,11 @@ def on_grid(curve: DataFrame, by: list[str], points: int = 100) -> DataFrame:
     best = curve.groupBy(*by, F.col("fpr").alias("x")).agg(F.max("tpr").alias("tpr"))
     both = best.unionByName(g)
     back = Window.partitionBy(*by).orderBy("x", F.col("tpr").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy("x", F.col("tpr").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    # Read backwards, so that this frame too runs from its first row on.
+    ahead = Window.partitionBy(*by).orderBy(F.desc("x"), F.desc(F.col("tpr").isNull())).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("tpr").isNotNull(), F.col("x"))
     x0, y0 = F.coalesce(F.last(known, True).over(back), F.lit(0.0)), F.coalesce(F.last("tpr", True).over(back), F.lit(0.0))
-    x1, y1 = F.coalesce(F.first(known, True).over(ahead), F.lit(1.0)), F.coalesce(F.first("tpr", True).over(ahead), F.lit(1.0))
+    x1, y1 = F.coalesce(F.last(known, True).over(ahead), F.lit(1.0)), F.coalesce(F.last("tpr", True).over(ahead), F.lit(1.0))
     filled = both.select(*by, "x", F.col("tpr").isNull().alias("asked"), F.when(x1 > x0, y0 + (y1 - y0) * (F.col("x") - x0) / (x1 - x0)).otherwise(y0).alias("v"))
     return filled.filter("asked").select(*by, F.col("x").alias("fpr"), F.col("v").alias("tpr"))
 
