@@ -293,15 +293,15 @@ def q_signed(s, d):
     return table(s, d, "events").select("event_id", T.signed_label(F.col("value") - 50, 20).alias("v"))
 
 
-_ELEMENTS = "e as (select vec_id, unnest(embedding)::double as x, unnest(range(len(embedding)))::int as i from embeddings)"
+_ELEMENTS = "e as (select vec_id, list_sum(list_transform(embedding, lambda x: abs(x::double))) as n, list_sum(list_transform(embedding, lambda x: exp(x::double))) as m, unnest(embedding)::double as x, unnest(range(len(embedding)))::int as i from embeddings)"
 
 
-@query("unit_vectors", f"with {_ELEMENTS} select vec_id, i, round(coalesce(x / nullif(sum(abs(x)) over (partition by vec_id), 0), 0), 6) as x from e")
+@query("unit_vectors", f"with {_ELEMENTS} select vec_id, i, round(coalesce(x / nullif(n, 0), 0), 6) + 0.0 as x from e")
 def q_unit(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.posexplode(T.unit_norm(F.col("embedding"))).alias("i", "x")).select("vec_id", "i", R("x").alias("x"))
+    return table(s, d, "embeddings").select("vec_id", F.posexplode(T.unit_norm(F.col("embedding"))).alias("i", "x")).select("vec_id", "i", (R("x") + 0.0).alias("x"))
 
 
-@query("softmax", f"with {_ELEMENTS} select vec_id, i, round(exp(x) / sum(exp(x)) over (partition by vec_id), 6) as p from e")
+@query("softmax", f"with {_ELEMENTS} select vec_id, i, round(exp(x) / m, 6) as p from e")
 def q_soft(s, d):
     return table(s, d, "embeddings").select("vec_id", F.posexplode(T.soft_max(F.col("embedding"))).alias("i", "p")).select("vec_id", "i", R("p").alias("p"))
 
