@@ -69,3 +69,29 @@ def test_adjusted_mutual_information(spark):
     assert math.isclose(ami([("a", "1", 5.0), ("b", "2", 5.0)]), 1.0, abs_tol=1e-9)
     assert ami([("a", "1", 7.0)]) == 1.0
     assert abs(ami([("a", "1", 500.0), ("a", "2", 500.0), ("b", "1", 500.0), ("b", "2", 500.0)])) < 0.01
+
+
+def test_adjusted_mutual_information_of_many_rows(spark):
+    """Millions of terms: each was interpreted, with 36 logarithms, which took minutes."""
+    import time
+    from math import exp, lgamma, log
+
+    cells = {("a", "1"): 900, ("a", "2"): 700, ("b", "1"): 650, ("b", "2"): 800}
+    for times in (1, 5000):
+        rows = [(c, k, float(v * times)) for (c, k), v in cells.items()]
+        began = time.time()
+        got = metrics.adjusted_mutual_info(spark.createDataFrame(rows, "c string, k string, n double")).first()[0]
+        took = time.time() - began
+        n = sum(r[2] for r in rows)
+        at = lambda i, v: sum(r[2] for r in rows if r[i] == v)
+        h = lambda i: -sum(at(i, v) / n * log(at(i, v) / n) for v in {r[i] for r in rows})
+        mi, e = sum(v / n * log(v * n / (at(0, c) * at(1, k))) for c, k, v in rows), 0.0
+        if times == 1:
+            for a in (at(0, "a"), at(0, "b")):
+                for b in (at(1, "1"), at(1, "2")):
+                    for x in range(int(max(1, a + b - n)), int(min(a, b)) + 1):
+                        odds = sum(lgamma(v + 1) for v in (a, b, n - a, n - b)) - sum(lgamma(v + 1) for v in (n, x, a - x, b - x, n - a - b + x))
+                        e += x / n * log(n * x / (a * b)) * exp(odds)
+            assert math.isclose(got, (mi - e) / ((h(0) + h(1)) / 2 - e), rel_tol=1e-7)
+        else:
+            assert math.isclose(got, (mi - 0.5 / n) / ((h(0) + h(1)) / 2 - 0.5 / n), rel_tol=1e-5) and took < 60
