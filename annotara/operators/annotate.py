@@ -42,6 +42,28 @@ def spans_of_tokens(docs: DataFrame, key: str, text: str, pattern: str = r"\S+")
     return _arrow_spans(docs, key, text, lambda t: [(m[0], m.start(), m.end()) for m in find(t)])
 
 
+def token_lists(docs: DataFrame, key: str, text: str, pattern: str = r"\S+") -> DataFrame:
+    """(doc, toks) of the same tokens, a row a text: toks lists (i, start, end)."""
+    find = re.compile(pattern).finditer
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                ends, i, places = [0], [], []
+                for t in part.column(1).to_pylist():
+                    own = [m.span() for m in find(t)] if t else []
+                    i += range(len(own))
+                    places += own
+                    ends.append(len(places))
+                start, end = zip(*places) if places else ((), ())
+                each = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (i, start, end)], names=["i", "start", "end"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=["doc", "toks"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc {kind}, toks array<struct<i:int,start:int,end:int>>")
+
+
 def locate_tokens(docs: DataFrame, key: str, text: str, pattern: str = r"\w\w+", resume_at_end: bool = True) -> DataFrame:
     """(doc, i, str, start, end): greedy places, from left to right, of the
     lower-case tokens of a text in the lower-case text; (-1, -1) where one is

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotara.operators import annotate
-
 #: The rules of the Penn Treebank tokens, in order. What a rule
 #: puts white space round becomes a token; straight double quotes become `` and ''.
 TREEBANK = [
@@ -74,21 +76,68 @@ def word_class(term: Column) -> Column:
     return out.otherwise("NN")
 
 
+#: A row's places lie between two multiples of this; below all places is LOW.
+_ROW, _LOW = 1 << 41, -(1 << 39)
+
+
+def _align_row(error: int):
+    """Rows (doc, annots, toks) to what is aligned in each, a few rows at once."""
+
+    def lists(col: pa.Array) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The elements in the order of rows, sentences and places: row, start, end, where each stood."""
+        flat, row = col.flatten(), np.repeat(np.arange(len(col)), pc.fill_null(pc.list_value_length(col), 0).to_numpy())
+        sent, i, start, end = (pc.fill_null(pc.cast(flat.field(f), pa.int64()), _LOW).to_numpy() for f in ("sent", "i", "start", "end"))
+        o = np.lexsort((i, sent, row))
+        return flat, row[o], start[o], end[o], o
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                annots, ar, starts, ends, ao = lists(part.column(1))
+                toks, tr, ts, te, to = lists(part.column(2))
+                if not len(ar) or not len(tr):
+                    continue
+                by_start, by_end, none = np.argsort(tr * _ROW + ts, kind="stable"), np.argsort(tr * _ROW + te, kind="stable"), len(tr)
+                at_start, at_end = (tr * _ROW + ts)[by_start], (tr * _ROW + te)[by_end]
+
+                def at(order: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    """The tokens at n of an order, and which of them are there and of the row."""
+                    t = order[np.clip(n, 0, none - 1)]
+                    return t, (n >= 0) & (n < none) & (tr[t] == ar)  # noqa: B023
+
+                key = ar * _ROW + starts
+                t, own = at(by_start, np.searchsorted(at_start, key) - 1)
+                inside = np.where(own & (te[t] > starts), t, none)  # the token the start lies in
+                t, own = at(by_start, np.searchsorted(at_start, key - error))
+                first = np.minimum(inside, np.where(own & (ts[t] <= starts + error), t, none))
+                t, own = at(by_end, np.searchsorted(at_end, ar * _ROW + ends - error))
+                last = np.maximum(np.where(own, t, np.searchsorted(tr, ar, "right") - 1), first)
+                n = np.where((first < none) & (starts > _LOW), last - first + 1, 0)
+                who = np.repeat(np.arange(len(ar)), n)
+                tok = np.repeat(first, n) + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+                mine, other = annots.take(pa.array(ao[who])), toks.take(pa.array(to[tok]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ar[who])), mine.field("sent"), mine.field("i"), other.field("sent"), other.field("i")], names=["doc", "asent", "annot", "tsent", "tok"])
+
+    return run
+
+
+def align_rows(docs: DataFrame, error: int = 0) -> DataFrame:
+    """(doc, asent, annot, tsent, tok) of rows (doc, annots, toks), which list
+    (sent, i, start, end): annotations against tokens by the rules of
+    annotate.align(). A document is one row, so nothing is moved."""
+    own, other = (docs.schema[c].dataType.elementType for c in ("annots", "toks"))
+    kind = lambda t, f: t[f].dataType.simpleString()
+    kinds = f"doc {dict(docs.dtypes)['doc']}, asent {kind(own, 'sent')}, annot {kind(own, 'i')}, tsent {kind(other, 'sent')}, tok {kind(other, 'i')}"
+    return docs.filter("doc is not null").select("doc", "annots", "toks").mapInArrow(_align_row(error), kinds)
+
+
 def align_lists(annots: DataFrame, toks: DataFrame, error: int = 0) -> DataFrame:
     """(doc, asent, annot, tsent, tok): annotations grouped by sentence (doc,
     sent, i, start, end) against tokens grouped so. Both are put in one row of
     the document, aligned, and named by sentence and place again."""
-
-    def flat(rows: DataFrame) -> DataFrame:
-        order = Window.partitionBy("doc").orderBy("sent", "i")
-        return rows.withColumn("n", (F.row_number().over(order) - 1).cast("int"))
-
-    a, t = flat(annots), flat(toks)
-    met = annotate.align(a.select("doc", F.col("n").alias("annot"), "start", "end"), t.select("doc", F.col("n").alias("i"), "start", "end"), error)
-    own = a.select("doc", F.col("n").alias("annot_n"), F.col("sent").alias("asent"), F.col("i").alias("annot"))
-    other = t.select("doc", F.col("n").alias("tok_n"), F.col("sent").alias("tsent"), F.col("i").alias("tok"))
-    named = met.select("doc", F.col("annot").alias("annot_n"), F.col("i").alias("tok_n")).join(own, ["doc", "annot_n"]).join(other, ["doc", "tok_n"])
-    return named.select("doc", "asent", "annot", "tsent", "tok")
+    one = F.collect_list(F.struct("sent", "i", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))
+    return align_rows(annots.groupBy("doc").agg(one.alias("annots")).join(toks.groupBy("doc").agg(one.alias("toks")), "doc"), error)
 
 
 def label_hits(tokens: DataFrame, labels: DataFrame) -> DataFrame:

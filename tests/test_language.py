@@ -45,3 +45,33 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(type("Session", (), {"sparkContext": Context}))
+
+
+def test_sentence_alignment_moves_nothing(spark, data):
+    """Tokens and annotations of a document went through nine shuffles."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["sentence_alignment"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_lists_are_aligned_as_places_are(spark):
+    import random
+
+    from annotara.operators import annotate, language
+
+    rng, toks, annots = random.Random(8), [], []
+    for doc in range(7):
+        at = 0
+        for i in range(24):
+            at += rng.randrange(4)
+            toks.append((doc, i // 5, i % 5, at, at := at + rng.randrange(1, 6)))
+        annots += [(doc, n // 4, n % 4, s, s + rng.randrange(1, 15)) for n, s in enumerate(rng.randrange(0, 110) for _ in range(20))]
+    kinds = "doc int, sent int, i int, start int, end int"
+    a, t = spark.createDataFrame([*annots, (8, 0, 0, 1, 2)], kinds), spark.createDataFrame([*toks, (9, 0, 0, 0, 3)], kinds)
+    flat = lambda x, by, c: x.selectExpr("doc", f"sent * {by} + i as {c}", "start", "end")
+    for error in (0, 2):
+        want = sorted((r.doc, r.annot, r.i) for r in annotate.align(flat(a, 4, "annot"), flat(t, 5, "i"), error).collect())
+        got = sorted((r.doc, r.asent * 4 + r.annot, r.tsent * 5 + r.tok) for r in language.align_lists(a, t, error).collect())
+        assert got == want and got
+    assert language.align_lists(a.limit(0), t).count() == 0 and language.align_lists(a, t.limit(0)).count() == 0
